@@ -13,7 +13,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import as_col, clean_text, strip
+from postmill.functions.text import as_col, clean_text, let, strip
 
 _RAW_TEXT_TAGS = ("script", "style", "template")
 
@@ -57,7 +57,7 @@ def rendered_text(c: Column | str) -> Column:
 _NAMED = json.dumps({name.rstrip(";") : text for name, text in html5.items()})
 _BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 # The handful of entities that make up nearly all of real text.
-_COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": " ", "#39;": "'"}
+_COMMON = json.dumps({"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\xa0", "#39;": "'"})
 # Code points 128-159 mean Windows-1252 characters.
 _C1 = json.dumps({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)})
 
@@ -66,48 +66,56 @@ def _literal_map(text: str) -> Column:
     return F.from_json(F.lit(text), "map<string,string>")
 
 
-def _numeric(token: Column) -> Column:
-    digits = F.regexp_replace(token, "[#xX;]", "")
-    hexadecimal = token.rlike("^#[xX]")
-    short = F.length(F.ltrim(digits, F.lit("0"))) <= 8
-    code = F.when(short & hexadecimal, F.conv(digits, 16, 10).cast("long")).when(short, digits.cast("long"))
-    invalid = code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | (code == 0)
-    silent = (code.between(1, 8) | code.between(0xE, 0x1F) | (code == 0xB) | code.between(0x7F, 0x9F)
-              | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE))
+# References to control characters and noncharacters are dropped.
+_SILENT = r"[\x01-\x08\x0b\x0e-\x1f\x7f\ufdd0-\ufdef" + "".join(rf"\x{{{p}fffe}}\x{{{p}ffff}}" for p in ["", *"123456789abcdef", "10"]) + "]"
+
+
+def _char(code: Column) -> Column:
+    """Character of a numeric reference, by the HTML rules for odd code points."""
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return (
-        F.when(invalid, F.lit("�"))
-        .when(code.between(128, 159), F.element_at(_literal_map(_C1), code.cast("string")))
-        .when(silent, F.lit(""))
-        .otherwise(char)
-    )
+    from_c1 = F.element_at(_literal_map(_C1), code.cast("string"))
+    return F.when(valid, F.coalesce(from_c1, F.regexp_replace(char, _SILENT, ""))).otherwise(F.lit("\ufffd"))
+
+
+def _numeric(token: Column) -> Column:
+    digits = F.ltrim(F.regexp_replace(token, "[#xX;]", ""), F.lit("0"))
+    code = F.when(digits == "", 0).when(token.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+    return let(F.when(F.length(digits) <= 8, code.cast("long")), _char)
 
 
-def _decode_head(part: Column) -> Column:
-    """``part`` is the text after an ampersand: replace the reference it starts with, if any."""
-    token = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)", 1)
+_TOKEN = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
+
+
+def _reference(x: Column) -> Column:
+    """``x`` holds the text after an ampersand and the reference it may start with."""
+    part, token = x["part"], x["token"]
     rest = F.substr(part, F.length(token) + 1)
-    out = F.when(token == "", F.concat(F.lit("&"), part))
-    for name, text in _COMMON.items():
-        out = out.when(token == name, F.concat(F.lit(text), rest))
-    named = F.when(token.endswith(";"), F.element_at(_literal_map(_NAMED), F.rtrim(token, F.lit(";"))))
-    bare = F.regexp_extract(token, f"^(?:{_BARE})", 0)
-    from_bare = F.concat(F.element_at(_literal_map(_NAMED), bare), F.substr(part, F.length(bare) + 1))
-    return (
-        out.when(token.startswith("#"), F.concat(_numeric(token), rest))
-        .when(named.isNotNull(), F.concat(named, rest))
-        .when(bare != "", from_bare)
-        .otherwise(F.concat(F.lit("&"), part))
-    )
+    common = F.element_at(_literal_map(_COMMON), token)
+    table = _literal_map(_NAMED)
+    named = F.when(token.endswith(";"), F.element_at(table, F.rtrim(token, F.lit(";"))))
+    bare = F.regexp_extract(part, f"^(?:{_BARE})", 0)
+
+    def from_bare(name: Column) -> Column:
+        text = F.concat(F.element_at(table, name), F.substr(part, F.length(name) + 1))
+        return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(text)
+
+    value = F.coalesce(common, F.when(token.startswith("#"), _numeric(token)), named)
+    known = F.when(token != "", F.concat(value, rest))
+    return F.coalesce(known, F.when(token != "", let(bare, from_bare)), F.concat(F.lit("&"), part))
 
 
 def decode_entities(c: Column | str) -> Column:
-    """Decode character references once, left to right; rows without '&' pay one search."""
-    text = as_col(c)
-    parts = F.split(text, "&")
-    tail = F.transform(F.slice(parts, 2, F.size(parts)), _decode_head)
-    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    """Decode character references once, left to right; text without '&' pays one search."""
+
+    def decode(parts: Column) -> Column:
+        tail = F.transform(
+            F.slice(parts, 2, F.size(parts)),
+            lambda p: F.struct(p.alias("part"), F.regexp_extract(p, _TOKEN, 1).alias("token")),
+        )
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(tail, _reference), ""))
+
+    return let(as_col(c), lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&"), decode)).otherwise(t))
 
 
 # --- elements -----------------------------------------------------------------------------
@@ -137,8 +145,10 @@ def element_inner(html: Column | str, open_tag: str) -> Column:
     pieces are kept until the nesting depth is back at zero.
     """
     start = F.regexp_extract(as_col(html), f"(?is){open_tag}.*", 0)
-    tag = F.regexp_extract(start, "^<([a-zA-Z][a-zA-Z0-9]*)", 1)
-    pieces = F.split(start, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)")))
+
+    def split(source: Column) -> Column:
+        tag = F.regexp_extract(source, "^<([a-zA-Z][a-zA-Z0-9]*)", 1)
+        return F.when(source != "", F.split(source, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)"))))
 
     def step(acc: Column, piece: Column) -> Column:
         depth = acc["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)
@@ -146,12 +156,15 @@ def element_inner(html: Column | str, open_tag: str) -> Column:
             F.struct(depth.alias("depth"), (acc["kept"] + 1).alias("kept"), (depth <= 0).alias("closed"))
         )
 
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
-    state = F.aggregate(pieces, zero, step)
-    # An element that is never closed runs to the end of the page.
-    kept = F.when(state["closed"], state["kept"] - 1).otherwise(F.size(pieces))
-    inner = F.regexp_replace(F.array_join(F.slice(pieces, 1, kept), ""), "^<[^>]*>", "")
-    return F.when(start != "", inner)
+    def inner(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
+        # An element that is never closed runs to the end of the page.
+        kept = F.aggregate(
+            pieces, zero, step, lambda acc: F.when(acc["closed"], acc["kept"] - 1).otherwise(F.size(pieces))
+        )
+        return F.regexp_replace(F.array_join(F.slice(pieces, 1, kept), ""), "^<[^>]*>", "")
+
+    return let(let(start, split), inner)
 
 
 def without_scripts(html: Column | str, extra: tuple[str, ...] = ()) -> Column:
@@ -189,39 +202,44 @@ def json_unescape(c: Column | str) -> Column:
 
 
 def _resolve_dots(path: Column) -> Column:
-    segments = F.split(path, "/")
-    resolved = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    last = F.element_at(segments, -1)
-    resolved = F.when(last.isin(".", ".."), F.array_append(resolved, F.lit(""))).otherwise(resolved)
-    joined = F.array_join(resolved, "/")
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    def walk(segments: Column) -> Column:
+        resolved = F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.array_append(acc, s)),
+        )
+        ends_in_dots = F.element_at(segments, -1).isin(".", "..")
+        return F.array_join(F.when(ends_in_dots, F.array_append(resolved, F.lit(""))).otherwise(resolved), "/")
+
+    return F.concat(F.lit("/"), F.ltrim(let(F.split(path, "/"), walk), F.lit("/")))
+
+
+_BASE = r"^(([a-zA-Z][a-zA-Z0-9+.\-]*):(?://[^/?#]*)?)([^?#]*)"
 
 
 def absolutize_url(base: Column | str, href: Column | str) -> Column:
     """Resolve ``href`` against ``base`` (RFC 3986 reference resolution)."""
-    b, h = as_col(base), F.trim(as_col(href))
-    scheme = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
-    root = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    base_path = F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    href_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    href_tail = F.substr(h, F.length(href_path) + 1)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
-    merged = F.when(h.startswith("/"), href_path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href_path)
-    )
-    # Only paths with a dot segment need the segment walk.
-    path = F.when(merged.rlike(r"/\.\.?(?:/|$)"), _resolve_dots(merged)).otherwise(merged)
-    return (
-        F.when(h == "", b)
-        .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("?"), F.concat(root, base_path, h))
-        .when(h.startswith("#"), F.concat(F.regexp_extract(b, "^([^#]*)", 1), F.when(h == "#", F.lit("")).otherwise(h)))
-        .otherwise(F.concat(root, path, href_tail))
-    )
+
+    def resolve(x: Column) -> Column:
+        b, h = x["base"], x["href"]
+        scheme, root, base_path = (F.regexp_extract(b, _BASE, i) for i in (2, 1, 3))
+        href_path = F.regexp_extract(h, r"^([^?#]*)", 1)
+        folder = F.regexp_replace(base_path, "[^/]*$", "")
+        merged = F.when(h.startswith("/"), href_path).otherwise(
+            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href_path)
+        )
+        # Only paths with a dot segment need the segment walk.
+        path = let(merged, lambda p: F.when(p.rlike(r"/\.\.?(?:/|$)"), _resolve_dots(p)).otherwise(p))
+        no_fragment = F.regexp_extract(b, "^([^#]*)", 1)
+        return (
+            F.when(h == "", b)
+            .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.startswith("?"), F.concat(root, base_path, h))
+            .when(h.startswith("#"), F.concat(no_fragment, F.when(h == "#", F.lit("")).otherwise(h)))
+            .otherwise(F.concat(root, path, F.substr(h, F.length(href_path) + 1)))
+        )
+
+    return let(F.struct(as_col(base).alias("base"), F.trim(as_col(href)).alias("href")), resolve)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import as_col, clean_text, plausible_location, strip
+from postmill.functions.text import as_col, clean_text, let, plausible_location, strip
 
 # Fixed values, in order of precedence.
 LOCATION_LABELS = ("location:", "standort:", "city:", "ort:", "country/region:", "office:")
@@ -34,30 +35,35 @@ def _up_to(c: Column, *stops: str) -> Column:
     return reduce(lambda out, s: F.substring_index(out, s, 1), stops, c)
 
 
+def _after_label(labels: tuple[str, ...], x: Column, cut: Callable[[Column], Column]) -> list[tuple[Column, Column]]:
+    return [
+        (F.contains(x["lowered"], F.lit(label)), cut(F.substr(x["text"], F.locate(label, x["lowered"]) + len(label))))
+        for label in labels
+    ]
+
+
+def _with_lowered(text: Column | str) -> Column:
+    return F.struct(as_col(text).alias("text"), F.lower(as_col(text)).alias("lowered"))
+
+
 def extract_location(text: Column | str) -> Column:
     """Text after the first location label, else from the first known city or country on."""
-    c = as_col(text)
-    lowered = F.lower(c)
-    labelled = [
-        (F.contains(lowered, F.lit(label)), _up_to(F.substr(c, F.locate(label, lowered) + len(label)), "|", "\n"))
-        for label in LOCATION_LABELS
-    ]
-    named = [
-        (c.rlike(f"(?iu){token}"), _up_to(F.regexp_extract(c, f"(?isu){token}.*", 0), "|", "\n", ","))
-        for token in LOCATION_TOKENS
-    ]
-    return plausible_location(strip(_first_of(labelled + named, F.lit(""))))
+
+    def find(x: Column) -> Column:
+        labelled = _after_label(LOCATION_LABELS, x, lambda rest: _up_to(rest, "|", "\n"))
+        named = [
+            (x["text"].rlike(f"(?iu){token}"), _up_to(F.regexp_extract(x["text"], f"(?isu){token}.*", 0), "|", "\n", ","))
+            for token in LOCATION_TOKENS
+        ]
+        return _first_of(labelled + named, F.lit(""))
+
+    return let(strip(let(_with_lowered(text), find)), lambda place: plausible_location(place))
 
 
 def extract_date_posted(text: Column | str) -> Column:
     """The word after the first date label; NULL when there is none."""
-    c = as_col(text)
-    lowered = F.lower(c)
-    rest = [
-        (F.contains(lowered, F.lit(label)), F.substr(c, F.locate(label, lowered) + len(label)))
-        for label in DATE_LABELS
-    ]
-    return F.nullif(F.substring_index(strip(_first_of(rest, F.lit(""))), " ", 1), F.lit(""))
+    rest = let(_with_lowered(text), lambda x: _first_of(_after_label(DATE_LABELS, x, lambda rest: rest), F.lit("")))
+    return F.nullif(F.substring_index(strip(rest), " ", 1), F.lit(""))
 
 
 def location_after_label(text: Column | str, title: Column | str) -> Column:
@@ -65,10 +71,16 @@ def location_after_label(text: Column | str, title: Column | str) -> Column:
     title and after the first country name."""
     after = F.regexp_extract(as_col(text), r"Location\(?s?\)?\s*:?\s*(.{0,120})", 1)
     start = F.substring(as_col(title), 1, 15)
-    title_at = F.when(start != "", F.instr(after, start)).otherwise(0)
-    cut = F.when(title_at > 1, F.substr(after, F.lit(1), title_at - 1)).otherwise(after)
-    to_country = F.regexp_extract(cut, rf"(?U)^(.*?\b(?:{COUNTRIES})\b)", 1)
-    place = F.when(to_country != "", to_country).otherwise(cut)
+
+    def cut_at_title(x: Column) -> Column:
+        at = F.when(x["start"] != "", F.instr(x["after"], x["start"])).otherwise(0)
+        return F.when(at > 1, F.substr(x["after"], F.lit(1), at - 1)).otherwise(x["after"])
+
+    def cut_at_country(place: Column) -> Column:
+        to_country = F.regexp_extract(place, rf"(?U)^(.*?\b(?:{COUNTRIES})\b)", 1)
+        return F.coalesce(F.nullif(to_country, F.lit("")), place)
+
+    place = let(let(F.struct(after.alias("after"), start.alias("start")), cut_at_title), cut_at_country)
     return F.btrim(F.substring(clean_text(place), 1, 80), F.lit(" -"))
 
 

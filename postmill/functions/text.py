@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +26,13 @@ FOLD_MANY = {
     "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st",
 }
 
+# What clean_text has to change: runs of two or more, and single characters other than a blank.
+# The first operand of each intersection turns ordinary letters away with one range test.
+_UNCLEAN = (
+    rf"[\x00-\x20\x80-\uffff&&[{SPACE}]]{{2,}}|"
+    rf"[\x00-\x1f\x80-\uffff&&[{SPACE}]]"
+)
+
 EMPTY = ""
 
 
@@ -33,6 +40,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Remove Python whitespace at both ends."""
     return F.regexp_replace(as_col(c), f"^[{SPACE}]+|[{SPACE}]+$", EMPTY)
@@ -40,7 +52,7 @@ def strip(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Whitespace runs become one space, ends are trimmed, NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(as_col(c), F.lit(EMPTY)), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(as_col(c), F.lit(EMPTY)), _UNCLEAN, " "))
 
 
 def normalize_text(c: Column | str) -> Column:
