@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import as_col, clean_text, let, strip
+from postmill.functions.text import apply_sql, as_col, clean_text, let, strip
 
 _RAW_TEXT_TAGS = ("script", "style", "template")
 
@@ -23,12 +24,13 @@ _BLOCK_TAGS = (
     "h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul"
 ).split()
 
-_TAG = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>"
+# Every alternative starts with '<', so text between tags is passed over by one comparison.
+_TAG = r"(?s)<(?:/?[a-zA-Z][^>]*|![^>]*|\?[^>]*)>"
 
 
 def _drop_pattern(tags) -> str:
-    blocks = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in tags)
-    return rf"(?is)<!--.*?(?:-->|\z)|{blocks}"
+    blocks = "|".join(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in tags)
+    return rf"(?is)<(?:!--.*?(?:-->|\z)|{blocks})"
 
 
 def strip_html(c: Column | str, decode_first: bool = False, drop: tuple[str, ...] = ()) -> Column:
@@ -53,69 +55,53 @@ def rendered_text(c: Column | str) -> Column:
 
 # --- entities -----------------------------------------------------------------------------
 
-# Names come from the standard library's HTML 5 table, as one constant-folded map literal.
-_NAMED = json.dumps({name.rstrip(";") : text for name, text in html5.items()})
-_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
-# The handful of entities that make up nearly all of real text.
-_COMMON = json.dumps({"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\xa0", "#39;": "'"})
-# Code points 128-159 mean Windows-1252 characters.
-_C1 = json.dumps({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)})
-
 
-def _literal_map(text: str) -> Column:
-    return F.from_json(F.lit(text), "map<string,string>")
+def _map(entries: dict[str, str]) -> str:
+    """SQL of a string map; the optimizer folds it to one literal."""
+    return "from_json(r'" + json.dumps(entries).replace("'", r"\u0027") + "', 'map<string,string>')"
 
 
+# Names come from the standard library's HTML 5 table; old ones may lack the semicolon.
+_NAMED = _map({name.rstrip(";"): text for name, text in html5.items()})
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+# The handful of entities that make up nearly all of real text.
+_COMMON = _map({"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\u00a0", "#39;": "'"})
+# Code points 128-159 mean Windows-1252 characters.
+_C1 = _map({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)})
 # References to control characters and noncharacters are dropped.
-_SILENT = r"[\x01-\x08\x0b\x0e-\x1f\x7f\ufdd0-\ufdef" + "".join(rf"\x{{{p}fffe}}\x{{{p}ffff}}" for p in ["", *"123456789abcdef", "10"]) + "]"
-
-
-def _char(code: Column) -> Column:
-    """Character of a numeric reference, by the HTML rules for odd code points."""
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    from_c1 = F.element_at(_literal_map(_C1), code.cast("string"))
-    return F.when(valid, F.coalesce(from_c1, F.regexp_replace(char, _SILENT, ""))).otherwise(F.lit("\ufffd"))
-
-
-def _numeric(token: Column) -> Column:
-    digits = F.ltrim(F.regexp_replace(token, "[#xX;]", ""), F.lit("0"))
-    code = F.when(digits == "", 0).when(token.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
-    return let(F.when(F.length(digits) <= 8, code.cast("long")), _char)
-
-
-_TOKEN = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
-
-
-def _reference(x: Column) -> Column:
-    """``x`` holds the text after an ampersand and the reference it may start with."""
-    part, token = x["part"], x["token"]
-    rest = F.substr(part, F.length(token) + 1)
-    common = F.element_at(_literal_map(_COMMON), token)
-    table = _literal_map(_NAMED)
-    named = F.when(token.endswith(";"), F.element_at(table, F.rtrim(token, F.lit(";"))))
-    bare = F.regexp_extract(part, f"^(?:{_BARE})", 0)
-
-    def from_bare(name: Column) -> Column:
-        text = F.concat(F.element_at(table, name), F.substr(part, F.length(name) + 1))
-        return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(text)
-
-    value = F.coalesce(common, F.when(token.startswith("#"), _numeric(token)), named)
-    known = F.when(token != "", F.concat(value, rest))
-    return F.coalesce(known, F.when(token != "", let(bare, from_bare)), F.concat(F.lit("&"), part))
+_PLANES = ["", *"123456789abcdef", "10"]
+_SILENT = (
+    r"[\x01-\x08\x0b\x0e-\x1f\x7f\x{fdd0}-\x{fdef}" + "".join(rf"\x{{{p}fffe}}\x{{{p}ffff}}" for p in _PLANES) + "]"
+)
+_TOKEN = "^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
+
+# token of a numeric reference -> its character, by the HTML rules for odd code points
+_NUMERIC = f"""transform(transform(array(ltrim('0', regexp_replace(x.token, '[#xX;]', ''))),
+    d -> CASE WHEN d = '' THEN 0L WHEN length(d) > 8 THEN NULL
+         WHEN x.token RLIKE '^#[xX]' THEN bigint(conv(d, 16, 10)) ELSE try_cast(d AS bigint) END),
+    c -> CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111
+         THEN coalesce(try_element_at({_C1}, string(c)),
+              regexp_replace(decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'), r'{_SILENT}', ''))
+         ELSE chr(0) END)[0]""".replace("chr(0)", "'\\uFFFD'")
+
+# x.part is the text after an ampersand, x.token the reference it may start with.
+_REFERENCE = f"""CASE WHEN x.token = '' THEN concat('&', x.part) ELSE coalesce(
+    concat(coalesce(try_element_at({_COMMON}, x.token),
+                    CASE WHEN startswith(x.token, '#') THEN {_NUMERIC} END,
+                    CASE WHEN endswith(x.token, ';') THEN try_element_at({_NAMED}, rtrim(';', x.token)) END),
+           substr(x.part, length(x.token) + 1)),
+    transform(array(regexp_extract(x.part, '^(?:{_BARE})', 0)),
+      n -> concat(try_element_at({_NAMED}, n), substr(x.part, length(n) + 1)))[0],
+    concat('&', x.part)) END"""
+
+_DECODE = f"""t -> CASE WHEN NOT contains(t, '&') THEN t ELSE transform(array(split(t, '&')), parts -> concat(parts[0],
+    array_join(transform(transform(slice(parts, 2, size(parts)),
+      p -> struct(p AS part, regexp_extract(p, '{_TOKEN}', 1) AS token)), x -> {_REFERENCE}), '')))[0] END"""
 
 
 def decode_entities(c: Column | str) -> Column:
     """Decode character references once, left to right; text without '&' pays one search."""
-
-    def decode(parts: Column) -> Column:
-        tail = F.transform(
-            F.slice(parts, 2, F.size(parts)),
-            lambda p: F.struct(p.alias("part"), F.regexp_extract(p, _TOKEN, 1).alias("token")),
-        )
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(tail, _reference), ""))
-
-    return let(as_col(c), lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&"), decode)).otherwise(t))
+    return apply_sql(as_col(c), _DECODE)
 
 
 # --- elements -----------------------------------------------------------------------------
@@ -138,33 +124,26 @@ def opening(tag: str = "[a-zA-Z][a-zA-Z0-9]*", attribute: str = "") -> str:
     return rf"<{tag}\b[^>]*?{attribute}[^>]*>" if attribute else rf"<{tag}\b[^>]*>"
 
 
-def element_inner(html: Column | str, open_tag: str) -> Column:
-    """Inner HTML of the first element whose opening tag matches; NULL if there is none.
-
-    The text from that tag on is split before every opening or closing tag of the same name;
-    pieces are kept until the nesting depth is back at zero.
-    """
-    start = F.regexp_extract(as_col(html), f"(?is){open_tag}.*", 0)
+# s is the page from the element's opening tag on. It is split before every opening or closing
+# tag of the same name; pieces are kept until the nesting depth is back at zero. An element that
+# is never closed runs to the end of the page.
+_INNER = r"""s -> CASE WHEN s <> '' THEN transform(
+    array(split(s, concat('(?i)(?=</?', regexp_extract(s, '^<([a-zA-Z][a-zA-Z0-9]*)', 1), r'\b)'))),
+    pieces -> regexp_replace(array_join(slice(pieces, 1, aggregate(pieces,
+        struct(0 AS depth, 0 AS kept, false AS closed),
+        (a, p) -> CASE WHEN a.closed THEN a ELSE transform(array(a.depth + IF(startswith(p, '</'), -1, 1)),
+          d -> struct(d AS depth, a.kept + 1 AS kept, d <= 0 AS closed))[0] END,
+        a -> IF(a.closed, a.kept - 1, size(pieces)))), ''), '^<[^>]*>', ''))[0] END"""
 
-    def split(source: Column) -> Column:
-        tag = F.regexp_extract(source, "^<([a-zA-Z][a-zA-Z0-9]*)", 1)
-        return F.when(source != "", F.split(source, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)"))))
 
-    def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)
-        return F.when(acc["closed"], acc).otherwise(
-            F.struct(depth.alias("depth"), (acc["kept"] + 1).alias("kept"), (depth <= 0).alias("closed"))
-        )
+def element_inner(html: Column | str, open_tag: str) -> Column:
+    """Inner HTML of the first element whose opening tag matches; NULL if there is none."""
+    return apply_sql(F.regexp_extract(as_col(html), f"(?is){open_tag}.*", 0), _INNER)
 
-    def inner(pieces: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
-        # An element that is never closed runs to the end of the page.
-        kept = F.aggregate(
-            pieces, zero, step, lambda acc: F.when(acc["closed"], acc["kept"] - 1).otherwise(F.size(pieces))
-        )
-        return F.regexp_replace(F.array_join(F.slice(pieces, 1, kept), ""), "^<[^>]*>", "")
 
-    return let(let(start, split), inner)
+def first_element(html: Column, open_tags: Sequence[str]) -> Column:
+    """Inner HTML for the first of several opening tags that occurs in the page."""
+    return let(html, lambda page: F.coalesce(*[element_inner(page, t) for t in open_tags]))
 
 
 def without_scripts(html: Column | str, extra: tuple[str, ...] = ()) -> Column:
@@ -201,45 +180,28 @@ def json_unescape(c: Column | str) -> Column:
 # --- URLs ---------------------------------------------------------------------------------
 
 
-def _resolve_dots(path: Column) -> Column:
-    def walk(segments: Column) -> Column:
-        resolved = F.aggregate(
-            segments,
-            F.array().cast("array<string>"),
-            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(s == ".", acc)
-            .otherwise(F.array_append(acc, s)),
-        )
-        ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-        return F.array_join(F.when(ends_in_dots, F.array_append(resolved, F.lit(""))).otherwise(resolved), "/")
-
-    return F.concat(F.lit("/"), F.ltrim(let(F.split(path, "/"), walk), F.lit("/")))
+# Walks path segments, dropping '.' and letting '..' take away the segment before it.
+_DOTS = """transform(array(split(p, '/')), g -> concat('/', ltrim('/', array_join(
+    concat(aggregate(g, CAST(array() AS array<string>), (acc, e) -> CASE WHEN e = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0))
+             WHEN e = '.' THEN acc ELSE array_append(acc, e) END),
+           IF(element_at(g, -1) IN ('.', '..'), array(''), array())), '/'))))[0]"""
 
+_SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*:"
+_BASE = rf"^(({_SCHEME})(?://[^/?#]*)?)([^?#]*)"
 
-_BASE = r"^(([a-zA-Z][a-zA-Z0-9+.\-]*):(?://[^/?#]*)?)([^?#]*)"
+# x.b is the base, x.h the reference; only paths with a dot segment need the segment walk.
+_RESOLVE = f"""x -> CASE WHEN x.h = '' THEN x.b
+    WHEN x.h RLIKE r'^{_SCHEME}' THEN x.h
+    WHEN startswith(x.h, '//') THEN concat(regexp_extract(x.b, r'{_BASE}', 2), x.h)
+    WHEN startswith(x.h, '?') THEN concat(regexp_extract(x.b, r'{_BASE}', 1), regexp_extract(x.b, r'{_BASE}', 3), x.h)
+    WHEN startswith(x.h, '#') THEN concat(regexp_extract(x.b, '^([^#]*)', 1), IF(x.h = '#', '', x.h))
+    ELSE concat(regexp_extract(x.b, r'{_BASE}', 1),
+      transform(array(IF(startswith(x.h, '/'), '', coalesce(nullif(regexp_replace(regexp_extract(x.b, r'{_BASE}', 3), '[^/]*$', ''), ''), '/'))
+                      || regexp_extract(x.h, '^([^?#]*)', 1)),
+        p -> CASE WHEN p RLIKE r'/[.][.]?(?:/|$)' THEN {_DOTS} ELSE p END)[0],
+      regexp_extract(x.h, '^[^?#]*(.*)$', 1)) END"""
 
 
 def absolutize_url(base: Column | str, href: Column | str) -> Column:
     """Resolve ``href`` against ``base`` (RFC 3986 reference resolution)."""
-
-    def resolve(x: Column) -> Column:
-        b, h = x["base"], x["href"]
-        scheme, root, base_path = (F.regexp_extract(b, _BASE, i) for i in (2, 1, 3))
-        href_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-        folder = F.regexp_replace(base_path, "[^/]*$", "")
-        merged = F.when(h.startswith("/"), href_path).otherwise(
-            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href_path)
-        )
-        # Only paths with a dot segment need the segment walk.
-        path = let(merged, lambda p: F.when(p.rlike(r"/\.\.?(?:/|$)"), _resolve_dots(p)).otherwise(p))
-        no_fragment = F.regexp_extract(b, "^([^#]*)", 1)
-        return (
-            F.when(h == "", b)
-            .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("?"), F.concat(root, base_path, h))
-            .when(h.startswith("#"), F.concat(no_fragment, F.when(h == "#", F.lit("")).otherwise(h)))
-            .otherwise(F.concat(root, path, F.substr(h, F.length(href_path) + 1)))
-        )
-
-    return let(F.struct(as_col(base).alias("base"), F.trim(as_col(href)).alias("href")), resolve)
+    return apply_sql(F.struct(as_col(base).alias("b"), F.trim(as_col(href)).alias("h")), _RESOLVE)

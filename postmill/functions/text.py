@@ -45,6 +45,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def apply_sql(value: Column, function: str) -> Column:
+    """``function``, an SQL lambda such as ``x -> upper(x)``, applied to ``value``.
+
+    Long expressions are written this way: the text is parsed in one step, where the same built
+    from Columns takes a call into the JVM for every node.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(function)), F.lit(0))
+
+
+def computed(**values: Column) -> Column:
+    """Columns to select that are computed once per row.
+
+    A filter on an ordinary computed column is pushed below its projection and then evaluates
+    the expression a second time. It cannot pass a generator, so costly fields go through one.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in values.items()])))
+
+
 def strip(c: Column | str) -> Column:
     """Remove Python whitespace at both ends."""
     return F.regexp_replace(as_col(c), f"^[{SPACE}]+|[{SPACE}]+$", EMPTY)

@@ -31,18 +31,19 @@ def emit(
     keyword_text: Column | None = None,
 ) -> DataFrame:
     """Project a reader's fields to the common columns."""
-    values = {
-        "title": title,
-        "location": location,
-        "url": F.coalesce(url, F.lit("")),
-        "description": description,
-        "date_posted": F.lit(None).cast("string") if date_posted is None else date_posted,
-        "date_collected": F.col("fetched_at"),
-    }
-    if keyword_text is not None:
-        values["_keyword_text"] = keyword_text
-    named = df.withColumns(values)
     tested = posting_text() if keyword_text is None else F.col("_keyword_text")
+    named = df.select(
+        *("source", "company", "keyword_pattern", *ARRIVAL),
+        F.col("fetched_at").alias("date_collected"),
+        text.computed(
+            title=title,
+            location=location,
+            url=F.coalesce(url, F.lit("")),
+            description=description,
+            date_posted=F.lit(None).cast("string") if date_posted is None else date_posted,
+            **({} if keyword_text is None else {"_keyword_text": keyword_text}),
+        ),
+    )
     return named.withColumn("keyword_hit", text.matches_pattern(tested, "keyword_pattern")).select(*COLUMNS)
 
 

@@ -43,44 +43,51 @@ def from_successfactors(
     pages = raw.withColumnRenamed("url", "page_url")
     chunks = F.split(html.without_scripts("body"), r"(?i)(?=<tr\b)")
     rows = pages.select("*", F.posexplode(chunks).alias("_row", "_html")).drop("body")
-    in_table = F.col("_html").rlike(r"(?i)^<tr\b")
-    row_html = F.regexp_extract("_html", r"(?is)^(.*?)(?:</tr\s*>|\z)", 1)
 
-    def cell(name: str) -> Column:
-        inner = html.element_inner(row_html, html.opening("span", html.class_token(name)))
-        return F.when(in_table, html.strip_html(inner)).otherwise(F.lit(""))
+    def cell(row: Column, name: str) -> Column:
+        return html.strip_html(html.element_inner(row, html.opening("span", html.class_token(name))))
+
+    def links(x: Column) -> Column:
+        return F.transform(
+            html.anchors("_html", link),
+            lambda a: F.struct(
+                html.absolutize_url(x["base"], html.attribute(a, "href")).alias("url"),
+                html.strip_html(a).alias("title"),
+                x["location"].alias("location"),
+                x["date"].alias("date"),
+            ),
+        )
 
     link = rf"""(?is)<a\b[^>]*?{html.class_token("jobTitle-link")}[^>]*>.*?(?=</a\s*>|\z)"""
-    links = rows.withColumns({"location": cell("jobLocation"), "_date": cell("jobDate")}).select(
-        "*", F.posexplode(html.anchors("_html", link)).alias("_n", "_anchor")
+    # Links outside a table row have neither location nor date.
+    row = F.regexp_extract("_html", r"(?is)^(<tr\b.*?)(?:</tr\s*>|\z)", 1)
+    in_row = F.struct(
+        cell(row, "jobLocation").alias("location"), cell(row, "jobDate").alias("date"), _base_url(SUCCESSFACTORS_BASES).alias("base")
     )
     # Position in the page: row first, then link in the row.
-    found = links.withColumns(
-        {
-            "pos": F.col("_row") * 10_000 + F.col("_n"),
-            "url": html.absolutize_url(_base_url(SUCCESSFACTORS_BASES), html.attribute("_anchor", "href")),
-            "_title": html.strip_html("_anchor"),
-        }
-    ).drop("_html", "_anchor")
-    listed = found.filter((F.col("url") != "") & text.matches_location("location", markers))
+    listed = (
+        rows.select("*", F.posexplode(text.let(in_row, links)).alias("_n", "_link"))
+        .select("*", (F.col("_row") * 10_000 + F.col("_n")).alias("pos"), "_link.*")
+        .drop("_html", "_link")
+        .filter((F.col("url") != "") & text.matches_location("location", markers))
+    )
     full = _with_details(cap_per_source(dedupe_by_url(listed), max_detail), details)
     return emit(
         full,
-        title=F.col("_title"),
+        title=F.col("title"),
         location=F.col("location"),
         url=F.col("url"),
         description=_detail_text(F.col("detail_html")),
-        date_posted=dates.iso_date(dates.parse_date_any("_date", dates.TABLE_ROW_FORMATS)),
+        date_posted=dates.iso_date(dates.parse_date_any("date", dates.TABLE_ROW_FORMATS)),
     )
 
 
 def _detail_text(page: Column) -> Column:
     """Text of the description element, the job element, or the body, in that order."""
-    clean = html.without_scripts(page)
     item = r"""\bitemprop\s*=\s*(?:"description"|'description')"""
     choices = (html.opening("span", item), html.opening(attribute=html.class_token("jobdescription")),
                html.opening(attribute=html.class_token("job")), html.opening("body"))
-    return html.strip_html(F.coalesce(*[html.element_inner(clean, c) for c in choices]))
+    return html.strip_html(html.first_element(html.without_scripts(page), choices))
 
 
 def from_siemens(raw: DataFrame, details: DataFrame | None = None, max_detail: int | None = SIEMENS_DETAILS) -> DataFrame:
@@ -90,8 +97,7 @@ def from_siemens(raw: DataFrame, details: DataFrame | None = None, max_detail: i
     titled = longest_text_per_url(found, carry=("company", "keyword_pattern", "rank", "fetched_at"))
     listed = cap_per_source(titled, max_detail).filter(F.lower("text") != "learn more")
     full = _with_details(listed, details)
-    page = html.without_scripts("detail_html")
-    content = F.coalesce(html.element_inner(page, html.opening("main")), html.element_inner(page, html.opening("body")))
+    content = html.first_element(html.without_scripts("detail_html"), [html.opening("main"), html.opening("body")])
     return emit(
         full.withColumn("_text", html.strip_html(content)),
         title=F.col("text"),
@@ -104,15 +110,14 @@ def from_siemens(raw: DataFrame, details: DataFrame | None = None, max_detail: i
 def page_links(raw: DataFrame, base: Column | None = None) -> DataFrame:
     """Every link of a page: resolved ``url``, raw ``href``, ``text`` and ``pos``."""
     pages = raw.withColumnRenamed("url", "page_url")
-    links = pages.select("*", F.posexplode(html.anchors(html.without_scripts("body"))).alias("pos", "_anchor")).drop("body")
-    href = html.attribute("_anchor", "href")
-    return links.withColumns(
-        {
-            "href": href,
-            "url": html.absolutize_url(F.col("page_url") if base is None else base, href),
-            "text": html.strip_html("_anchor"),
-        }
-    ).drop("_anchor")
+    origin = F.col("page_url") if base is None else base
+
+    def link(anchor: Column) -> Column:
+        return F.struct(html.attribute(anchor, "href").alias("href"), html.strip_html(anchor).alias("text"))
+
+    found = F.transform(html.anchors(html.without_scripts("body")), link)
+    links = pages.select("*", F.posexplode(found).alias("pos", "_link")).drop("body")
+    return links.select("*", "_link.*").drop("_link").withColumn("url", html.absolutize_url(origin, "href"))
 
 
 # --- rendered pages -----------------------------------------------------------------------
@@ -161,33 +166,49 @@ def rendered_links(pages: DataFrame) -> DataFrame:
     closed = F.regexp_extract("_chunk", r"(?is)^(.*?</(?:article|li|tr)\s*>)", 1)
     card = F.when(tag.isin("article", "li", "tr") & (closed != ""), closed).otherwise(F.col("_chunk"))
     is_card = F.col("_chunk").rlike(rf"(?i)^(?:{_CARD})") & (tag != "a")
-    links = cards.withColumn("_card", card).select(
-        "*", F.posexplode(html.anchors("_chunk")).alias("_n", "_anchor")
+
+    def links(x: Column) -> Column:
+        return F.transform(
+            html.anchors("_chunk"),
+            lambda a: F.struct(
+                html.absolutize_url("page_url", html.attribute(a, "href")).alias("url"),
+                text.clean_text(F.substring_index(html.rendered_text(a), "\n", 1)).alias("title"),
+                F.when(F.contains(x["card"], a), x["text"]).otherwise(text.clean_text(html.rendered_text(a))).alias("card_text"),
+            ),
+        )
+
+    def with_text(c: Column) -> Column:
+        return F.struct(c.alias("card"), text.clean_text(html.rendered_text(c)).alias("text"))
+
+    in_card = text.let(F.when(is_card, card).otherwise(F.lit("")), with_text)
+    return (
+        cards.select("*", F.posexplode(text.let(in_card, links)).alias("_n", "_link"))
+        .select("*", (F.col("_card_no") * 10_000 + F.col("_n")).alias("pos"), "_link.*")
+        .drop("_chunk", "_link")
     )
-    inside = is_card & F.contains(F.col("_card"), F.col("_anchor"))
-    shown = html.rendered_text("_anchor")
-    return links.withColumns(
-        {
-            "url": html.absolutize_url("page_url", html.attribute("_anchor", "href")),
-            "title": text.clean_text(F.substring_index(shown, "\n", 1)),
-            "card_text": text.clean_text(html.rendered_text(F.when(inside, F.col("_card")).otherwise(F.col("_anchor")))),
-            "pos": F.col("_card_no") * 10_000 + F.col("_n"),
-        }
-    ).drop("_chunk", "_card", "_anchor")
-
-
-def detail_fields(page: Column) -> dict[str, Column]:
-    """Title and text of a captured detail page: the best content element and its heading."""
-    clean = html.without_scripts(page, ("noscript",))
+
+
+def detail_fields(page: Column) -> Column:
+    """(title, text) of a captured detail page: the best content element and its heading."""
     # Content elements in order of preference.
     classes = ("jobdetail", "job-detail", "jobDescription", "job-description")
     choices = [html.opening(attribute=html.attr_contains("class", c)) for c in classes]
     choices += [html.opening(attribute=html.attr_contains("data-testid", "job")), html.opening("main"),
                 html.opening("article"), html.opening("body")]
-    content = F.coalesce(*[html.element_inner(clean, c) for c in choices], clean)
     heading = html.opening("h[12]")
-    title = F.coalesce(html.element_inner(content, heading), html.element_inner(clean, heading), F.lit(""))
-    return {"detail_title": text.clean_text(html.rendered_text(title)), "detail_text": text.clean_text(html.rendered_text(content))}
+
+    def read(x: Column) -> Column:
+        title = F.coalesce(html.element_inner(x["content"], heading), html.element_inner(x["page"], heading))
+        return F.struct(
+            text.clean_text(html.rendered_text(title)).alias("title"),
+            text.clean_text(html.rendered_text(x["content"])).alias("text"),
+        )
+
+    def parts(clean: Column) -> Column:
+        content = F.coalesce(html.first_element(clean, choices), clean)
+        return F.struct(clean.alias("page"), content.alias("content"))
+
+    return text.let(text.let(html.without_scripts(page, ("noscript",)), parts), read)
 
 
 def from_rendered_listings(
@@ -206,7 +227,8 @@ def from_rendered_listings(
     if spec.max_age_days is not None:
         today = F.to_date(dates.parse_instant("fetched_at")) if as_of_date is None else as_of_date
         listed = accept_recent_local(listed, spec.max_age_days, spec.locations, today)
-    full = attach_details(listed, details, "inner").withColumns(detail_fields(F.col("detail_html"))).drop("detail_html")
+    full = attach_details(listed, details, "inner").withColumn("_detail", detail_fields(F.col("detail_html")))
+    full = full.drop("detail_html").withColumns({"detail_title": F.col("_detail.title"), "detail_text": F.col("_detail.text")})
     place = labels.extract_location("detail_text")
     return emit(
         full.withColumn("_place", place),
