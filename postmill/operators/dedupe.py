@@ -45,7 +45,7 @@ def except_stored(batch: DataFrame, stored: DataFrame, key: str = "dedupe_key")
     far, so that step can run as a broadcast or Bloom-filtered semi join, and the big key column
     is not shuffled for every batch.
     """
-    seen = stored.select(key).join(batch.select(key), key, "left_semi").distinct()
+    seen = stored.select(key).join(batch.select(key), key, "left_semi")
     return batch.join(seen, key, "left_anti")
 
 

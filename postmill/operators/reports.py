@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.labels import status_label
-from postmill.functions.text import html_escape
+from postmill.functions.text import ascii_lower, html_escape
 from postmill.operators.filters import list_postings, order_export, top_scoring
 from postmill.operators.joins import attach_connections, watchlist_stats
-from postmill.operators.runs import failed_runs, latest_run_per_source, problem_runs, todays_runs
-from postmill.operators.store import active_watchlist
+from postmill.operators.runs import failed_runs, latest_run_per_source, problem_runs, since_midnight
 
 # Report lines sort by these columns; text keys are '' and ids 0 where they do not apply.
 LINE_ORDER = ("section", "source", "at", "id", "line_no")
@@ -43,7 +42,7 @@ def _run_line() -> Column:
 
 def summary_subject(runs: DataFrame, as_of: Column, title: str = "Daily summary") -> DataFrame:
     """One row with the subject; today's failures are appended if there are any."""
-    return todays_runs(runs, as_of).agg(F.count_if(F.col("status") == "error").alias("_n")).select(
+    return since_midnight(runs, as_of).agg(F.count_if(F.col("status") == "error").alias("_n")).select(
         F.concat(
             F.lit(title),
             F.when(F.col("_n") > 0, F.concat(F.lit(" - "), _plural(F.col("_n"), "collector failure"))).otherwise(""),
@@ -72,7 +71,7 @@ def daily_summary(
     parts.append(_lines(lines, 2, F.col("text"), F.col("place") * 3 + F.col("n")))
     parts.append(_lines(top.filter(F.size("top") == 0), 2, F.lit("No scored jobs found.")))
 
-    today = todays_runs(runs, as_of)
+    today = since_midnight(runs, as_of)
     some = today.limit(1)
     parts.append(_lines(some, 3, F.lit(""), 0))
     parts.append(_lines(some, 3, F.lit("Collector health (today's runs):"), 1))
@@ -86,7 +85,7 @@ def daily_summary(
 
 def failure_alert(runs: DataFrame, as_of: Column) -> DataFrame:
     """Lines for today's failed runs, led by a count; no rows when nothing failed."""
-    failed = failed_runs(todays_runs(runs, as_of))
+    failed = failed_runs(since_midnight(runs, as_of))
     count = failed.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0)
     started = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return (
@@ -148,7 +147,8 @@ def cards_or_notice(postings: DataFrame) -> DataFrame:
 
 def watchlist_report(watchlist: DataFrame, postings: DataFrame) -> DataFrame:
     """Active companies with their posting statistics, blanks for what is missing."""
-    return watchlist_stats(active_watchlist(watchlist), postings).select(
+    stats = watchlist_stats(watchlist.filter("active"), postings).orderBy(ascii_lower("name"))
+    return stats.select(
         "name",
         F.coalesce("careers_url", F.lit("")).alias("careers_url"),
         "total_jobs",

@@ -59,7 +59,7 @@ def had_postings_recently(runs: DataFrame, n: int = 7) -> DataFrame:
     return recent.groupBy("source").agg(F.bool_or(F.col("jobs_found") > 0).alias("had_postings"))
 
 
-def recent_yield(runs: DataFrame, n: int = 7, chunk: str = "day") -> DataFrame:
+def recent_yield(runs: DataFrame, n: int = 7, chunk: str = "hour") -> DataFrame:
     """Every finished run with ``had_postings``: did the ``n`` finished runs before it find any?
 
     A source may own much of the table, so its history is cut into calendar chunks. Each chunk
@@ -94,7 +94,7 @@ def status_of(found: Column, had_postings: Column, failed: Column) -> Column:
     return F.when(failed, F.lit("error")).when((found == 0) & had_postings, F.lit("warning")).otherwise(F.lit("ok"))
 
 
-def run_status(runs: DataFrame, n: int = 7, chunk: str = "day") -> DataFrame:
+def run_status(runs: DataFrame, n: int = 7, chunk: str = "hour") -> DataFrame:
     """Finished runs with the status their counts and history imply; failed runs count nothing."""
     failed = F.col("status") == "error"
     return (
@@ -110,9 +110,13 @@ def runs_since(runs: DataFrame, instant: Column) -> DataFrame:
     return runs.filter(F.col("started_at") >= instant).orderBy("started_at", "source")
 
 
+def since_midnight(runs: DataFrame, as_of: Column) -> DataFrame:
+    """Runs since UTC midnight of ``as_of``, in no order."""
+    return runs.filter(F.col("started_at") >= F.date_trunc("day", as_of))
+
+
 def todays_runs(runs: DataFrame, as_of: Column) -> DataFrame:
-    """Runs since UTC midnight of ``as_of``."""
-    return runs.filter(F.col("started_at") >= F.date_trunc("day", as_of)).orderBy("source", "started_at")
+    return since_midnight(runs, as_of).orderBy("source", "started_at")
 
 
 def failed_runs(runs: DataFrame) -> DataFrame:

@@ -368,18 +368,16 @@ def keyword_filter(spark, sf):
 @query(
     "location_filter",
     P
-    + """, places AS (SELECT n_regionkey AS k, list(lower(n_name)) AS locs FROM nation GROUP BY 1)
-  SELECT id, source, location FROM p WHERE length(source) % 5 = 0
-    OR EXISTS (SELECT 1 FROM nation WHERE n_regionkey = length(source) % 5 AND contains(lower(location), lower(left(n_name, 4))))""",
+    + """ SELECT id, source, location FROM p WHERE length(source) % 5 = 0
+    OR EXISTS (SELECT 1 FROM nation WHERE n_regionkey = length(source) % 5 AND contains(lower(location), lower(n_name)))""",
 )
 def location_filter(spark, sf):
-    """Each source allows the places of one region, given by their first letters; the sources
-    of region 0 have no list and allow everything."""
-    places = b.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_set(F.substring("n_name", 1, 4)).alias("locations"))
+    """Each source allows the places of one region (names match as substrings); the sources of
+    region 0 have an empty list and allow everything."""
+    places = b.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_set("n_name").alias("locations"))
     names = b.table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("source")).distinct()
-    dim = names.join(places, F.length("source") % 5 == F.col("n_regionkey"), "left").select(
-        "source", F.when(F.col("n_regionkey") == 0, F.array().cast("array<string>")).otherwise(F.col("locations")).alias("locations")
-    )
+    allowed = F.when(F.col("n_regionkey") == 0, F.array().cast("array<string>")).otherwise(F.col("locations"))
+    dim = names.join(places, F.length("source") % 5 == F.col("n_regionkey"), "left").select("source", allowed.alias("locations"))
     rows = lookup_join(b.postings(spark, sf).select("id", "source", "location"), dim, ["source"], "id", "inner")
     return filters.location_filter(rows, F.col("locations")).select("id", "source", "location")
 
@@ -534,12 +532,12 @@ def postings_view(spark, sf):
 @query(
     "recent_local",
     P
-    + """ SELECT id, location, date_posted FROM p WHERE id % 11 <> 0 AND id % 13 <> 0 AND o_orderdate >= DATE '1997-01-01' - 700
-    AND (contains(lower(location), 'germany') OR contains(lower(location), 'an'))""",
+    + """ SELECT id, location, date_posted FROM p WHERE id % 11 <> 0 AND id % 13 <> 0 AND o_orderdate >= DATE '2001-06-01' - 700
+    AND (contains(lower(location), 'nation_1') OR contains(lower(location), '_7'))""",
 )
 def recent_local(spark, sf):
     rows = b.postings(spark, sf).select("id", "location", "date_posted")
-    return filters.accept_recent_local(rows, 700, ("germany", "an"), F.lit("1997-01-01").cast("date"))
+    return filters.accept_recent_local(rows, 700, ("nation_1", "_7"), F.lit("2001-06-01").cast("date"))
 
 
 # --- runs and reports ---------------------------------------------------------------------

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postmill.functions.dates import instant
 from postmill.functions.labels import LinkRules
 from postmill.plans import bindings as b
-from postmill.plans.catalog import P, query
+from postmill.plans.catalog import AS_OF, P, R, query
+from postmill.plans.collection import collect_all
 from postmill.sources import boards, listings, searches
+from postmill.sources.registry import expand_sources
 
 OUT = ("title", "company", "location", "source", "url", "description", "date_posted", "keyword_hit")
 HIT = "regexp_matches({0}, '(?i)(^|[^a-z0-9])(high|urgent)([^a-z0-9]|$)')"
@@ -300,3 +303,52 @@ def rendered(spark, sf):
     details = b.detail_pages(rows, url, F.when(F.col("id") % 7 != 0, F.when(even, full).otherwise(bare)))
     spec = listings.RenderedSpec(LinkRules(domains=("site.example",)))
     return listings.from_rendered_listings(b.landed(rows, entry, body), details, spec).select(*OUT)
+
+
+@query(
+    "collect_all",
+    P
+    + f""", {R.removeprefix("WITH ")}, src AS (SELECT DISTINCT lower(c_mktsegment) AS source FROM customer UNION SELECT 'empty' UNION SELECT 'broken'),
+  hist AS (SELECT bool_or(jobs_found > 0) AS had FROM (SELECT * FROM r WHERE status <> 'running' ORDER BY started_at DESC, id DESC LIMIT 7) t),
+  hit AS (SELECT *, CASE WHEN id % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
+      regexp_replace(lower('Acme'), '[^a-z0-9]+', ' ', 'g') || '::' || {"trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"} || '::' || {"trim(regexp_replace(lower(location), '[^a-z0-9]+', ' ', 'g'))"} AS k
+    FROM p WHERE {HIT.format("title || ' ' || location || ' ' || description")}),
+  recent AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source, id) AS n FROM hit WHERE day IS NULL OR day >= DATE '2001-06-01' - 1000),
+  f AS (SELECT source, count(*) AS n FROM hit GROUP BY 1), i AS (SELECT source, count(*) AS n FROM recent WHERE n = 1 GROUP BY 1)
+  SELECT 'lever_' || src.source AS source, CASE WHEN src.source = 'broken' THEN 'error'
+      WHEN coalesce(f.n, 0) = 0 AND src.source = 'empty' AND (SELECT had FROM hist) THEN 'warning' ELSE 'ok' END AS status,
+    coalesce(f.n, 0) AS jobs_found, coalesce(i.n, 0) AS jobs_inserted,
+    CASE WHEN src.source = 'broken' THEN 'RuntimeError: site changed' END AS error_message
+  FROM src LEFT JOIN f ON src.source = f.source LEFT JOIN i ON src.source = i.source""",
+)
+def collection(spark, sf):
+    """The whole collection job: one board per market segment, one board that found nothing but
+    has the events as its history, and one whose fetch failed."""
+    rows = _dated(spark, sf)
+    millis = F.unix_date("day").cast("long") * 86400000
+    entry = F.struct(
+        F.col("title").alias("text"),
+        F.concat(F.lit("https://l.example/"), _id()).alias("hostedUrl"),
+        F.struct("location").alias("categories"),
+        F.when(F.col("id") % 7 == 0, 0).otherwise(millis).alias("createdAt"),
+        F.col("description").alias("descriptionPlain"),
+    )
+    board = F.concat(F.lit("lever_"), "source")
+    good = b.landed(rows, entry, F.to_json, board)
+    failed = good.limit(1).withColumns({"source": F.lit("lever_broken"), "body": F.lit(None), "error": F.lit("RuntimeError: site changed")})
+    raw = good.unionByName(failed).select("source", "url", "term", "fetched_at", "seq", "body", "error")
+
+    segments = b.table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("slug")).distinct()
+    slugs = F.array_sort(F.concat(F.collect_list("slug"), F.array(F.lit("empty"), F.lit("broken"))))
+    no_list = F.lit(None).cast("array<string>")
+    config = segments.agg(slugs.alias("slugs")).select(
+        F.lit("lever").alias("name"),
+        F.lit(True).alias("enabled"),
+        no_list.alias("keywords"),
+        F.transform("slugs", lambda s: F.struct(s.alias("slug"), F.lit("Acme").alias("company"), no_list.alias("locations"), no_list.alias("keywords"))).alias("boards"),
+    )
+    sources = expand_sources(config, ["high", "urgent"])
+    past = b.runs(spark, sf).withColumn("source", F.lit("lever_empty"))
+    nothing = b.postings(spark, sf).filter(F.lit(False))
+    result = collect_all(raw, sources, nothing, past, instant(AS_OF), 1000, kinds=["lever"])
+    return result.runs.select("source", "status", "jobs_found", "jobs_inserted", "error_message")

@@ -18,12 +18,12 @@ TAIL = T.StructType([f for f in RUNS.fields if f.name in ("id", "source", "start
 
 
 def run_health_stream(
-    runs: DataFrame, judged: StoredTable, tail: StoredTable, checkpoint: str, n: int = 7, chunk: str = "day"
+    runs: DataFrame, judged: StoredTable, tail: StoredTable, checkpoint: str, n: int = 7, chunk: str = "hour"
 ) -> StreamingQuery:
     """Judge each batch's runs with the batch operator, given the last ``n`` runs per source.
 
     The state is that tail, a stored table of at most ``n`` rows per source. A source with very
-    many runs in one batch is still split by day there, which a keyed state function could not
+    many runs in one batch is still split by time there, which a keyed state function could not
     do: it would get all of a source's rows in one call.
     """
 
