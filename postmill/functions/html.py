@@ -196,8 +196,9 @@ _RESOLVE = f"""x -> CASE WHEN x.h = '' THEN x.b
     WHEN startswith(x.h, '?') THEN concat(regexp_extract(x.b, r'{_BASE}', 1), regexp_extract(x.b, r'{_BASE}', 3), x.h)
     WHEN startswith(x.h, '#') THEN concat(regexp_extract(x.b, '^([^#]*)', 1), IF(x.h = '#', '', x.h))
     ELSE concat(regexp_extract(x.b, r'{_BASE}', 1),
-      transform(array(IF(startswith(x.h, '/'), '', coalesce(nullif(regexp_replace(regexp_extract(x.b, r'{_BASE}', 3), '[^/]*$', ''), ''), '/'))
-                      || regexp_extract(x.h, '^([^?#]*)', 1)),
+      transform(array(IF(startswith(x.h, '/'), regexp_extract(x.h, '^([^?#]*)', 1), regexp_replace(
+          coalesce(nullif(regexp_replace(regexp_extract(x.b, r'{_BASE}', 3), '[^/]*$', ''), ''), '/')
+          || regexp_extract(x.h, '^([^?#]*)', 1), '/+', '/'))),
         p -> CASE WHEN p RLIKE r'/[.][.]?(?:/|$)' THEN {_DOTS} ELSE p END)[0],
       regexp_extract(x.h, '^[^?#]*(.*)$', 1)) END"""
 

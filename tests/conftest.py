@@ -20,3 +20,15 @@ def spark():
 def one(spark):
     """Evaluate a single Column."""
     return lambda column: spark.range(1).select(column.alias("x")).first().x
+
+
+@pytest.fixture
+def evaluate(spark):
+    """Apply a Column function to a list of texts, in order."""
+
+    def run(texts, function):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+        found = {r.i: r.v for r in rows.select("i", function("t").alias("v")).collect()}
+        return [found[i] for i in range(len(texts))]
+
+    return run
