@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import keyword_pattern, title_case
 from postmill.schema import DEFAULT_KEYWORDS, SOURCE_CONFIG
-from postmill.sources import boards, listings, searches
+from postmill.sources import boards, listings, sample, searches
 
 # Single sources in their running order, with the company of each.
 SINGLE_SOURCES = {
@@ -48,6 +48,7 @@ def register_source(kind: str, reader: Reader) -> None:
 
 
 for _kind, _reader in {
+    "mock": sample.from_sample,
     "greenhouse": boards.from_greenhouse,
     "lever": boards.from_lever,
     "ashby": boards.from_ashby,

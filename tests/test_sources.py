@@ -96,4 +96,23 @@ def test_search_terms_and_registry(spark, one):
     reader = lambda raw, pages: raw
     registry.register_source("custom", reader)
     assert registry.READERS.pop("custom") is reader
-    assert set(registry.READERS) == (set(registry.SINGLE_SOURCES) - {"mock"}) | set(registry.BOARD_PLATFORMS)
+    assert set(registry.READERS) == set(registry.SINGLE_SOURCES) | set(registry.BOARD_PLATFORMS)
+
+
+def test_sample_source_ignores_keywords(spark):
+    rows = registry.READERS["mock"](landed(spark, "mock", "{}"), None).collect()
+    assert len(rows) == 10 and all(r.keyword_hit for r in rows)
+    assert (rows[0].title, rows[0].company, rows[0].url, rows[0].date_posted) == ("AI Product Engineer", "Northstar Labs", "https://example.com/jobs/1", "2026-06-01")
+
+
+def test_all_kinds_read_together(spark):
+    """One plan over every kind of source; unreadable pages of one leave the others alone."""
+    from postmill.plans.collection import parse_sources
+
+    config = {"collectors": {name: {"enabled": True} for name in registry.SINGLE_SOURCES}}
+    sources = registry.expand_sources(registry.config_frame(spark, config), ["llm"])
+    amazon = json.dumps({"jobs": [{"title": "LLM Scientist", "location": "Berlin", "job_path": "/en/1"}]})
+    raw = landed(spark, "amazon", amazon).select(*RAW.names).union(landed(spark, "mock", "{}").select(*RAW.names)).union(landed(spark, "meta", "<p>x").select(*RAW.names))
+    pages = spark.createDataFrame([], RAW)
+    found = parse_sources(raw, sources, pages).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in found} == {"amazon": 1, "mock": 10}
