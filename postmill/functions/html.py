@@ -86,12 +86,12 @@ _NUMERIC = f"""transform(transform(array(ltrim('0', regexp_replace(x.token, '[#x
 
 # x.part is the text after an ampersand, x.token the reference it may start with.
 _REFERENCE = f"""CASE WHEN x.token = '' THEN concat('&', x.part) ELSE coalesce(
-    concat(coalesce(try_element_at({_COMMON}, x.token),
-                    CASE WHEN startswith(x.token, '#') THEN {_NUMERIC} END,
-                    CASE WHEN endswith(x.token, ';') THEN try_element_at({_NAMED}, rtrim(';', x.token)) END),
+    concat(coalesce(try_element_at({_COMMON}, x.token), CASE WHEN startswith(x.token, '#') THEN {_NUMERIC} END),
            substr(x.part, length(x.token) + 1)),
-    transform(array(regexp_extract(x.part, '^(?:{_BARE})', 0)),
-      n -> concat(try_element_at({_NAMED}, n), substr(x.part, length(n) + 1)))[0],
+    transform(array({_NAMED}), names -> coalesce(
+      concat(CASE WHEN endswith(x.token, ';') THEN try_element_at(names, rtrim(';', x.token)) END, substr(x.part, length(x.token) + 1)),
+      transform(array(regexp_extract(x.part, '^(?:{_BARE})', 0)),
+        n -> concat(try_element_at(names, n), substr(x.part, length(n) + 1)))[0]))[0],
     concat('&', x.part)) END"""
 
 _DECODE = f"""t -> CASE WHEN NOT contains(t, '&') THEN t ELSE transform(array(split(t, '&')), parts -> concat(parts[0],

@@ -102,11 +102,15 @@ def unscored(df: DataFrame) -> DataFrame:
     return df.filter(F.col("score").isNull())
 
 
-def accept_recent_local(listings: DataFrame, max_age_days: int, locations: Sequence[str], as_of_date: Column) -> DataFrame:
-    """Listings with a readable, recent date in one of the places; a missing date rejects."""
+def is_recent_local(max_age_days: int, locations: Sequence[str], as_of_date: Column) -> Column:
+    """A readable date of at most that age, in one of the places; a missing date says no."""
     posted = dates.parse_date_any("date_posted", dates.LISTING_FORMATS)
     fresh = F.coalesce(posted >= F.date_sub(as_of_date, max_age_days), F.lit(False))
-    return listings.filter(fresh & text.matches_location(F.coalesce("location", F.lit("")), locations))
+    return fresh & text.matches_location(F.coalesce("location", F.lit("")), locations)
+
+
+def accept_recent_local(listings: DataFrame, max_age_days: int, locations: Sequence[str], as_of_date: Column) -> DataFrame:
+    return listings.filter(is_recent_local(max_age_days, locations, as_of_date))
 
 
 def drop_noisy_terms(results: DataFrame, max_results: int = 200, total: str = "total") -> DataFrame:

@@ -18,24 +18,25 @@ from postmill.operators.store import new_postings, with_new_ids
 from postmill.schema import RUNS
 from postmill.session import stage
 from postmill.sources.common import ARRIVAL, COLUMNS
-from postmill.sources.registry import JSON_KINDS, READERS, RENDERED_KINDS
+from postmill.sources.registry import BOARD_PLATFORMS, JSON_KINDS, READERS, RENDERED_KINDS
 from postmill.sources.tables import StoredTable
 
 
 def source_failures(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, failure) for sources with a failed fetch or an unreadable JSON body."""
     kind = F.col("source")
-    for platform in ("greenhouse", "lever", "ashby"):
+    for platform in BOARD_PLATFORMS:
         kind = F.when(F.col("source").startswith(f"{platform}_"), F.lit(platform)).otherwise(kind)
     unreadable = kind.isin(*JSON_KINDS) & F.try_parse_json("body").isNull()
     failure = F.coalesce(F.col("error"), F.when(unreadable, F.lit("ValueError: response is not JSON")))
     return raw.groupBy("source").agg(F.min_by(failure, F.when(failure.isNotNull(), F.col("seq"))).alias("failure")).filter("failure is not null")
 
 
-def _of_kind(raw: DataFrame, kind: str) -> DataFrame:
-    """Responses of one kind; a plain test on `source`, so that the scan can skip row groups."""
-    is_board = kind in ("greenhouse", "lever", "ashby")
-    return raw.filter(F.col("source").startswith(f"{kind}_") if is_board else F.col("source") == kind)
+def _of_kinds(raw: DataFrame, kinds: list[str]) -> DataFrame:
+    """Responses of some kinds; plain tests on `source`, so that the scan can skip row groups."""
+    tests = [F.col("source").startswith(f"{k}_") for k in kinds if k in BOARD_PLATFORMS]
+    singles = [k for k in kinds if k not in BOARD_PLATFORMS]
+    return raw.filter(reduce(lambda a, b: a | b, tests, F.col("source").isin(*singles)))
 
 
 def parse_sources(
@@ -47,15 +48,19 @@ def parse_sources(
 ) -> DataFrame:
     """Postings of all sources in one frame: read, keyword test, first posting per URL.
 
-    ``kinds`` limits the readers to those in use; each reader scans the responses once.
+    ``kinds`` limits the readers to those in use; each reader scans the responses once, for all
+    the kinds it serves.
     """
     known = attach_source_dim(raw.filter(F.col("error").isNull()), sources)
-    parts = []
+    served: dict = {}
     for kind in READERS if kinds is None else kinds:
         if kind in RENDERED_KINDS and details is None:
             continue
-        pages = None if details is None else _of_kind(details, kind)
-        parts.append(READERS[kind](_of_kind(known, kind), pages).select(*COLUMNS))
+        served.setdefault(READERS[kind], []).append(kind)
+    parts = []
+    for reader, names in served.items():
+        pages = None if details is None else _of_kinds(details, names)
+        parts.append(reader(_of_kinds(known, names), pages).select(*COLUMNS))
     rows = reduce(DataFrame.unionByName, parts)
     if filter_keywords:
         rows = rows.filter("keyword_hit")

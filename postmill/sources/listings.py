@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from postmill.functions import dates, html, labels, text
 from postmill.functions.labels import LinkRules
 from postmill.operators.aggregates import longest_text_per_url
 from postmill.operators.dedupe import cap_per_source, dedupe_by_url
-from postmill.operators.filters import accept_recent_local
+from postmill.operators.filters import is_recent_local
 from postmill.operators.joins import attach_details
 from postmill.sources.common import emit
 from postmill.sources.searches import _with_details
@@ -212,21 +213,36 @@ def detail_fields(page: Column) -> Column:
 
 
 def from_rendered_listings(
-    raw: DataFrame, details: DataFrame, spec: RenderedSpec = RenderedSpec(), as_of_date: Column | None = None
+    raw: DataFrame,
+    details: DataFrame,
+    specs: RenderedSpec | Mapping[str, RenderedSpec] = RENDERED_SPECS,
+    as_of_date: Column | None = None,
 ) -> DataFrame:
     """Listings of captured pages joined with their captured detail pages.
 
-    A listing without a detail page is dropped. Keywords are looked for in the detail page only;
-    its values win over those of the listing.
+    One spec may serve all sources, or each source has its own; either way all pages go through
+    one plan. A listing without a detail page is dropped. Keywords are looked for in the detail
+    page only; its values win over those of the listing.
     """
-    links = rendered_links(raw)
-    links = links.filter(labels.is_job_url("url", "title", spec.rules))
+
+    def by_source(test: Callable[[RenderedSpec], Column]) -> Column:
+        if isinstance(specs, RenderedSpec):
+            return test(specs)
+        case = F.lit(False)
+        for source, spec in specs.items():
+            case = F.when(F.col("source") == source, test(spec)).otherwise(case)
+        return case
+
+    links = rendered_links(raw).filter(by_source(lambda spec: labels.is_job_url("url", "title", spec.rules)))
     listed = dedupe_by_url(links).withColumns(
         {"location": labels.extract_location("card_text"), "date_posted": labels.extract_date_posted("card_text")}
     )
-    if spec.max_age_days is not None:
-        today = F.to_date(dates.parse_instant("fetched_at")) if as_of_date is None else as_of_date
-        listed = accept_recent_local(listed, spec.max_age_days, spec.locations, today)
+    today = F.to_date(dates.parse_instant("fetched_at")) if as_of_date is None else as_of_date
+
+    def accepted(spec: RenderedSpec) -> Column:
+        return F.lit(True) if spec.max_age_days is None else is_recent_local(spec.max_age_days, spec.locations, today)
+
+    listed = listed.filter(by_source(accepted))
     full = attach_details(listed, details, "inner").withColumn("_detail", detail_fields(F.col("detail_html")))
     full = full.drop("detail_html").withColumns({"detail_title": F.col("_detail.title"), "detail_text": F.col("_detail.text")})
     place = labels.extract_location("detail_text")

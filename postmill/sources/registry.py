@@ -43,7 +43,7 @@ READERS: dict[str, Reader] = {}
 
 
 def register_source(kind: str, reader: Reader) -> None:
-    """Add or replace the reader of a source kind."""
+    """Add or replace the reader of a source kind. Kinds with the same reader are read together."""
     READERS[kind] = reader
 
 
@@ -61,8 +61,8 @@ for _kind, _reader in {
     "amazon": searches.from_amazon,
 }.items():
     register_source(_kind, _reader)
-for _kind, _spec in listings.RENDERED_SPECS.items():
-    register_source(_kind, lambda raw, details, spec=_spec: listings.from_rendered_listings(raw, details, spec))
+for _kind in listings.RENDERED_SPECS:
+    register_source(_kind, listings.from_rendered_listings)
 
 # Kinds whose response body must be JSON; anything else fails the source's run.
 JSON_KINDS = ("greenhouse", "lever", "ashby", "porsche", "amazon")

@@ -6,7 +6,6 @@ from postmill.functions import text
 from postmill.operators import aggregates
 from postmill.schema import RAW
 from postmill.sources import boards, listings, registry, searches
-from postmill.sources.listings import RENDERED_SPECS
 
 
 def landed(spark, source, *bodies, url="https://site.example/search/"):
@@ -78,7 +77,7 @@ def test_rendered_bmw_needs_a_recent_local_listing(spark):
     page = card.format(1, "Munich", "09.07.2026") + card.format(2, "Munich", "01.07.2026") + card.format(3, "Oslo", "10.07.2026") + card.format(4, "Berlin", "10.07.2026")
     base = "https://www.bmwgroup.jobs/jobfinder/job-description/"
     pages = details(spark, "bmw", {base + str(i): "<main><h1>Agents</h1>We use LLM tools</main>" for i in (1, 2, 3)})
-    rows = listings.from_rendered_listings(landed(spark, "bmw", page), pages, RENDERED_SPECS["bmw"]).collect()
+    rows = listings.from_rendered_listings(landed(spark, "bmw", page), pages).collect()
     assert [(r.url, r.title, r.location, r.date_posted, r.keyword_hit) for r in rows] == [(base + "1", "Agents", "Munich", "09.07.2026", True)]
 
 
