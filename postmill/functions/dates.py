@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import SPACE, as_col
+from postmill.functions.text import UNCLEAN, as_col, let
 
 # Accepted formats per source family, first match wins.
 TABLE_ROW_FORMATS = ("MMM d, yyyy", "d.M.yyyy", "yyyy-M-d")
@@ -33,8 +33,11 @@ def parse_date_any(c: Column | str, formats: tuple[str, ...]) -> Column:
     A regex test precedes each parse: a failed parse raises and catches inside the JVM,
     which costs far more than the test.
     """
-    text = F.regexp_replace(as_col(c), f"[{SPACE}]+", " ")
-    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_date(text, f)) for f in formats])
+
+    def first_match(text: Column) -> Column:
+        return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_date(text, f)) for f in formats])
+
+    return let(F.regexp_replace(as_col(c), UNCLEAN, " "), first_match)
 
 
 def iso_date(d: Column) -> Column:

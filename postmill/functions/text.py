@@ -28,7 +28,7 @@ FOLD_MANY = {
 
 # What clean_text has to change: runs of two or more, and single characters other than a blank.
 # The first operand of each intersection turns ordinary letters away with one range test.
-_UNCLEAN = (
+UNCLEAN = (
     rf"[\x00-\x20\x80-\uffff&&[{SPACE}]]{{2,}}|"
     rf"[\x00-\x1f\x80-\uffff&&[{SPACE}]]"
 )
@@ -70,7 +70,7 @@ def strip(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Whitespace runs become one space, ends are trimmed, NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(as_col(c), F.lit(EMPTY)), _UNCLEAN, " "))
+    return F.trim(F.regexp_replace(F.coalesce(as_col(c), F.lit(EMPTY)), UNCLEAN, " "))
 
 
 def normalize_text(c: Column | str) -> Column:
