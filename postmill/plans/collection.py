@@ -22,14 +22,15 @@ from postmill.sources.registry import BOARD_PLATFORMS, JSON_KINDS, READERS, REND
 from postmill.sources.tables import StoredTable
 
 
-def source_failures(raw: DataFrame, sources: DataFrame) -> DataFrame:
+def source_failures(raw: DataFrame) -> DataFrame:
     """(source, failure) for sources with a failed fetch or an unreadable JSON body."""
     kind = F.col("source")
     for platform in BOARD_PLATFORMS:
         kind = F.when(F.col("source").startswith(f"{platform}_"), F.lit(platform)).otherwise(kind)
     unreadable = kind.isin(*JSON_KINDS) & F.try_parse_json("body").isNull()
     failure = F.coalesce(F.col("error"), F.when(unreadable, F.lit("ValueError: response is not JSON")))
-    return raw.groupBy("source").agg(F.min_by(failure, F.when(failure.isNotNull(), F.col("seq"))).alias("failure")).filter("failure is not null")
+    first = F.min_by(failure, F.when(failure.isNotNull(), F.col("seq")))
+    return raw.groupBy("source").agg(first.alias("failure")).filter("failure is not null")
 
 
 def _of_kinds(raw: DataFrame, kinds: list[str]) -> DataFrame:
@@ -89,12 +90,12 @@ def collect_all(
 ) -> Collected:
     """Read every source, keep recent postings, pick the new ones and record one run per source.
 
-    A failing source yields an error run and no postings; the others go on. The parsed batch and
-    the new rows are each written once, because several results are computed from them.
+    A failing source yields an error run and no postings; the others go on. The source list, the
+    parsed batch and the new rows are each written once, because several results use them.
     """
     cutoff = F.date_sub(F.to_date(as_of), lookback_days)
-    failures = source_failures(raw, sources)
-    state = sources.join(failures, "source", "left")
+    # Staged as well: finding failures reads every response, and the source list is used often.
+    state = stage(sources.join(source_failures(raw), "source", "left"), "sources")
     healthy = state.filter(F.col("failure").isNull()).drop("failure")
     batch = stage(parse_sources(raw, healthy, details, kinds, filter_keywords), "batch")
     added = stage(new_postings(stored, batch.filter(is_recent(cutoff)), as_of, ARRIVAL), "added")
