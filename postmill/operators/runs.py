@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from postmill.operators.dedupe import first_rows
 from postmill.operators.store import run_rules, validate
 
-NEWEST_FIRST = [F.desc, "started_at"], [F.desc, "id"]
-
-
 def _newest_first() -> list[Column]:
-    return [direction(c) for direction, c in NEWEST_FIRST]
+    return [F.desc("started_at"), F.desc("id")]
 
 
 def start_events(runs: DataFrame) -> DataFrame:

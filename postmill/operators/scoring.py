@@ -12,8 +12,6 @@ from postmill.functions.labels import scoring_prompt
 from postmill.functions.text import as_col, strip
 from postmill.operators.filters import unscored
 
-SCORE_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT")
-
 
 def parse_score_response(c: Column | str) -> Column:
     """(score, reason) of a JSON reply, NULL unless the score is 1..10 and the reason not blank.

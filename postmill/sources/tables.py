@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,8 +87,6 @@ def watchlist_table(spark: SparkSession, root: str) -> StoredTable:
 
 def write_cards(cards: DataFrame, path: str) -> int:
     """Write one card per line, in order, and return how many were written."""
-    from pyspark.sql import Observation
-
     written = Observation("cards")
     cards.select("card").observe(written, F.count(F.lit(1)).alias("rows")).write.text(path)
     return written.get["rows"]
