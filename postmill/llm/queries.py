@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import simhash
+from postmill.llm import records, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,3 +21,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, distance=3)
+
+
+@query
+def op7_token_records(spark: SparkSession, sf: str) -> DataFrame:
+    return records.token_records(table(spark, sf, "documents"), vocabulary="byte_bpe_50k.json", end_id=0)

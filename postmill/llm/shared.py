@@ -6,6 +6,9 @@ import io
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -27,8 +30,9 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def put(path: str, data: bytes | memoryview | list) -> None:
-    """Write a whole file so that readers see all of it or nothing.
+@contextmanager
+def whole_file(path: str) -> Iterator[BinaryIO]:
+    """A stream for a file of which readers see all or nothing.
 
     A task that runs twice (a lost executor, speculation) writes the same bytes; each attempt has a name of its own until the move.
     """
@@ -36,15 +40,17 @@ def put(path: str, data: bytes | memoryview | list) -> None:
     system.create_dir(os.path.dirname(at), recursive=True)
     attempt = f"{at}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(attempt) as out:
-        for piece in data if isinstance(data, list) else [data]:
-            out.write(piece)
+        yield out
     system.move(attempt, at)
 
 
 def put_array(path: str, values: np.ndarray) -> None:
     head = io.BytesIO()
     np.lib.format.write_array_header_1_0(head, np.lib.format.header_data_from_array_1_0(np.ascontiguousarray(values)))
-    put(path, [head.getvalue(), memoryview(np.ascontiguousarray(values)).cast("B")] if values.size else [head.getvalue()])
+    with whole_file(path) as out:
+        out.write(head.getvalue())
+        if values.size:
+            out.write(memoryview(np.ascontiguousarray(values)).cast("B"))
 
 
 def map_array(path: str) -> np.ndarray:
