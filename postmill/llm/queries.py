@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import records, simhash
+from postmill.llm import mixing, records, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,3 +26,9 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_token_records(spark: SparkSession, sf: str) -> DataFrame:
     return records.token_records(table(spark, sf, "documents"), vocabulary="byte_bpe_50k.json", end_id=0)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mixing.mixture(table(spark, sf, "documents"), weights=(5, 2, 1), share=1.5, most=2.0, seed=42)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
