@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import mixing, records, simhash
+from postmill.llm import mixing, quality, records, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,3 +32,9 @@ def op7_token_records(spark: SparkSession, sf: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     rows = mixing.mixture(table(spark, sf, "documents"), weights=(5, 2, 1), share=1.5, most=2.0, seed=42)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.quality(docs, quality.train(docs, table(spark, sf, "labels"), rows=4_000))
