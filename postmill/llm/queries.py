@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import mixing, quality, records, simhash
+from postmill.llm import mixing, quality, records, simhash, tiling
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,3 +39,9 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return quality.quality(docs, quality.train(docs, table(spark, sf, "labels"), rows=4_000))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = tiling.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), seed=5, threshold=0.8)
+    return found.withColumn("contaminated", F.lit(True))
