@@ -1,65 +1,86 @@
 """Byte-level BPE of whole texts with a public vocabulary, many texts at a time, with character offsets.
 
-The vocabulary's pre-tokenizer cuts a text into pieces that are then encoded one by one, so a piece has the same tokens wherever it stands. Pieces
-repeat: each new one is encoded by the tokenizers library once and its tokens are kept in a bounded table. Texts with characters for which two
-Unicode versions might cut differently are given to the library whole.
+The vocabulary's pre-tokenizer puts a space with what follows it, so a text may be cut before its spaces and each chunk encoded alone. Chunks repeat:
+each new one is encoded by the tokenizers library once and its tokens are kept in a bounded table. Only where a space stands within or at the end of
+longer white space does a cut change the tokens; such a text is given to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
-import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces kept; the table is begun anew when it is full.
-PIECES = 800_000
-#: Only these characters are cut into pieces here: printable ASCII, tab, line ends, Latin letters and signs, common punctuation.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ‐-‧‰-⁞€]*+")
+#: Chunks, and characters of chunks, that are kept; the table is begun anew when either is passed.
+CHUNKS, CHARACTERS = 700_000, 16_000_000
+#: New chunks are encoded so many at a time.
+TOGETHER = 256
+_UNSAFE = re.compile(r"\s (?:\s|\Z)").search
 
 
 class Encoder:
     """Token ids of texts without special tokens; strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, pieces: int = PIECES):
+    def __init__(self, vocabulary: str = VOCABULARY, chunks: int = CHUNKS, characters: int = CHARACTERS):
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.size = self.library.get_vocab_size()
-        self.most = pieces
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.most = chunks, characters
         self._clear()
 
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.at = np.zeros(1, np.int64)  # tokens before each slot's, and after the last
+        #: By slot: its first token, and its length in characters. By token: id, and span from the slot's first character.
+        self.first, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.ids, self.starts, self.ends = (np.zeros(0, np.int32) for _ in range(3))
-        self.chars = np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        found = self.library.encode_batch(new, add_special_tokens=False)
-        sizes = np.fromiter((len(e.ids) for e in found), np.int64, len(new))
-        spans = [span for e in found for span in e.offsets]
-        self.ids = np.concatenate((self.ids, np.array([i for e in found for i in e.ids], np.int32)))
-        self.starts = np.concatenate((self.starts, np.array([s for s, _ in spans], np.int32)))
-        self.ends = np.concatenate((self.ends, np.array([s for _, s in spans], np.int32)))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-        self.chars = np.concatenate((self.chars, np.fromiter(map(len, new), np.int64, len(new))))
+        """Encode chunks. Those of a space and a word are joined first, as they will be cut before spaces again; others stand alone."""
+        joined = [c for c in new if c[:1] == " " and not c[1:2].isspace() and len(c) > 1]
+        alone = sorted(set(new).difference(joined))
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[c] for c in alone]
+        new = joined + alone
+        firsts, ids, starts, ends, at = [], [], [], [], self.first[-1]
+        chars = np.fromiter(map(len, new), np.int64, len(new))
+        for group, found in zip(groups, self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+            spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+            sizes = np.fromiter(map(len, group), np.int64, len(group))
+            before = np.cumsum(sizes) - sizes
+            place = np.searchsorted(spans[:, 0], before)
+            base = np.repeat(before, np.diff(np.append(place, len(spans))))
+            firsts.append(at + place)
+            ids.append(np.array(found.ids, np.int32))
+            starts.append((spans[:, 0] - base).astype(np.int32))
+            ends.append((spans[:, 1] - base).astype(np.int32))
+            at += len(spans)
+        self.first = np.concatenate((self.first[:-1], *firsts, [at]))
+        self.ids, self.starts, self.ends = (np.concatenate((a, *b)) for a, b in ((self.ids, ids), (self.starts, starts), (self.ends, ends)))
+        self.chars = np.concatenate((self.chars, chars))
         self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
 
     def encode(self, texts: list[str], offsets: bool = False) -> list[tuple[np.ndarray, ...]]:
         """(ids,) of each text, or (ids, starts, ends) with the character span of each token."""
-        pieces = [self.cut(t) if _PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.slots) > self.most:
+        if len(self.slots) > self.most[0] or self.chars.sum() > self.most[1]:
             self._clear()
-        slots = self.slots
-        new = {p for own in pieces if own for p in own if p not in slots}
-        if new:
-            self._learn(sorted(new))
-        return [self._whole(t, offsets) if own is None else self._join(own, offsets) for t, own in zip(texts, pieces)]
+        cut = [None if _UNSAFE(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
+        get, missing = self.slots.get, set()
+        slots = []
+        for own in cut:
+            slot = None if own is None else np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
+            slots.append(slot)
+            if slot is not None and (slot < 0).any():
+                missing.update([own[i] for i in np.flatnonzero(slot < 0).tolist()])
+        if missing:
+            self._learn(sorted(missing))
+            get = self.slots.get
+            slots = [np.fromiter(map(get, own), np.int64, len(own)) if slot is not None and (slot < 0).any() else slot for own, slot in zip(cut, slots)]
+        return [self._whole(t, offsets) if slot is None else self._join(slot, offsets) for t, slot in zip(texts, slots)]
 
     def _whole(self, text: str, offsets: bool) -> tuple[np.ndarray, ...]:
         found = self.library.encode(text, add_special_tokens=False)
@@ -69,9 +90,8 @@ class Encoder:
         spans = np.array(found.offsets, np.int64).reshape(-1, 2)
         return ids, spans[:, 0], spans[:, 1]
 
-    def _join(self, own: list[str], offsets: bool) -> tuple[np.ndarray, ...]:
-        slot = np.fromiter(map(self.slots.__getitem__, own), np.int64, len(own))
-        first, sizes = self.at[slot], self.at[slot + 1] - self.at[slot]
+    def _join(self, slot: np.ndarray, offsets: bool) -> tuple[np.ndarray, ...]:
+        first, sizes = self.first[slot], self.first[slot + 1] - self.first[slot]
         before = np.cumsum(sizes) - sizes
         pick = np.repeat(first - before, sizes) + np.arange(sizes.sum())
         if not offsets:
