@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import mixing, quality, records, simhash, tiling
+from postmill.llm import kneser_ney, mixing, quality, records, simhash, tiling
 
 QUERIES, ORACLES = {}, {}
 
@@ -45,3 +45,8 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = tiling.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), seed=5, threshold=0.8)
     return found.withColumn("contaminated", F.lit(True))
+
+
+@query
+def op2_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return kneser_ney.scores(table(spark, sf, "documents"), folds=7, fold=2)
