@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import kneser_ney, mixing, quality, records, simhash, tiling
+from postmill.llm import crf, kneser_ney, mixing, quality, records, simhash, tiling
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,3 +50,9 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return kneser_ney.scores(table(spark, sf, "documents"), folds=7, fold=2)
+
+
+@query
+def op5_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return crf.extract(pages, crf.train(pages, rows=300, layouts=4))
