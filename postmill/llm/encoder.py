@@ -26,12 +26,15 @@ _UNSAFE = re.compile(r"\s (?:\s|\Z)").search
 class Encoder:
     """Token ids of texts without special tokens; strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, chunks: int = CHUNKS, characters: int = CHARACTERS):
+    def __init__(self, vocabulary: str = VOCABULARY, offsets: bool = False, chunks: int = CHUNKS, characters: int = CHARACTERS):
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.size = self.library.get_vocab_size()
-        self.most = chunks, characters
+        self.offsets, self.most = offsets, (chunks, characters)
+        #: Which tokens begin with a space.
+        self.spaced = np.zeros(self.size, bool)
+        self.spaced[[i for token, i in self.library.get_vocab().items() if token.startswith("Ġ")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -43,58 +46,58 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode chunks. Those of a space and a word are joined first, as they will be cut before spaces again; others stand alone."""
         joined = [c for c in new if c[:1] == " " and not c[1:2].isspace() and len(c) > 1]
-        alone = sorted(set(new).difference(joined))
-        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[c] for c in alone]
-        new = joined + alone
-        firsts, ids, starts, ends, at = [], [], [], [], self.first[-1]
-        chars = np.fromiter(map(len, new), np.int64, len(new))
-        for group, found in zip(groups, self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
-            spans = np.array(found.offsets, np.int64).reshape(-1, 2)
-            sizes = np.fromiter(map(len, group), np.int64, len(group))
-            before = np.cumsum(sizes) - sizes
-            place = np.searchsorted(spans[:, 0], before)
-            base = np.repeat(before, np.diff(np.append(place, len(spans))))
-            firsts.append(at + place)
-            ids.append(np.array(found.ids, np.int32))
-            starts.append((spans[:, 0] - base).astype(np.int32))
-            ends.append((spans[:, 1] - base).astype(np.int32))
-            at += len(spans)
-        self.first = np.concatenate((self.first[:-1], *firsts, [at]))
-        self.ids, self.starts, self.ends = (np.concatenate((a, *b)) for a, b in ((self.ids, ids), (self.starts, starts), (self.ends, ends)))
-        self.chars = np.concatenate((self.chars, chars))
-        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
-
-    def encode(self, texts: list[str], offsets: bool = False) -> list[tuple[np.ndarray, ...]]:
+        alone = list(set(new).difference(joined))
+        groups = ["".join(joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)] + alone
+        found = (self.library.encode_batch if self.offsets else self.library.encode_batch_fast)(groups, add_special_tokens=False)
+        n = -(-len(joined) // TOGETHER)
+        chars = np.fromiter(map(len, joined + alone), np.int64, len(joined) + len(alone))
+        before = np.cumsum(chars) - chars
+        ids = [np.array(e.ids, np.int32) for e in found]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(sizes)
+        many = int(ends[n - 1]) if n else 0
+        ids = np.concatenate(ids)
+        # A joined chunk has one space, at its beginning.
+        first = np.concatenate((np.flatnonzero(self.spaced[ids[:many]]), (ends - sizes)[n:]))
+        if self.offsets:
+            group = np.concatenate((before[: len(joined) : TOGETHER], before[len(joined) :]))
+            spans = np.array([span for e in found for span in e.offsets], np.int64).reshape(-1, 2) + np.repeat(group, sizes)[:, None]
+            base = np.repeat(before, np.diff(np.append(first, len(ids))))
+            self.starts, self.ends = (np.concatenate((old, (spans[:, k] - base).astype(np.int32))) for k, old in ((0, self.starts), (1, self.ends)))
+        self.first = np.concatenate((self.first[:-1], self.first[-1] + first, [self.first[-1] + len(ids)]))
+        self.ids, self.chars = np.concatenate((self.ids, ids)), np.concatenate((self.chars, chars))
+        self.slots.update(zip(joined + alone, range(len(self.slots), len(self.slots) + len(chars))))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, ...]]:
         """(ids,) of each text, or (ids, starts, ends) with the character span of each token."""
         if len(self.slots) > self.most[0] or self.chars.sum() > self.most[1]:
             self._clear()
-        cut = [None if _UNSAFE(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        get, missing = self.slots.get, set()
-        slots = []
+        cut = [None if "\0" in t or _UNSAFE(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        get, slots, missing = self.slots.get, [], {}
         for own in cut:
             slot = None if own is None else np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
             slots.append(slot)
-            if slot is not None and (slot < 0).any():
-                missing.update([own[i] for i in np.flatnonzero(slot < 0).tolist()])
+            if slot is not None and slot.min() < 0:
+                missing[len(slots) - 1] = [own[i] for i in np.flatnonzero(slot < 0).tolist()]
         if missing:
-            self._learn(sorted(missing))
-            get = self.slots.get
-            slots = [np.fromiter(map(get, own), np.int64, len(own)) if slot is not None and (slot < 0).any() else slot for own, slot in zip(cut, slots)]
-        return [self._whole(t, offsets) if slot is None else self._join(slot, offsets) for t, slot in zip(texts, slots)]
+            self._learn(list({c for new in missing.values() for c in new}))
+            for k, new in missing.items():
+                slots[k][slots[k] < 0] = [self.slots[c] for c in new]
+        return [self._whole(t) if slot is None else self._join(slot) for t, slot in zip(texts, slots)]
 
-    def _whole(self, text: str, offsets: bool) -> tuple[np.ndarray, ...]:
+    def _whole(self, text: str) -> tuple[np.ndarray, ...]:
         found = self.library.encode(text, add_special_tokens=False)
         ids = np.array(found.ids, np.int32)
-        if not offsets:
+        if not self.offsets:
             return (ids,)
         spans = np.array(found.offsets, np.int64).reshape(-1, 2)
         return ids, spans[:, 0], spans[:, 1]
 
-    def _join(self, slot: np.ndarray, offsets: bool) -> tuple[np.ndarray, ...]:
+    def _join(self, slot: np.ndarray) -> tuple[np.ndarray, ...]:
         first, sizes = self.first[slot], self.first[slot + 1] - self.first[slot]
         before = np.cumsum(sizes) - sizes
         pick = np.repeat(first - before, sizes) + np.arange(sizes.sum())
-        if not offsets:
+        if not self.offsets:
             return (self.ids[pick],)
         chars = self.chars[slot]
         base = np.repeat(np.cumsum(chars) - chars, sizes)
@@ -104,7 +107,7 @@ class Encoder:
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str = VOCABULARY, offsets: bool = False) -> Encoder:
     """The worker's own encoder; a vocabulary file is read once a worker."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, offsets)

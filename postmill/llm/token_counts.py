@@ -64,12 +64,12 @@ def section_tokens(docs: DataFrame, sections: Callable[[str], list[tuple[int, in
     names = ["section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(vocabulary)
+        codec = encoder(vocabulary, offsets=True)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(1).fill_null("").to_pylist()
                 owner, out = [], [[] for _ in names]
-                for row, (text, (ids, starts, ends)) in enumerate(zip(texts, codec.encode(texts, offsets=True))):
+                for row, (text, (ids, starts, ends)) in enumerate(zip(texts, codec.encode(texts))):
                     spans = sections(text) or [(0, 0)]
                     tokens, crossing = attribute(starts, ends, spans, rule)
                     n = len(spans)
