@@ -105,7 +105,7 @@ def score(column: pa.Array, model: Model, rules: Rules) -> dict[str, np.ndarray]
     return found
 
 
-def _examples(docs: DataFrame, labels: DataFrame, rows: int) -> list:
+def _examples(docs: DataFrame, labels: DataFrame, rows: int) -> pa.Table:
     """(label, bins, values) of at most ``rows`` labelled documents: those whose ids have the least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,23 +128,29 @@ def _examples(docs: DataFrame, labels: DataFrame, rows: int) -> list:
     chosen = chosen.orderBy(F.xxhash64("doc_id", "quality"), "doc_id").limit(rows)
     # The limit bounds what is broadcast: ``rows`` pairs of numbers.
     sample = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text", "doc_id")
-    return sample.select("quality", "text").mapInArrow(run, "quality int, bins array<int>, values array<float>").collect()
+    return sample.select("quality", "text").mapInArrow(run, "quality int, bins array<int>, values array<float>").toArrow()
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4_000, steps: int = 120, penalty: float = 1e-4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 2_000, steps: int = 120, penalty: float = 1e-4) -> Model:
     """A model fitted on at most ``rows`` labelled documents (whole texts), with every fifth kept back to calibrate the probability.
 
     Labels other than 0 and 1 and labels of missing documents are left out. If fewer than two of either kind are found, the model keeps everything.
     """
-    found = _examples(docs, labels, rows)
-    found.sort(key=lambda r: (r["quality"], len(r["bins"]), r["bins"][:8]))
-    y = np.array([r["quality"] for r in found], float)
-    held = np.arange(len(found)) % 5 == 4
+    found = _examples(docs, labels, rows).combine_chunks()
+    labels_, lists = found["quality"].to_numpy(), found["bins"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    # In an order that doesn't depend on how tasks ended: copies of a text may change places.
+    sums_ = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=lists.values.to_numpy(), minlength=len(sizes))
+    order = np.lexsort((sums_, sizes, labels_))
+    y = np.empty(len(order))
+    y[:] = labels_[order]
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    held = np.arange(len(order)) % 5 == 4
     if min((y[~held] == k).sum() for k in (0, 1)) < 2:
         return Model(bias=60.0)
-    bins = np.concatenate([np.array(r["bins"], np.int64) for r in found])
-    values = np.concatenate([np.array(r["values"], np.float64) for r in found])
-    owner = np.repeat(np.arange(len(found)), [len(r["bins"]) for r in found])
+    bins, values = lists.values.to_numpy(), found["values"].combine_chunks().values.to_numpy()
+    owner = np.repeat(place, sizes)
     learn = (~held)[owner]
     b, v, o = bins[learn], values[learn], owner[learn]
     weights, bias, mean, square = np.zeros(BINS), 0.0, np.zeros(BINS + 1), np.zeros(BINS + 1)

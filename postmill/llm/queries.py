@@ -38,7 +38,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return quality.quality(docs, quality.train(docs, table(spark, sf, "labels"), rows=4_000))
+    return quality.quality(docs, quality.train(docs, table(spark, sf, "labels"), rows=2_000))
 
 
 @query
