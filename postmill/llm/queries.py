@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat, crf, kneser_ney, mixing, quality, records, simhash, tiling, token_counts
+from postmill.llm import chat, crf, kneser_ney, mixing, quality, records, simhash, tiling, token_counts, url_lists
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,6 +70,56 @@ def op8_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.conversations(turns.unionAll(planted)).drop("n_tokens")
 
 
+def dated_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """A dated log of list entries made from the given tables: the event of user u at time t concerns the hosts and domains of pages whose hash is u."""
+    events = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    hosts = table(spark, sf, "pages").select(url_lists.host(F.col("url")).alias("entry")).distinct()
+    hosts = hosts.unionAll(hosts.select(F.regexp_replace("entry", r"^[^.]+\.", ""))).filter("entry like '%.%'").distinct()
+    hosts = hosts.withColumn("user_id", F.conv(F.substring(F.md5("entry"), 1, 6), 16, 10).cast("long") % 97)
+    kind = F.when(F.col("event_type") == "signup", "block").when(F.col("event_type") == "purchase", "allow").when(F.col("event_type") == "error", F.lit(None))
+    changes = events.filter("event_type in ('signup', 'purchase', 'error')").withColumn("user_id", F.col("user_id") % 97)
+    return changes.join(hosts, "user_id").select("entry", kind.alias("list"), "at", "seq")
+
+
+@query
+def op9_url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as captures, each fetched at the time of the event of its number."""
+    times = table(spark, sf, "events").select(F.col("event_id").alias("page_id"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    captures = table(spark, sf, "pages").select("page_id", "url").join(times, "page_id", "left")
+    found = url_lists.judge(captures, dated_lists(spark, sf), allow="allow")
+    return found.withColumn("fetched_at", F.unix_micros("fetched_at"))
+
+
+ORACLES["op9_url_lists"] = r"""
+WITH p AS (
+    SELECT page_id, url, epoch_us(ts) AS fetched_at, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host,
+           regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*(/[^?#]*)?', 1) AS path
+    FROM pages LEFT JOIN events ON event_id = page_id
+), h AS (
+    SELECT DISTINCT entry FROM (SELECT host AS entry FROM p UNION ALL SELECT regexp_replace(host, '^[^.]+\.', '') FROM p) WHERE entry LIKE '%.%'
+), log AS (
+    SELECT entry, CASE event_type WHEN 'signup' THEN 'block' WHEN 'purchase' THEN 'allow' END AS list, epoch_us(ts) AS since, event_id AS seq
+    FROM events JOIN h ON ('0x' || substr(md5(entry), 1, 6))::BIGINT % 97 = user_id % 97 WHERE event_type IN ('signup', 'purchase', 'error')
+), one AS (
+    SELECT entry, since, nullif(arg_max(coalesce(list, ''), seq), '') AS list FROM log GROUP BY entry, since
+), v AS (
+    SELECT *, lead(since) OVER (PARTITION BY entry ORDER BY since) AS until FROM one
+), c AS (
+    SELECT page_id, url, fetched_at, host, count(*) AS n_captures FROM p GROUP BY ALL
+), k AS (
+    SELECT page_id, url, fetched_at, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS entry FROM p
+    UNION ALL
+    SELECT page_id, url, fetched_at, host || '/' || unnest(list_transform(range(1, len(f) + 1), lambda i: array_to_string(f[:i], '/')))
+    FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS f FROM p)
+), a AS (
+    SELECT page_id, url, fetched_at, count(*) AS n_active, arg_max(v.entry, length(v.entry)) AS entry, arg_max(list, length(v.entry)) AS list
+    FROM k JOIN v ON k.entry = v.entry AND since <= fetched_at AND (until IS NULL OR fetched_at < until) WHERE list IS NOT NULL GROUP BY ALL
+)
+SELECT page_id, url, fetched_at, n_captures, host, coalesce(n_active, 0) AS n_active, entry, list, coalesce(list <> 'allow', false) AS rejected
+FROM c LEFT JOIN a USING (page_id, url, fetched_at)
+"""
+
+
 ORACLES["op8_chat"] = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
