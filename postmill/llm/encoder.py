@@ -7,9 +7,7 @@ longer white space does a cut change the tokens; such a text is given to the lib
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +18,19 @@ VOCABULARY = "byte_bpe_50k.json"
 CHUNKS, CHARACTERS = 700_000, 16_000_000
 #: New chunks are encoded so many at a time.
 TOGETHER = 256
-_UNSAFE = re.compile(r"\s (?:\s|\Z)").search
+
+
+class _Slots(dict):
+    """Numbers for chunks, given out as they are asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        slot = self[chunk] = len(self)
+        self.new.append(chunk)
+        return slot
 
 
 class Encoder:
@@ -38,52 +48,77 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        #: By slot: its first token, and its length in characters. By token: id, and span from the slot's first character.
-        self.first, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        # A chunk is named without the space before it; the first of a text, which has none, has a zero byte there.
+        self.slots = _Slots()
+        #: By slot: first token, number of tokens, length in characters, and whether white space begins or ends it.
+        self.first, self.count, self.chars = (np.zeros(0, np.int64) for _ in range(3))
+        self.blank_first, self.blank_last = np.zeros(0, bool), np.zeros(0, bool)
+        #: By token: id, and span from the slot's first character.
         self.ids, self.starts, self.ends = (np.zeros(0, np.int32) for _ in range(3))
 
     def _learn(self, new: list[str]) -> None:
         """Encode chunks. Those of a space and a word are joined first, as they will be cut before spaces again; others stand alone."""
-        joined = [c for c in new if c[:1] == " " and not c[1:2].isspace() and len(c) > 1]
-        alone = list(set(new).difference(joined))
-        groups = ["".join(joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)] + alone
+        plain = np.array([c[:1] > " " and not c[0].isspace() for c in new], bool)
+        parts = [c[1:] if c[:1] == "\0" else " " + c for c in new]
+        joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        order = np.concatenate((joined, alone))
+        ordered = [parts[i] for i in order.tolist()]
+        groups = ["".join(ordered[i : min(i + TOGETHER, len(joined))]) for i in range(0, len(joined), TOGETHER)] + ordered[len(joined) :]
         found = (self.library.encode_batch if self.offsets else self.library.encode_batch_fast)(groups, add_special_tokens=False)
-        n = -(-len(joined) // TOGETHER)
-        chars = np.fromiter(map(len, joined + alone), np.int64, len(joined) + len(alone))
-        before = np.cumsum(chars) - chars
+        n = len(groups) - len(alone)
         ids = [np.array(e.ids, np.int32) for e in found]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         ends = np.cumsum(sizes)
-        many = int(ends[n - 1]) if n else 0
         ids = np.concatenate(ids)
         # A joined chunk has one space, at its beginning.
-        first = np.concatenate((np.flatnonzero(self.spaced[ids[:many]]), (ends - sizes)[n:]))
+        first = np.concatenate((np.flatnonzero(self.spaced[ids[: ends[n - 1] if n else 0]]), (ends - sizes)[n:]))
+        count = np.diff(np.append(first, len(ids)))
+        chars = np.fromiter(map(len, ordered), np.int64, len(ordered))
         if self.offsets:
+            before = np.cumsum(chars) - chars
             group = np.concatenate((before[: len(joined) : TOGETHER], before[len(joined) :]))
             spans = np.array([span for e in found for span in e.offsets], np.int64).reshape(-1, 2) + np.repeat(group, sizes)[:, None]
-            base = np.repeat(before, np.diff(np.append(first, len(ids))))
+            base = np.repeat(before, count)
             self.starts, self.ends = (np.concatenate((old, (spans[:, k] - base).astype(np.int32))) for k, old in ((0, self.starts), (1, self.ends)))
-        self.first = np.concatenate((self.first[:-1], self.first[-1] + first, [self.first[-1] + len(ids)]))
-        self.ids, self.chars = np.concatenate((self.ids, ids)), np.concatenate((self.chars, chars))
-        self.slots.update(zip(joined + alone, range(len(self.slots), len(self.slots) + len(chars))))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.first = np.concatenate((self.first, len(self.ids) + first[back]))
+        self.count, self.chars = np.concatenate((self.count, count[back])), np.concatenate((self.chars, chars[back]))
+        self.ids = np.concatenate((self.ids, ids))
+        # An empty chunk stands between two spaces, or at the end; before the first space of a text there is none.
+        self.blank_first = np.concatenate((self.blank_first, [c == "" or c[0].isspace() for c in new]))
+        self.blank_last = np.concatenate((self.blank_last, [c == "" or c[-1].isspace() for c in new]))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, ...]]:
         """(ids,) of each text, or (ids, starts, ends) with the character span of each token."""
+        if not texts:
+            return []
         if len(self.slots) > self.most[0] or self.chars.sum() > self.most[1]:
             self._clear()
-        cut = [None if "\0" in t or _UNSAFE(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        get, slots, missing = self.slots.get, [], {}
-        for own in cut:
-            slot = None if own is None else np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
-            slots.append(slot)
-            if slot is not None and slot.min() < 0:
-                missing[len(slots) - 1] = [own[i] for i in np.flatnonzero(slot < 0).tolist()]
-        if missing:
-            self._learn(list({c for new in missing.values() for c in new}))
-            for k, new in missing.items():
-                slots[k][slots[k] < 0] = [self.slots[c] for c in new]
-        return [self._whole(t) if slot is None else self._join(slot) for t, slot in zip(texts, slots)]
+        number, slots = self.slots.__getitem__, []
+        for text in texts:
+            own = [""] if "\0" in text else text.split(" ")
+            own[0] = "\0" + own[0]
+            slots.append(np.fromiter(map(number, own), np.int64, len(own)))
+        if self.slots.new:
+            new, self.slots.new = self.slots.new, []
+            self._learn(new)
+        sizes = np.fromiter(map(len, slots), np.int64, len(slots))
+        slot, bounds = np.concatenate(slots), np.concatenate(([0], np.cumsum(sizes)))
+        unsafe = np.concatenate((self.blank_last[slot[:-1]] & self.blank_first[slot[1:]], [False]))
+        unsafe[bounds[1:] - 1] = False
+        whole = (np.add.reduceat(unsafe, bounds[:-1]) > 0) | np.fromiter(("\0" in t for t in texts), bool, len(texts))
+        count = self.count[slot]
+        before = np.cumsum(count) - count
+        pick = np.repeat(self.first[slot] - before, count) + np.arange(count.sum())
+        ends = np.concatenate((before, [len(pick)]))[bounds]
+        found = [self.ids[pick]]
+        if self.offsets:
+            chars = self.chars[slot]
+            at = np.cumsum(chars) - chars
+            base = np.repeat(at - np.repeat(at[bounds[:-1]], sizes), count)
+            found += [base + self.starts[pick], base + self.ends[pick]]
+        return [self._whole(t) if w else tuple(x[a:b] for x in found) for t, w, a, b in zip(texts, whole.tolist(), ends[:-1].tolist(), ends[1:].tolist())]
 
     def _whole(self, text: str) -> tuple[np.ndarray, ...]:
         found = self.library.encode(text, add_special_tokens=False)
@@ -93,16 +128,6 @@ class Encoder:
         spans = np.array(found.offsets, np.int64).reshape(-1, 2)
         return ids, spans[:, 0], spans[:, 1]
 
-    def _join(self, slot: np.ndarray) -> tuple[np.ndarray, ...]:
-        first, sizes = self.first[slot], self.first[slot + 1] - self.first[slot]
-        before = np.cumsum(sizes) - sizes
-        pick = np.repeat(first - before, sizes) + np.arange(sizes.sum())
-        if not self.offsets:
-            return (self.ids[pick],)
-        chars = self.chars[slot]
-        base = np.repeat(np.cumsum(chars) - chars, sizes)
-        return self.ids[pick], base + self.starts[pick], base + self.ends[pick]
-
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
