@@ -36,6 +36,7 @@ ENDED_BY = {
     "p": BLOCK - {"br", "body", "html", "head"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"},
 }
+_LANDMARK = frozenset("article main nav aside header footer form".split())
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 
@@ -130,8 +131,9 @@ def block_features(found: list[Block]) -> list[list[int]]:
                     names.add(f"up{depth} {tag}")
                 for part in _PART.findall(marks):
                     names.update((f"mark {part}", f"{tag} mark {part}"))
-            if not block.ancestors:
-                names.add("root")
+            near = next(((tag, marks) for tag, marks in reversed(block.ancestors) if marks or tag in _LANDMARK), ("none", ""))
+            names.add(f"near {near[0]}")
+            names.update(f"near mark {part}" for part in _PART.findall(near[1]))
             bins = seen[block.ancestors] = sorted(map(_bin, names))
         n = len(block.text)
         share = block.linked / n
@@ -259,7 +261,7 @@ def labelled_page(texts: list[str], seed: str) -> tuple[list[Block], list[int]]:
     def other(within: tuple = ()) -> None:
         path = within + _path(rng.choice(_INNER + _OTHER if within else _OTHER))
         short = rng.random() < 0.6
-        for _ in range(rng.randint(1, 5)):
+        for _ in range(rng.choice((1, 1, 2, 3)) if within else rng.randint(1, 5)):
             text = rng.choice(texts)
             add(path, rng.choice(_OTHER_LEAF), " ".join(text.split(" ")[: rng.randint(1, 4)]) if short else text, 0)
 
@@ -269,8 +271,11 @@ def labelled_page(texts: list[str], seed: str) -> tuple[list[Block], list[int]]:
     if rng.random() < 0.2:
         add(main + _path("header"), "h1", rng.choice(texts), 1)
     for i in range(rng.randint(1, 12)):
-        add(main, "h1" if i == 0 and rng.random() < 0.6 else rng.choice(_MAIN_LEAF), rng.choice(texts), 1)
-        if rng.random() < 0.15:
+        leaf = "h1" if i == 0 and rng.random() < 0.6 else rng.choice(_MAIN_LEAF)
+        for _ in range(rng.randint(1, 5) if leaf in ("li", "td") else 1):
+            text = rng.choice(texts)
+            add(main, leaf, " ".join(text.split(" ")[: rng.randint(1, 4)]) if rng.random() < (0.4 if leaf in ("li", "td", "h2", "h3") else 0.1) else text, 1)
+        if rng.random() < 0.2:
             other(main)
     if rng.random() < 0.3:
         other(main)
@@ -279,10 +284,10 @@ def labelled_page(texts: list[str], seed: str) -> tuple[list[Block], list[int]]:
     return [b for b, _ in found], [y for _, y in found]
 
 
-def train(pages: DataFrame, rows: int = 300, layouts: int = 4) -> Field:
+def train(pages: DataFrame, rows: int = 300, layouts: int = 6) -> Field:
     """A field fitted on labelled pages: at most ``rows`` of the given pages (those whose ids have the least hashes) as they are, where the elements
     nav, header, footer, aside, form and article label the blocks, and ``layouts`` made pages from the texts of each. Both bounds are parameters; what the driver receives are
-    feature bins of at most rows * (1 + layouts) pages of at most 200 blocks. Without any page the field is trained on made pages of fixed text alone."""
+    feature bins of at most rows * (1 + layouts) pages of at most 100 blocks of the page. Without any page the field is trained on made pages of fixed text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +306,7 @@ def train(pages: DataFrame, rows: int = 300, layouts: int = 4) -> Field:
 
 
 def _examples(found: list[Block], seed: str, layouts: int) -> list[tuple[list[list[int]], list[int]]]:
-    found = found[:200]
+    found = found[:100]
     if not found:
         return []
     texts = [b.text for b in found]

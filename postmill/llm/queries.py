@@ -55,7 +55,7 @@ def op2_language_model(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_main_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
-    return crf.extract(pages, crf.train(pages, rows=300, layouts=4))
+    return crf.extract(pages, crf.train(pages, rows=300, layouts=6))
 
 
 @query

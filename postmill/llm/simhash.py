@@ -197,8 +197,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The documents of least doc_id in each near-duplicate component, with all columns. Rows without doc_id, and components of such rows, stay;
-    of rows that repeat one doc_id all stay, as they are one document."""
-    rows = near_duplicates(docs, shingle, distance)
-    gone = rows.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each near-duplicate component, with all columns: that of the least doc_id.
+
+    A doc_id names one document. Of rows that repeat it, the one with the least hash of its text stays; the document goes if all its rows are near a
+    smaller doc_id. Rows without doc_id all stay. Texts are not shuffled if the table of ids that go is small enough for Spark to broadcast.
+    """
+    rows = stage(near_duplicates(docs, shingle, distance).filter("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("least"), F.count(F.lit(1)).alias("rows")), "owners")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    gone = stage(rows.filter("least < doc_id").select("doc_id"), "gone")
+    kept = plain.join(gone, plain[at] == gone["doc_id"], "left_anti")
+    again = stage(rows.filter("rows > 1").select("doc_id"), "repeated")
+    if not again.isEmpty():
+        # Minima are taken before the shuffle, so a document that is repeated very often is no burden to one task.
+        least = F.min_by(F.struct(*kept.columns), F.xxhash64(F.coalesce(text, F.lit("")))).alias("row")
+        one = kept.join(again, kept[at] == again["doc_id"], "left_semi").groupBy(at).agg(least).select("row.*")
+        kept = kept.join(again, kept[at] == again["doc_id"], "left_anti").unionAll(one)
+    return kept.toDF(*names)
