@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.encoder import VOCABULARY, encoder
 from postmill.llm.shared import columns
-from postmill.llm.textbatch import slices
+from postmill.llm.textbatch import ENCODE_BYTES, slices
 from postmill.session import stage
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|newline|>"
@@ -70,7 +70,7 @@ def format_turns(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         start, end = np.array([codec.size], np.int32), np.array([codec.size + 1], np.int32)
         line = codec.encode(["\n"])[0][0]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODE_BYTES):
                 roles, texts = part.column(2).to_pylist(), part.column(3).to_pylist()
                 ids, masks = [], []
                 for role, (named,), (said,) in zip(roles, codec.encode([_role(r) for r in roles]), codec.encode([escape(t) for t in texts])):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.encoder import VOCABULARY, encoder
 from postmill.llm.shared import columns, filesystem, fresh_dir, whole_file
-from postmill.llm.textbatch import slices
+from postmill.llm.textbatch import ENCODE_BYTES, slices
 from postmill.session import stage
 
 NO_ID, WIDE = 1, 2
@@ -77,7 +77,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index, at, tokens = TaskContext.get().partitionId(), [], 0, 0
         file = f"{path}/{shard:06d}"
-        parts = (s for b in batches for s in slices(b))
+        parts = (s for b in batches for s in slices(b, most=ENCODE_BYTES))
         part = next(parts, None)
         if part is None:
             return

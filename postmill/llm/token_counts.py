@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from postmill.llm.encoder import VOCABULARY, encoder
 from postmill.llm.shared import columns
-from postmill.llm.textbatch import slices
+from postmill.llm.textbatch import ENCODE_BYTES, slices
 
 RULES = ("largest", "first", "last")
 _LINE = re.compile("[^\n]*\n|[^\n]+")
@@ -66,7 +66,7 @@ def section_tokens(docs: DataFrame, sections: Callable[[str], list[tuple[int, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(vocabulary, offsets=True)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODE_BYTES):
                 texts = part.column(1).fill_null("").to_pylist()
                 owner, out = [], [[] for _ in names]
                 for row, (text, (ids, starts, ends)) in enumerate(zip(texts, codec.encode(texts))):
