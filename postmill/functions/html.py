@@ -141,6 +141,11 @@ def element_inner(html: Column | str, open_tag: str) -> Column:
     return apply_sql(F.regexp_extract(as_col(html), f"(?is){open_tag}.*", 0), _INNER)
 
 
+def leading_element(html: Column | str) -> Column:
+    """Inner HTML of the element that the text begins with, up to its own end tag."""
+    return F.coalesce(apply_sql(as_col(html), _INNER), F.lit(""))
+
+
 def first_element(html: Column, open_tags: Sequence[str]) -> Column:
     """Inner HTML for the first of several opening tags that occurs in the page."""
     return let(html, lambda page: F.coalesce(*[element_inner(page, t) for t in open_tags]))

@@ -33,6 +33,11 @@ def cap_per_source(df: DataFrame, n: int | None, order: Sequence[Column | str] =
     return df if n is None else first_rows(df, ["source"], order, n)
 
 
+def left_out(df: DataFrame, n: int) -> DataFrame:
+    """(source, rows): how many rows of each source a cap of ``n`` leaves out."""
+    return df.groupBy("source").agg((F.count(F.lit(1)) - n).alias("rows")).filter("rows > 0")
+
+
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The latest row per key."""
     return first_rows(df, keys, [F.desc(c) for c in order])

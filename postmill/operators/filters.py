@@ -113,6 +113,15 @@ def accept_recent_local(listings: DataFrame, max_age_days: int, locations: Seque
     return listings.filter(is_recent_local(max_age_days, locations, as_of_date))
 
 
-def drop_noisy_terms(results: DataFrame, max_results: int = 200, total: str = "total") -> DataFrame:
+def drop_noisy_terms(results: DataFrame, max_results: int, total: str = "total") -> DataFrame:
     """Drop whole responses whose term matched more postings than a precise term would."""
     return results.filter(F.coalesce(F.col(total), F.lit(0)) <= max_results)
+
+
+def noisy_terms(results: DataFrame, max_results: int, total: str = "total") -> DataFrame:
+    """(source, responses, rows): what drop_noisy_terms leaves out of each source."""
+    return (
+        results.filter(F.col(total) > max_results)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("responses"), F.sum(total).alias("rows"))
+    )

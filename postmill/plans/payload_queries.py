@@ -129,9 +129,8 @@ def _porsche_body(entries):
 @query(
     "json_payload_porsche",
     P
-    + f""", noisy AS (SELECT DISTINCT source, floor(id / 50) AS seq FROM p WHERE contains(CAST(id // 2 AS VARCHAR), '00')),
-  q AS (SELECT *, row_number() OVER (PARTITION BY source, id // 2 ORDER BY id) AS k FROM p
-    WHERE NOT EXISTS (SELECT 1 FROM noisy WHERE noisy.source = p.source AND noisy.seq = floor(p.id / 50)) AND id % 9 <> 0),
+    + f""", q AS (SELECT *, row_number() OVER (PARTITION BY source, id // 2 ORDER BY id) AS k FROM p
+    WHERE id % 9 <> 0),
   x AS (SELECT title, 'Acme' AS company, location || CASE WHEN id % 2 = 0 THEN ', Germany' ELSE '' END AS location, source,
     'https://o.example/' || id AS url, CASE WHEN id % 4 = 0 THEN '' ELSE 'About ' || description END AS description, {ISO_DAY} AS date_posted FROM q WHERE k = 1)"""
     + SELECT,
@@ -244,7 +243,7 @@ def successfactors(spark, sf):
         .when(n == 2, F.concat(F.lit("<body><nav>menu</nav>Body "), d, F.lit("</body>")))
     )
     details = b.detail_pages(rows, url, page)
-    return listings.from_successfactors(b.landed(rows, entry, body), details, max_detail=None).select(*OUT)
+    return listings.from_successfactors(b.landed(rows, entry, body), details).select(*OUT)
 
 
 @query(
@@ -267,7 +266,7 @@ def siemens(spark, sf):
     page = F.concat(F.lit("<body>head<main><p>Location(s): "), "location", F.lit(" - Germany now</p><h1>"), "t", F.lit("</h1>"), "description", F.lit("</main>foot</body>"))
     url = F.concat(F.lit("https://jobs.siemens.com/JobDetail/"), _id())
     details = b.detail_pages(rows, url, F.when(F.col("id") % 3 != 0, page))
-    return listings.from_siemens(b.landed(rows, entry, body), details, max_detail=None).select(*OUT)
+    return listings.from_siemens(b.landed(rows, entry, body), details).select(*OUT)
 
 
 @query(
@@ -285,9 +284,13 @@ def rendered(spark, sf):
     are missing, some details state no title, location or date."""
     rows = _dated(spark, sf)
     path = F.when(F.col("id") % 10 == 9, "/login/jobs/").otherwise("/jobs/")
+    # Every third card is a list item, the others are divisions that foreign text follows.
+    item = F.col("id") % 3 == 0
     entry = F.concat(
-        F.lit('<li class="card"><a href="'), path, _id(), F.lit('"><h3>'), "title", F.lit(" card</h3><p>second line</p></a><p>Standort: "),
-        "location", F.lit(" | Posted: "), F.date_format("day", "dd.MM.yyyy"), F.lit(" by us</p></li>"),
+        F.when(item, '<li class="card">').otherwise('<div class="job-card"><div>'),
+        F.lit('<a href="'), path, _id(), F.lit('"><h3>'), "title", F.lit(" card</h3><p>second line</p></a><p>Standort: "),
+        "location", F.lit(" | Posted: "), F.date_format("day", "dd.MM.yyyy"), F.lit(" by us</p>"),
+        F.when(item, "</li>").otherwise("</div></div><footer>Location: Oslo | Posted: 01.02.1990</footer>"),
     )
 
     def body(entries):

@@ -35,7 +35,8 @@ def from_greenhouse(raw: DataFrame, details: DataFrame | None = None) -> DataFra
 
 
 def from_lever(raw: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    jobs = explode_entries(raw, F.from_json("body", LEVER))
+    # An object would be read as a list of one.
+    jobs = explode_entries(raw.filter(F.col("body").rlike(r"^\s*\[")), F.from_json("body", LEVER))
     location = text.clean_text("job.categories.location")
     return emit(
         allowed_locations(jobs, location),

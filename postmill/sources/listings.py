@@ -17,12 +17,10 @@ from postmill.operators.joins import attach_details
 from postmill.sources.common import emit
 from postmill.sources.searches import _with_details
 
-# Site addresses, German location markers and the detail pages read per run.
+# Site addresses and German location markers.
 SUCCESSFACTORS_BASES = {"sap": "https://jobs.sap.com", "volkswagen": "https://jobs.volkswagen-group.com"}
 GERMANY_MARKERS = (", de", "germany", "deutschland")
-SUCCESSFACTORS_DETAILS = 60
 SIEMENS_BASE = "https://jobs.siemens.com"
-SIEMENS_DETAILS = 40
 
 
 def _base_url(bases: dict[str, str]) -> Column:
@@ -36,11 +34,27 @@ def _base_url(bases: dict[str, str]) -> Column:
 def from_successfactors(
     raw: DataFrame,
     details: DataFrame | None = None,
-    max_detail: int | None = SUCCESSFACTORS_DETAILS,
+    max_detail: int | None = None,
     markers: tuple[str, ...] = GERMANY_MARKERS,
 ) -> DataFrame:
-    """Table rows with a title link, a location and a date; first row per URL, first ``max_detail``
-    URLs per source in discovery order."""
+    """Table rows with a title link, a location and a date; first row per URL.
+
+    All rows count. A caller that asks for ``max_detail`` keeps that many URLs per source, in discovery order;
+    ``left_out(successfactors_rows(raw), max_detail)`` says how many go.
+    """
+    full = _with_details(cap_per_source(successfactors_rows(raw, markers), max_detail), details)
+    return emit(
+        full,
+        title=F.col("title"),
+        location=F.col("location"),
+        url=F.col("url"),
+        description=_detail_text(F.col("detail_html")),
+        date_posted=dates.iso_date(dates.parse_date_any("date", dates.TABLE_ROW_FORMATS)),
+    )
+
+
+def successfactors_rows(raw: DataFrame, markers: tuple[str, ...] = GERMANY_MARKERS) -> DataFrame:
+    """The linked table rows of result pages, first row per source and URL."""
     pages = raw.withColumnRenamed("url", "page_url")
     chunks = F.split(html.without_scripts("body"), r"(?i)(?=<tr\b)")
     rows = pages.select("*", F.posexplode(chunks).alias("_row", "_html")).drop("body")
@@ -54,8 +68,8 @@ def from_successfactors(
             lambda a: F.struct(
                 html.absolutize_url(x["base"], html.attribute(a, "href")).alias("url"),
                 html.strip_html(a).alias("title"),
-                x["location"].alias("location"),
-                x["date"].alias("date"),
+                F.when(F.contains(x["row"], a), x["location"]).otherwise(F.lit("")).alias("location"),
+                F.when(F.contains(x["row"], a), x["date"]).otherwise(F.lit("")).alias("date"),
             ),
         )
 
@@ -63,24 +77,21 @@ def from_successfactors(
     # Links outside a table row have neither location nor date.
     row = F.regexp_extract("_html", r"(?is)^(<tr\b.*?)(?:</tr\s*>|\z)", 1)
     in_row = F.struct(
-        cell(row, "jobLocation").alias("location"), cell(row, "jobDate").alias("date"), _base_url(SUCCESSFACTORS_BASES).alias("base")
+        row.alias("row"), cell(row, "jobLocation").alias("location"), cell(row, "jobDate").alias("date"), _base_url(SUCCESSFACTORS_BASES).alias("base")
     )
     # Position in the page: row first, then link in the row.
     listed = (
         rows.select("*", F.posexplode(text.let(in_row, links)).alias("_n", "_link"))
-        .select("*", (F.col("_row") * 10_000 + F.col("_n")).alias("pos"), "_link.*")
+        .select("*", _position("_row", "_n").alias("pos"), "_link.*")
         .drop("_html", "_link")
         .filter((F.col("url") != "") & text.matches_location("location", markers))
     )
-    full = _with_details(cap_per_source(dedupe_by_url(listed), max_detail), details)
-    return emit(
-        full,
-        title=F.col("title"),
-        location=F.col("location"),
-        url=F.col("url"),
-        description=_detail_text(F.col("detail_html")),
-        date_posted=dates.iso_date(dates.parse_date_any("date", dates.TABLE_ROW_FORMATS)),
-    )
+    return dedupe_by_url(listed)
+
+
+def _position(piece: str, n: str) -> Column:
+    """Order of a link in its page: its piece of the page, then its place there. Both are 32-bit numbers."""
+    return F.shiftleft(F.col(piece).cast("long"), 32) + F.col(n)
 
 
 def _detail_text(page: Column) -> Column:
@@ -91,12 +102,11 @@ def _detail_text(page: Column) -> Column:
     return html.strip_html(html.first_element(html.without_scripts(page), choices))
 
 
-def from_siemens(raw: DataFrame, details: DataFrame | None = None, max_detail: int | None = SIEMENS_DETAILS) -> DataFrame:
+def from_siemens(raw: DataFrame, details: DataFrame | None = None, max_detail: int | None = None) -> DataFrame:
     """Detail links of result pages; each URL keeps its longest link text. Location and
-    description come from the detail page; there is no date."""
-    found = page_links(raw, F.lit(SIEMENS_BASE)).filter(F.contains("href", F.lit("/JobDetail/")))
-    titled = longest_text_per_url(found, carry=("company", "keyword_pattern", "rank", "fetched_at"))
-    listed = cap_per_source(titled, max_detail).filter(F.lower("text") != "learn more")
+    description come from the detail page; there is no date. All links count, unless the caller
+    asks for ``max_detail`` per source; ``left_out(siemens_links(raw), max_detail)`` counts the rest."""
+    listed = cap_per_source(siemens_links(raw), max_detail).filter(F.lower("text") != "learn more")
     full = _with_details(listed, details)
     content = html.first_element(html.without_scripts("detail_html"), [html.opening("main"), html.opening("body")])
     return emit(
@@ -108,6 +118,11 @@ def from_siemens(raw: DataFrame, details: DataFrame | None = None, max_detail: i
     )
 
 
+def siemens_links(raw: DataFrame) -> DataFrame:
+    found = page_links(raw, F.lit(SIEMENS_BASE)).filter(F.contains("href", F.lit("/JobDetail/")))
+    return longest_text_per_url(found, carry=("company", "keyword_pattern", "rank", "fetched_at"))
+
+
 def page_links(raw: DataFrame, base: Column | None = None) -> DataFrame:
     """Every link of a page: resolved ``url``, raw ``href``, ``text`` and ``pos``."""
     pages = raw.withColumnRenamed("url", "page_url")
@@ -163,9 +178,10 @@ def rendered_links(pages: DataFrame) -> DataFrame:
     chunks = F.split(html.without_scripts("body", ("noscript",)), rf"(?i)(?={_CARD})")
     cards = raw.select("*", F.posexplode(chunks).alias("_card_no", "_chunk")).drop("body")
     tag = F.lower(F.regexp_extract("_chunk", "^<([a-zA-Z0-9]+)", 1))
-    # Text after the card's own end belongs to no card; nested block elements may end early.
+    # Text after the card's own end belongs to no card. List items, rows and articles are cards
+    # themselves where they nest, so their first end tag is theirs; other elements are counted.
     closed = F.regexp_extract("_chunk", r"(?is)^(.*?</(?:article|li|tr)\s*>)", 1)
-    card = F.when(tag.isin("article", "li", "tr") & (closed != ""), closed).otherwise(F.col("_chunk"))
+    card = F.when(tag.isin("article", "li", "tr") & (closed != ""), closed).otherwise(html.leading_element("_chunk"))
     is_card = F.col("_chunk").rlike(rf"(?i)^(?:{_CARD})") & (tag != "a")
 
     def links(x: Column) -> Column:
@@ -184,7 +200,7 @@ def rendered_links(pages: DataFrame) -> DataFrame:
     in_card = text.let(F.when(is_card, card).otherwise(F.lit("")), with_text)
     return (
         cards.select("*", F.posexplode(text.let(in_card, links)).alias("_n", "_link"))
-        .select("*", (F.col("_card_no") * 10_000 + F.col("_n")).alias("pos"), "_link.*")
+        .select("*", _position("_card_no", "_n").alias("pos"), "_link.*")
         .drop("_chunk", "_link")
     )
 

@@ -30,7 +30,6 @@ APPLE_DETAILS = "https://jobs.apple.com/en-us/details/"
 ALLIANZ_JOB = "https://careers.allianz.com/global/en/job/"
 APPLE_STATE = r'(?s)window\.__staticRouterHydrationData = JSON\.parse\("(.*?)"\);'
 ALLIANZ_STATE = r"(?s)phApp\.ddo\s*=\s*(\{.*?\});"
-PORSCHE_MAX_RESULTS = 200
 
 
 def from_amazon(raw: DataFrame, details: DataFrame | None = None) -> DataFrame:
@@ -81,11 +80,14 @@ def from_allianz(raw: DataFrame, details: DataFrame | None = None) -> DataFrame:
     )
 
 
-def from_porsche(raw: DataFrame, details: DataFrame | None = None, max_results: int = PORSCHE_MAX_RESULTS) -> DataFrame:
-    """One response per search term; over-broad terms are dropped whole, then the first row per
-    id counts. The description is the text of the detail page, '' without one."""
+def from_porsche(raw: DataFrame, details: DataFrame | None = None, max_results: int | None = None) -> DataFrame:
+    """One response per search term; the first row per id counts. The description is the text of
+    the detail page, '' without one. With ``max_results``, terms that matched more are dropped
+    whole; ``noisy_terms`` counts what that leaves out.
+    """
     result = raw.withColumn("_result", F.from_json("body", PORSCHE)["SearchResult"]).drop("body")
-    precise = drop_noisy_terms(result.withColumn("_total", F.col("_result.SearchResultCountAll")), max_results, "_total")
+    result = result.withColumn("_total", F.col("_result.SearchResultCountAll"))
+    precise = result if max_results is None else drop_noisy_terms(result, max_results, "_total")
     items = precise.select("*", F.posexplode("_result.SearchResultItems").alias("pos", "_item")).drop("_result")
     jobs = items.withColumn("job", F.col("_item.MatchedObjectDescriptor")).drop("_item")
     jobs = jobs.withColumns({"_id": F.coalesce("job.ID", F.lit("")), "url": F.coalesce("job.PositionURI", F.lit(""))})

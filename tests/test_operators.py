@@ -9,7 +9,6 @@ from postmill.operators import aggregates, dedupe, filters, joins, reports, runs
 from postmill.plans.maintenance import run_cleanup, run_scoring
 from postmill.schema import POSTING_IN, POSTINGS, RUNS, WATCHLIST
 from postmill.sources.connections import load_connections
-from postmill.sources.sample import sample_postings
 from postmill.sources.tables import postings_table, write_cards
 
 def now():
@@ -269,11 +268,3 @@ def test_summary_of_nothing_and_view(spark):
     contacts = load_connections(spark, "/nonexistent/contacts.json")
     view = reports.postings_view(stored(spark, [{"score": 2, "score_source": "manual"}, {}]), contacts, sort_by="score")
     assert [(r.score_text, r.posted_text, r.connection) for r in view.collect()] == [("2/10 (manual)", "Unknown", None), (None, "Unknown", None)]
-
-
-def test_sample_postings(spark):
-    rows = sample_postings(spark, now())
-    assert rows.columns == POSTING_IN.names
-    found = rows.collect()
-    assert len(found) == 10 and found[0].url == "https://example.com/jobs/1" and found[0].date_collected == "2026-07-10T08:00:00Z"
-    assert store.new_postings(stored(spark, []), rows, now(), ["url"]).count() == 10
