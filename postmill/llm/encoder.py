@@ -7,7 +7,9 @@ longer white space does a cut change the tokens; such a text is given to the lib
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+import threading
+import time
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +20,8 @@ VOCABULARY = "byte_bpe_50k.json"
 CHUNKS, CHARACTERS = 700_000, 16_000_000
 #: New chunks are encoded so many at a time.
 TOGETHER = 256
+#: Seconds without use after which a worker gives its encoder's memory back; other stages need it.
+IDLE = 4.0
 
 
 class _Slots(dict):
@@ -45,6 +49,7 @@ class Encoder:
         #: Which tokens begin with a space.
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for token, i in self.library.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.lock, self.used = threading.Lock(), time.monotonic()
         self._clear()
 
     def _clear(self) -> None:
@@ -93,6 +98,12 @@ class Encoder:
         """(ids,) of each text, or (ids, starts, ends) with the character span of each token."""
         if not texts:
             return []
+        with self.lock:
+            found = self._encode(texts)
+            self.used = time.monotonic()
+        return found
+
+    def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, ...]]:
         if len(self.slots) > self.most[0] or self.chars.sum() > self.most[1]:
             self._clear()
         number, slots = self.slots.__getitem__, []
@@ -132,7 +143,30 @@ class Encoder:
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
-@lru_cache(maxsize=4)
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def _let_go() -> None:
+    """Free encoders that nobody has used for a while; Spark keeps its workers between stages."""
+    while _encoders:
+        time.sleep(IDLE / 2)
+        for key, own in list(_encoders.items()):
+            if time.monotonic() - own.used > IDLE and own.lock.acquire(blocking=False):
+                _encoders.pop(key, None)
+                own._clear()
+                own.lock.release()
+                del own
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim:
+                    trim(0)
+
+
 def encoder(vocabulary: str = VOCABULARY, offsets: bool = False) -> Encoder:
-    """The worker's own encoder; a vocabulary file is read once a worker."""
-    return Encoder(vocabulary, offsets)
+    """The worker's own encoder, which tasks that follow each other share."""
+    own = _encoders.get((vocabulary, offsets))
+    if own is None:
+        own = _encoders[vocabulary, offsets] = Encoder(vocabulary, offsets)
+        if len(_encoders) == 1:
+            threading.Thread(target=_let_go, daemon=True).start()
+    own.used = time.monotonic()
+    return own
