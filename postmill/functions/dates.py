@@ -30,14 +30,16 @@ def _shape(fmt: str) -> str:
 def parse_date_any(c: Column | str, formats: tuple[str, ...]) -> Column:
     """Date by the first matching format, else NULL.
 
-    A regex test precedes each parse: a failed parse raises and catches inside the JVM,
-    which costs far more than the test.
+    The text's shape chooses the parse, since a failed parse raises and catches inside the JVM,
+    which costs far more than a test. Formats of one shape are tried in turn.
     """
-
-    def first_match(text: Column) -> Column:
-        return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_date(text, f)) for f in formats])
-
-    return let(F.regexp_replace(as_col(c), UNCLEAN, " "), first_match)
+    text, shapes = F.regexp_replace(as_col(c), UNCLEAN, " "), {}
+    for f in formats:
+        shapes.setdefault(_shape(f), []).append(F.try_to_date(text, f))
+    found = F.lit(None).cast("date")
+    for shape, parses in reversed(shapes.items()):
+        found = F.when(text.rlike(shape), F.coalesce(*parses)).otherwise(found)
+    return found
 
 
 def iso_date(d: Column) -> Column:

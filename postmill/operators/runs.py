@@ -104,7 +104,7 @@ def run_status(runs: DataFrame, n: int = 7, chunk: str = "hour") -> DataFrame:
 
 
 def runs_since(runs: DataFrame, instant: Column) -> DataFrame:
-    return runs.filter(F.col("started_at") >= instant).orderBy("started_at", "source")
+    return runs.filter(F.col("started_at") >= instant).orderBy("started_at", "source", "id")
 
 
 def since_midnight(runs: DataFrame, as_of: Column) -> DataFrame:
@@ -113,7 +113,7 @@ def since_midnight(runs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def todays_runs(runs: DataFrame, as_of: Column) -> DataFrame:
-    return since_midnight(runs, as_of).orderBy("source", "started_at")
+    return since_midnight(runs, as_of).orderBy("source", "started_at", "id")
 
 
 def failed_runs(runs: DataFrame) -> DataFrame:

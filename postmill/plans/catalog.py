@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, html, labels, text
@@ -13,6 +13,8 @@ from postmill.operators import aggregates, dedupe, filters, joins, reports, scor
 from postmill.operators import runs as run_ops
 from postmill.operators.skew import lookup_join
 from postmill.plans import bindings as b
+from postmill.session import scratch_dir, stage
+from postmill.sources.tables import write_cards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,6 +82,19 @@ def iso(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
 
 
+def with_position(ordered: DataFrame) -> DataFrame:
+    """``ordered`` with each row's place in its returned order, from 1.
+
+    The rows are stored with their partition and place in it; rows of earlier partitions are added from one short row a partition.
+    """
+    rows = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_part", part).join(sizes.select("_part", before.alias("_before")), "_part")
+    return placed.withColumn("position", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
+
+
 # The text SQL reads as a date: ten characters in dashed form.
 POSTED = "CASE WHEN regexp_full_match(left(date_posted, 10), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(left(date_posted, 10) AS DATE) END"
 GROUPS = """d AS (
@@ -172,10 +187,13 @@ def archive_stale(spark, sf):
     return store.archive_stale(b.postings(spark, sf), 30, instant(AS_OF)).select("id", "status")
 
 
-@query("order_stale", P + f" SELECT id, {iso('date_collected')} AS date_collected FROM p WHERE {OLD}")
+@query(
+    "order_stale",
+    P + f" SELECT id, {iso('date_collected')} AS date_collected, row_number() OVER (ORDER BY p.date_collected, id) AS position FROM p WHERE {OLD}",
+)
 def order_stale(spark, sf):
-    rows = filters.order_stale(filters.stale(b.postings(spark, sf), 30, instant(AS_OF)))
-    return rows.select("id", format_instant("date_collected").alias("date_collected"))
+    rows = with_position(filters.order_stale(filters.stale(b.postings(spark, sf), 30, instant(AS_OF))))
+    return rows.select("id", format_instant("date_collected").alias("date_collected"), "position")
 
 
 @query("delete_by_id", P + " SELECT id, title FROM p WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -280,7 +298,6 @@ def validate(spark, sf):
 )
 def table_roundtrip(spark, sf):
     """One half replaces the (empty) table, the other is appended, and both are read back."""
-    from postmill.session import scratch_dir
     from postmill.sources.tables import postings_table
 
     stored, arriving = b.halves(spark, sf)
@@ -382,23 +399,30 @@ def location_filter(spark, sf):
     return filters.location_filter(rows, F.col("locations")).select("id", "source", "location")
 
 
-@query("list_postings_newest", P + " SELECT id, title, status, score FROM p WHERE status = 'new' AND score >= 3")
+NEWEST = ", row_number() OVER (ORDER BY date_collected DESC, id DESC) AS position"
+
+
+@query("list_postings_newest", P + f" SELECT id, title, status, score{NEWEST} FROM p WHERE status = 'new' AND score >= 3")
 def list_postings_newest(spark, sf):
-    return filters.list_postings(b.postings(spark, sf), status="new", min_score=3).select("id", "title", "status", "score")
+    return with_position(filters.list_postings(b.postings(spark, sf), status="new", min_score=3)).select("id", "title", "status", "score", "position")
 
 
-@query("list_postings_score", P + " SELECT id, source, score FROM p WHERE source = 'building'")
+@query(
+    "list_postings_score",
+    P + " SELECT id, source, score, row_number() OVER (ORDER BY score DESC NULLS LAST, date_collected DESC, id DESC) AS position FROM p WHERE source = 'building'",
+)
 def list_postings_score(spark, sf):
-    return filters.list_postings(b.postings(spark, sf), source="building", sort_by="score", min_score=1).select("id", "source", "score")
+    rows = filters.list_postings(b.postings(spark, sf), source="building", sort_by="score", min_score=1)
+    return with_position(rows).select("id", "source", "score", "position")
 
 
 @query(
     "list_postings_keyword",
-    P + """ SELECT id, title, company FROM p WHERE lower(title) LIKE '%medium%b_ild%' OR lower(company) LIKE '%medium%b_ild%'
+    P + f""" SELECT id, title, company{NEWEST} FROM p WHERE lower(title) LIKE '%medium%b_ild%' OR lower(company) LIKE '%medium%b_ild%'
     OR lower(location) LIKE '%medium%b_ild%' OR lower(description) LIKE '%medium%b_ild%'""",
 )
 def list_postings_keyword(spark, sf):
-    return filters.list_postings(b.postings(spark, sf), keyword="Medium%b_ILD").select("id", "title", "company")
+    return with_position(filters.list_postings(b.postings(spark, sf), keyword="Medium%b_ILD")).select("id", "title", "company", "position")
 
 
 @query(
@@ -462,14 +486,17 @@ def top_scoring(spark, sf):
     return filters.top_scoring(b.postings(spark, sf)).select("id", "title", "company", "score", "url")
 
 
-@query("unscored", P + " SELECT id, title FROM p WHERE score IS NULL")
+@query("unscored", P + f" SELECT id, title{NEWEST} FROM p WHERE score IS NULL")
 def unscored(spark, sf):
-    return filters.order_newest(filters.unscored(b.postings(spark, sf))).select("id", "title")
+    return with_position(filters.order_newest(filters.unscored(b.postings(spark, sf)))).select("id", "title", "position")
 
 
-@query("export_order", P + " SELECT id, title, score, date_posted FROM p")
+@query(
+    "export_order",
+    P + " SELECT id, title, score, date_posted, row_number() OVER (ORDER BY score DESC NULLS LAST, coalesce(date_posted, '') DESC, id DESC) AS position FROM p",
+)
 def export_order(spark, sf):
-    return filters.order_export(b.postings(spark, sf)).select("id", "title", "score", "date_posted")
+    return with_position(filters.order_export(b.postings(spark, sf))).select("id", "title", "score", "date_posted", "position")
 
 
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -488,6 +515,14 @@ def render_cards(spark, sf):
     return reports.render_cards(b.postings(spark, sf))
 
 
+@query("written_cards", ORACLES["render_cards"].replace(" SELECT id, '<article", " SELECT count(*) OVER () AS written, '<article"))
+def written_cards(spark, sf):
+    """The cards' file, read back line by line, with the number that writing reported."""
+    path = scratch_dir(spark, "cards")
+    written = write_cards(reports.render_cards(b.postings(spark, sf)), path)
+    return spark.read.text(path).select(F.lit(written).alias("written"), F.col("value").alias("card"))
+
+
 @query(
     "watchlist_report",
     P
@@ -603,18 +638,26 @@ def health_banner(spark, sf):
     return reports.health_banner(b.runs(spark, sf))
 
 
-@query("runs_since", R + f" SELECT id, source, {iso('started_at')} AS started_at, status FROM r WHERE started_at >= TIMESTAMP '2024-01-10 12:00:00'")
+@query(
+    "runs_since",
+    R + f""" SELECT id, source, {iso('started_at')} AS started_at, status, row_number() OVER (ORDER BY r.started_at, source, id) AS position
+    FROM r WHERE r.started_at >= TIMESTAMP '2024-01-10 12:00:00'""",
+)
 def runs_since(spark, sf):
-    rows = run_ops.runs_since(b.runs(spark, sf), instant(RUNS_AS_OF))
-    return rows.select("id", "source", format_instant("started_at").alias("started_at"), "status")
+    rows = with_position(run_ops.runs_since(b.runs(spark, sf), instant(RUNS_AS_OF)))
+    return rows.select("id", "source", format_instant("started_at").alias("started_at"), "status", "position")
 
 
 TODAY = "started_at >= TIMESTAMP '2024-01-10'"
 
 
-@query("todays_runs", R + f" SELECT id, source, status, jobs_found, jobs_inserted, error_message FROM r WHERE {TODAY}")
+@query(
+    "todays_runs",
+    R + f" SELECT id, source, status, jobs_found, jobs_inserted, error_message, row_number() OVER (ORDER BY source, started_at, id) AS position FROM r WHERE {TODAY}",
+)
 def todays_runs(spark, sf):
-    return run_ops.todays_runs(b.runs(spark, sf), instant(RUNS_AS_OF)).select("id", "source", "status", "jobs_found", "jobs_inserted", "error_message")
+    rows = with_position(run_ops.todays_runs(b.runs(spark, sf), instant(RUNS_AS_OF)))
+    return rows.select("id", "source", "status", "jobs_found", "jobs_inserted", "error_message", "position")
 
 
 @query("failed_runs", R + " SELECT id, source, error_message FROM r WHERE status = 'error'")
@@ -700,30 +743,26 @@ def failure_alert(spark, sf):
 @query(
     "parse_dates",
     P
-    + """ SELECT id, CASE WHEN id % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS row_date,
-    CASE WHEN id % 5 = 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS long_date,
+    + """ SELECT id, CASE WHEN id % 5 IN (0, 1, 2) OR id % 5 = 3 AND month(o_orderdate) = 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS row_date,
+    CASE WHEN id % 5 = 3 OR id % 5 = 0 AND month(o_orderdate) = 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS long_date,
     CASE WHEN id % 5 IN (1, 2) THEN strftime(o_orderdate, '%Y-%m-%d') END AS listing_date,
     CASE WHEN id % 5 = 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS typed_date,
     strftime(o_orderdate, '%Y-%m-%d') AS epoch_date, strftime(o_orderdate, '%Y-%m-%d') AS week_date,
-    strftime(o_orderdate, '%Y-%m-%d') AS compact_date FROM p""".replace("CASE WHEN id % 5 = 4 THEN NULL ELSE", "CASE WHEN id % 5 IN (3, 4) THEN NULL ELSE"),
+    strftime(o_orderdate, '%Y-%m-%d') AS compact_date FROM p""",
 )
 def parse_dates(spark, sf):
-    """Order dates written in five ways and read back by each family of formats."""
+    """Order dates written in five ways and read back by each family of formats. May has the same short and long name, so it is read as either."""
     orders = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"))
     styles = ["MMM d, yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "MMMM dd, yyyy", "yyyy/MM/dd"]
     written = F.element_at(F.array(*[F.date_format("d", s) for s in styles]), (F.col("id") % 5 + 1).cast("int"))
-    # May has the same short and long name.
-    may_safe = F.when(F.col("id") % 5 == 0, F.regexp_replace(written, "^May ", "may ")).otherwise(written)
-    rows = orders.withColumn("t", may_safe)
+    rows = orders.withColumn("t", F.when(F.col("id") % 5 == 0, F.regexp_replace(written, "^May ", "may ")).otherwise(written))
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), "d"), F.lit("-W"), F.lpad(F.weekofyear("d").cast("string"), 2, "0"), F.lit("-"), (F.weekday("d") + 1).cast("string"))
 
     def row_date(formats):
         return dates.iso_date(dates.parse_date_any("t", formats))
 
-    long_date = F.when(F.col("id") % 5 != 0, row_date(dates.LONG_MONTH_FORMATS))
-    short = F.when(F.col("id") % 5 != 3, row_date(dates.TABLE_ROW_FORMATS))
     return rows.select(
-        "id", short.alias("row_date"), long_date.alias("long_date"), row_date(dates.LISTING_FORMATS).alias("listing_date"),
+        "id", row_date(dates.TABLE_ROW_FORMATS).alias("row_date"), row_date(dates.LONG_MONTH_FORMATS).alias("long_date"), row_date(dates.LISTING_FORMATS).alias("listing_date"),
         dates.iso_date(dates.posted_on("t")).alias("typed_date"),
         dates.iso_date(dates.epoch_ms_to_date(F.unix_millis(F.col("d").cast("timestamp")))).alias("epoch_date"),
         dates.iso_date(dates.posted_on(week)).alias("week_date"),
@@ -747,7 +786,7 @@ def instant_roundtrip(spark, sf):
 @query(
     "label_extract",
     P
-    + """ SELECT id, CASE WHEN id % 4 = 0 THEN location WHEN id % 4 = 1 THEN 'Berlin ' || title WHEN id % 4 = 2 THEN '' ELSE '' END AS place,
+    + """ SELECT id, CASE WHEN id % 4 = 0 THEN location WHEN id % 4 = 1 THEN 'berlin ' || title WHEN id % 4 = 2 THEN '' ELSE '' END AS place,
     CASE WHEN id % 4 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN id % 4 = 2 THEN 'soon' END AS posted,
     location AS after_label FROM p""",
 )
@@ -761,13 +800,12 @@ def label_extract(spark, sf):
         .otherwise("nothing here")
     )
     page = F.concat(F.lit("Jobs Location(s): "), "location", F.lit(" - "), "title", F.lit(" and more"))
-    place = labels.extract_location("card")
     return (
         rows.join(day, "id")
         .withColumns({"card": card, "page": page})
         .select(
             "id",
-            F.when(k == 1, F.regexp_replace(place, "^berlin", "Berlin")).otherwise(place).alias("place"),
+            labels.extract_location("card").alias("place"),
             labels.extract_date_posted("card").alias("posted"),
             labels.location_after_label("page", "title").alias("after_label"),
         )

@@ -18,19 +18,36 @@ from postmill.operators.store import new_postings, with_new_ids
 from postmill.schema import RUNS
 from postmill.session import stage
 from postmill.sources.common import ARRIVAL, COLUMNS
-from postmill.sources.registry import BOARD_PLATFORMS, JSON_KINDS, READERS, RENDERED_KINDS
+from postmill.sources.registry import BOARD_PLATFORMS, JSON_KINDS, JSON_SHAPES, READERS, RENDERED_KINDS
 from postmill.sources.tables import StoredTable
 
 
-def source_failures(raw: DataFrame) -> DataFrame:
-    """(source, failure) for sources with a failed fetch or an unreadable JSON body."""
-    kind = F.col("source")
+def kind_of(source: Column) -> Column:
+    """The kind of a source: the platform of a board, else the source itself."""
+    kind = source
     for platform in BOARD_PLATFORMS:
-        kind = F.when(F.col("source").startswith(f"{platform}_"), F.lit(platform)).otherwise(kind)
-    unreadable = kind.isin(*JSON_KINDS) & F.try_parse_json("body").isNull()
-    failure = F.coalesce(F.col("error"), F.when(unreadable, F.lit("ValueError: response is not JSON")))
-    first = F.min_by(failure, F.when(failure.isNotNull(), F.col("seq")))
-    return raw.groupBy("source").agg(first.alias("failure")).filter("failure is not null")
+        kind = F.when(source.startswith(f"{platform}_"), F.lit(platform)).otherwise(kind)
+    return kind
+
+
+def source_failures(raw: DataFrame, with_details: bool = True) -> DataFrame:
+    """(source, failure) for sources with a failed fetch, a body that is no JSON or JSON of a wrong shape, or pages that can't be read
+    because no detail pages were given. The first failing response counts."""
+    kind = kind_of(F.col("source"))
+    parsed = raw.withColumn("_kind", kind).withColumn("_json", F.when(F.col("_kind").isin(*JSON_KINDS), F.try_parse_json("body")))
+    right = F.lit(False)
+    for shape, test in JSON_SHAPES.items():
+        own = [k for k, s in JSON_KINDS.items() if s == shape]
+        right = F.when(F.col("_kind").isin(*own), test(F.col("_json"))).otherwise(right)
+    of_json = F.col("_kind").isin(*JSON_KINDS)
+    failure = F.coalesce(
+        F.col("error"),
+        F.when(of_json & F.col("_json").isNull(), F.lit("ValueError: response is not JSON")),
+        F.when(of_json & ~F.coalesce(right, F.lit(False)), F.lit("TypeError: response has another shape")),
+        F.when(F.col("_kind").isin(*RENDERED_KINDS), F.lit(None if with_details else "LookupError: no detail pages given")),
+    )
+    found = parsed.select("source", "seq", failure.alias("failure")).filter("failure is not null")
+    return found.groupBy("source").agg(F.min_by("failure", "seq").alias("failure"))
 
 
 def _of_kinds(raw: DataFrame, kinds: list[str]) -> DataFrame:
@@ -95,7 +112,7 @@ def collect_all(
     """
     cutoff = F.date_sub(F.to_date(as_of), lookback_days)
     # Staged as well: finding failures reads every response, and the source list is used often.
-    state = stage(sources.join(source_failures(raw), "source", "left"), "sources")
+    state = stage(sources.join(source_failures(raw, details is not None), "source", "left"), "sources")
     healthy = state.filter(F.col("failure").isNull()).drop("failure")
     batch = stage(parse_sources(raw, healthy, details, kinds, filter_keywords), "batch")
     added = stage(new_postings(stored, batch.filter(is_recent(cutoff)), as_of, ARRIVAL), "added")
@@ -121,14 +138,18 @@ def collect_all(
         }
     )
     new_runs = with_new_ids(finished, runs, ["rank"]).select(*RUNS.names)
-    totals = collection_summary(batch, cutoff).drop("new")
-    new_rows = added.rollup("source").agg(F.grouping_id().cast("int").alias("is_total"), F.count(F.lit(1)).alias("new"))
-    summary = (
-        totals.alias("t")
-        .join(new_rows.alias("n"), F.expr("t.source <=> n.source AND t.is_total = n.is_total"), "left")
-        .select("t.*", F.coalesce("n.new", F.lit(0)).alias("new"))
-    )
-    return Collected(added, new_runs, summary)
+    return Collected(added, new_runs, summary_of(state, batch, added, cutoff))
+
+
+def summary_of(sources: DataFrame, batch: DataFrame, added: DataFrame, cutoff: Column) -> DataFrame:
+    """(source, is_total, collected, skipped, undated, new): a line for every source, with or without postings, and one for the total."""
+    counts = ("collected", "skipped", "undated", "new")
+    found = collection_summary(batch, cutoff).filter("is_total = 0").drop("is_total", "new")
+    new = added.groupBy("source").agg(F.count(F.lit(1)).alias("new"))
+    lines = sources.select("source").join(found, "source", "left").join(new, "source", "left").na.fill(0, counts)
+    total = lines.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    each = lines.select("source", F.lit(0).alias("is_total"), *counts)
+    return each.unionByName(total.select(F.lit(None).cast("string").alias("source"), F.lit(1).alias("is_total"), *counts))
 
 
 def run_collection(raw: DataFrame, sources: DataFrame, postings: StoredTable, runs: StoredTable, as_of: Column, **options) -> Collected:

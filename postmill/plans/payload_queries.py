@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions.dates import instant
+from postmill.functions import text
 from postmill.functions.labels import LinkRules
 from postmill.plans import bindings as b
 from postmill.plans.catalog import AS_OF, P, R, query
@@ -308,50 +309,119 @@ def rendered(spark, sf):
     return listings.from_rendered_listings(b.landed(rows, entry, body), details, spec).select(*OUT)
 
 
-@query(
-    "collect_all",
+def _norm(c):
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+# Every posting lands at one of eleven sources of three kinds; four boards more found nothing or failed. Keys of one company's roles in places before J
+# are stored already.
+COLLECTED = (
     P
-    + f""", {R.removeprefix("WITH ")}, src AS (SELECT DISTINCT lower(c_mktsegment) AS source FROM customer UNION SELECT 'empty' UNION SELECT 'broken'),
+    + f""", {R.removeprefix("WITH ")}, seg AS (SELECT DISTINCT lower(c_mktsegment) AS s FROM customer),
+  src AS (SELECT 'amazon' AS source UNION ALL SELECT 'greenhouse_' || s FROM seg UNION ALL SELECT 'lever_' || s FROM seg
+    UNION ALL SELECT unnest(['lever_empty', 'lever_broken', 'lever_object', 'greenhouse_wrong'])),
   hist AS (SELECT bool_or(jobs_found > 0) AS had FROM (SELECT * FROM r WHERE status <> 'running' ORDER BY started_at DESC, id DESC LIMIT 7) t),
-  hit AS (SELECT *, CASE WHEN id % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
-      regexp_replace(lower('Acme'), '[^a-z0-9]+', ' ', 'g') || '::' || {"trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"} || '::' || {"trim(regexp_replace(lower(location), '[^a-z0-9]+', ' ', 'g'))"} AS k
+  placed AS (SELECT *, CASE id % 3 WHEN 0 THEN 'lever_' || source WHEN 1 THEN 'greenhouse_' || source ELSE 'amazon' END AS src,
+      CASE id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS place, CASE WHEN id % 3 = 2 THEN 'Amazon' ELSE 'Acme' END AS firm,
+      CASE id % 3 WHEN 0 THEN 'https://l.example/' WHEN 1 THEN 'https://g.example/' ELSE 'https://www.amazon.jobs/en/' END || id AS link,
+      CASE WHEN id % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS day
     FROM p WHERE {HIT.format("title || ' ' || location || ' ' || description")}),
-  recent AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source, id) AS n FROM hit WHERE day IS NULL OR day >= DATE '2001-06-01' - 1000),
-  f AS (SELECT source, count(*) AS n FROM hit GROUP BY 1), i AS (SELECT source, count(*) AS n FROM recent WHERE n = 1 GROUP BY 1)
-  SELECT 'lever_' || src.source AS source, CASE WHEN src.source = 'broken' THEN 'error'
-      WHEN coalesce(f.n, 0) = 0 AND src.source = 'empty' AND (SELECT had FROM hist) THEN 'warning' ELSE 'ok' END AS status,
-    coalesce(f.n, 0) AS jobs_found, coalesce(i.n, 0) AS jobs_inserted,
-    CASE WHEN src.source = 'broken' THEN 'RuntimeError: site changed' END AS error_message
-  FROM src LEFT JOIN f ON src.source = f.source LEFT JOIN i ON src.source = i.source""",
+  hit AS (SELECT *, {_norm("firm")} || '::' || {_norm("title")} || '::' || {_norm("location")} AS k FROM placed),
+  old AS (SELECT DISTINCT 'acme::' || {_norm("title")} || '::' || {_norm("location")} AS k FROM p WHERE location < 'J'),
+  recent AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place, src, id) AS n FROM hit WHERE day IS NULL OR day >= DATE '2001-06-01' - 1000),
+  added AS (SELECT * FROM recent WHERE n = 1 AND k NOT IN (SELECT k FROM old)),
+  f AS (SELECT src AS source, count(*) AS n, count(*) FILTER (day < DATE '2001-06-01' - 1000) AS skipped, count(*) FILTER (day IS NULL) AS undated FROM hit GROUP BY 1),
+  i AS (SELECT src AS source, count(*) AS n FROM added GROUP BY 1)"""
 )
-def collection(spark, sf):
-    """The whole collection job: one board per market segment, one board that found nothing but
-    has the events as its history, and one whose fetch failed."""
+
+
+def _collected(spark, sf):
+    """The whole collection job over boards of two platforms and a company search, against a table that holds some of the keys. One board found
+    nothing but has the events as its history, one could not be fetched, and two sent JSON of another shape."""
     rows = _dated(spark, sf)
-    millis = F.unix_date("day").cast("long") * 86400000
-    entry = F.struct(
+    kind, undated = F.col("id") % 3, F.col("id") % 7 == 0
+    lever = F.struct(
         F.col("title").alias("text"),
         F.concat(F.lit("https://l.example/"), _id()).alias("hostedUrl"),
         F.struct("location").alias("categories"),
-        F.when(F.col("id") % 7 == 0, 0).otherwise(millis).alias("createdAt"),
+        F.when(undated, 0).otherwise(F.unix_date("day").cast("long") * 86400000).alias("createdAt"),
         F.col("description").alias("descriptionPlain"),
     )
-    board = F.concat(F.lit("lever_"), "source")
-    good = b.landed(rows, entry, F.to_json, board)
-    failed = good.limit(1).withColumns({"source": F.lit("lever_broken"), "body": F.lit(None), "error": F.lit("RuntimeError: site changed")})
-    raw = good.unionByName(failed).select("source", "url", "term", "fetched_at", "seq", "body", "error")
-
-    segments = b.table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("slug")).distinct()
-    slugs = F.array_sort(F.concat(F.collect_list("slug"), F.array(F.lit("empty"), F.lit("broken"))))
-    no_list = F.lit(None).cast("array<string>")
-    config = segments.agg(slugs.alias("slugs")).select(
-        F.lit("lever").alias("name"),
-        F.lit(True).alias("enabled"),
-        no_list.alias("keywords"),
-        F.transform("slugs", lambda s: F.struct(s.alias("slug"), F.lit("Acme").alias("company"), no_list.alias("locations"), no_list.alias("keywords"))).alias("boards"),
+    greenhouse_ = F.struct(
+        "title",
+        F.concat(F.lit("https://g.example/"), _id()).alias("absolute_url"),
+        F.struct(F.col("location").alias("name")).alias("location"),
+        F.when(~undated, F.date_format("day", "yyyy-MM-dd'T'10:00:00")).alias("updated_at"),
+        F.concat(F.lit("<p>"), "description", F.lit("</p>")).alias("content"),
+    )
+    amazon_ = F.struct(
+        "title",
+        "location",
+        F.concat(F.lit("/en/"), _id()).alias("job_path"),
+        "description",
+        F.when(undated, "soon").otherwise(F.date_format("day", "MMMM d, yyyy")).alias("posted_date"),
     )
+    columns = ("source", "url", "term", "fetched_at", "seq", "body", "error")
+    good = [
+        b.landed(rows.filter(kind == 0), lever, F.to_json, F.concat(F.lit("lever_"), "source")),
+        b.landed(rows.filter(kind == 1), greenhouse_, _jobs, F.concat(F.lit("greenhouse_"), "source")),
+        b.landed(rows.filter(kind == 2), amazon_, _jobs, F.lit("amazon")),
+    ]
+    raw = good[0].select(*columns).unionByName(good[1].select(*columns)).unionByName(good[2].select(*columns))
+    for source, body, error in (
+        ("lever_broken", None, "RuntimeError: site changed"),
+        ("lever_object", '{"ok": false, "error": "not found"}', None),
+        ("greenhouse_wrong", '{"jobs": "none"}', None),
+    ):
+        raw = raw.unionByName(good[0].limit(1).withColumns({"source": F.lit(source), "body": F.lit(body), "error": F.lit(error)}).select(*columns))
+
+    segments = b.table(spark, sf, "customer").agg(F.array_sort(F.collect_set(F.lower("c_mktsegment"))).alias("slugs"))
+    no_list = F.lit(None).cast("array<string>")
+
+    def platform(name, *more):
+        slugs = F.concat("slugs", F.array(*[F.lit(m) for m in more]))
+        board = F.transform(slugs, lambda s: F.struct(s.alias("slug"), F.lit("Acme").alias("company"), no_list.alias("locations"), no_list.alias("keywords")))
+        return segments.select(F.lit(name).alias("name"), F.lit(True).alias("enabled"), no_list.alias("keywords"), board.alias("boards"))
+
+    config = platform("lever", "empty", "broken", "object").unionByName(platform("greenhouse", "wrong"))
+    config = config.unionByName(segments.select(F.lit("amazon").alias("name"), F.lit(True).alias("enabled"), no_list.alias("keywords"), F.lit(None).cast(config.schema["boards"].dataType).alias("boards")))
     sources = expand_sources(config, ["high", "urgent"])
     past = b.runs(spark, sf).withColumn("source", F.lit("lever_empty"))
-    nothing = b.postings(spark, sf).filter(F.lit(False))
-    result = collect_all(raw, sources, nothing, past, instant(AS_OF), 1000, kinds=["lever"])
-    return result.runs.select("source", "status", "jobs_found", "jobs_inserted", "error_message")
+    stored = b.postings(spark, sf).filter("location < 'J'").withColumn("dedupe_key", text.dedupe_key(F.lit("Acme"), "title", "location"))
+    return collect_all(raw, sources, stored, past, instant(AS_OF), 1000, kinds=["lever", "greenhouse", "amazon"])
+
+
+@query(
+    "collect_all",
+    COLLECTED
+    + """ SELECT src.source, CASE WHEN src.source IN ('lever_broken', 'lever_object', 'greenhouse_wrong') THEN 'error'
+      WHEN coalesce(f.n, 0) = 0 AND src.source = 'lever_empty' AND (SELECT had FROM hist) THEN 'warning' ELSE 'ok' END AS status,
+    coalesce(f.n, 0) AS jobs_found, coalesce(i.n, 0) AS jobs_inserted,
+    CASE src.source WHEN 'lever_broken' THEN 'RuntimeError: site changed' WHEN 'lever_object' THEN 'TypeError: response has another shape'
+      WHEN 'greenhouse_wrong' THEN 'TypeError: response has another shape' END AS error_message
+  FROM src LEFT JOIN f ON src.source = f.source LEFT JOIN i ON src.source = i.source""",
+)
+def collection(spark, sf):
+    return _collected(spark, sf).runs.select("source", "status", "jobs_found", "jobs_inserted", "error_message")
+
+
+@query(
+    "collect_postings",
+    COLLECTED
+    + """ SELECT title, firm AS company, location, src AS source, link AS url, description, strftime(day, '%Y-%m-%d') AS date_posted, k AS dedupe_key, 'new' AS status
+  FROM added""",
+)
+def collected_postings(spark, sf):
+    return _collected(spark, sf).postings.select("title", "company", "location", "source", "url", "description", "date_posted", "dedupe_key", "status")
+
+
+@query(
+    "collect_summary",
+    COLLECTED
+    + """, each AS (SELECT src.source, coalesce(f.n, 0) AS collected, coalesce(skipped, 0) AS skipped, coalesce(undated, 0) AS undated, coalesce(i.n, 0) AS new
+    FROM src LEFT JOIN f ON src.source = f.source LEFT JOIN i ON src.source = i.source)
+  SELECT source, 0 AS is_total, collected, skipped, undated, new FROM each
+  UNION ALL SELECT NULL, 1, CAST(sum(collected) AS BIGINT), CAST(sum(skipped) AS BIGINT), CAST(sum(undated) AS BIGINT), CAST(sum(new) AS BIGINT) FROM each""",
+)
+def collected_summary(spark, sf):
+    return _collected(spark, sf).summary

@@ -11,7 +11,7 @@ from postmill.functions.text import keyword_pattern, title_case
 from postmill.schema import DEFAULT_KEYWORDS, SOURCE_CONFIG
 from postmill.sources import boards, listings, searches
 
-# Single sources in their running order, with the company of each.
+# Single sources in their running order, with the company of each. register_source adds to them.
 SINGLE_SOURCES = {
     "bmw": "BMW Group",
     "porsche": "Porsche",
@@ -41,31 +41,74 @@ Reader = Callable[[DataFrame, DataFrame | None], DataFrame]
 READERS: dict[str, Reader] = {}
 
 
-def register_source(kind: str, reader: Reader) -> None:
-    """Add or replace the reader of a source kind. Kinds with the same reader are read together."""
+def register_source(kind: str, reader: Reader, company: str | None = None, shape: str | None = None, needs_details: bool = False) -> None:
+    """Add or replace the reader of a source kind. Kinds with the same reader are read together.
+
+    With ``company`` the kind can be configured as a source of its own, and runs behind those known before. ``shape`` names the JSON
+    shape (a key of JSON_SHAPES) without which a response fails its source's run; ``needs_details`` says that it reads detail pages only.
+    """
     READERS[kind] = reader
+    if company is not None:
+        SINGLE_SOURCES.setdefault(kind, company)
+    if shape is not None:
+        JSON_KINDS[kind] = shape
+    if needs_details:
+        RENDERED_KINDS.add(kind)
 
 
-for _kind, _reader in {
-    "greenhouse": boards.from_greenhouse,
-    "lever": boards.from_lever,
-    "ashby": boards.from_ashby,
-    "porsche": searches.from_porsche,
-    "volkswagen": listings.from_successfactors,
-    "siemens": listings.from_siemens,
-    "sap": listings.from_successfactors,
-    "allianz": searches.from_allianz,
-    "apple": searches.from_apple,
-    "amazon": searches.from_amazon,
-}.items():
-    register_source(_kind, _reader)
-for _kind in listings.RENDERED_SPECS:
-    register_source(_kind, listings.from_rendered_listings)
+def unregister_source(kind: str) -> None:
+    READERS.pop(kind, None)
+    SINGLE_SOURCES.pop(kind, None)
+    JSON_KINDS.pop(kind, None)
+    RENDERED_KINDS.discard(kind)
+
+
+def _is_list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+
+
+def _is_object(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
-# Kinds whose response body must be JSON; anything else fails the source's run.
-JSON_KINDS = ("greenhouse", "lever", "ashby", "porsche", "amazon")
+
+def _jobs_list(v: Column, null_is_empty: bool) -> Column:
+    jobs = F.try_variant_get(v, "$.jobs", "variant")
+    fine = jobs.isNull() | F.try_variant_get(v, "$.jobs", "array<variant>").isNotNull()
+    return _is_object(v) & ((fine | F.coalesce(F.is_variant_null(jobs), F.lit(False))) if null_is_empty else fine)
+
+
+def _search_result(v: Column) -> Column:
+    return _is_object(v) & (F.try_variant_get(v, "$.SearchResult", "variant").isNull() | _is_object(v, "$.SearchResult"))
+
+
+# What the parsed body of a kind must be; the test of each gets a variant.
+JSON_SHAPES: dict[str, Callable[[Column], Column]] = {
+    "list": _is_list,
+    "jobs": lambda v: _jobs_list(v, False),
+    "jobs or null": lambda v: _jobs_list(v, True),
+    "search result": _search_result,
+}
+# Kinds whose response body must be JSON of a shape; anything else fails the source's run.
+JSON_KINDS: dict[str, str] = {}
 # Kinds that only yield postings together with captured detail pages.
-RENDERED_KINDS = tuple(listings.RENDERED_SPECS)
+RENDERED_KINDS: set[str] = set()
+
+
+for _kind, _reader, _shape in (
+    ("greenhouse", boards.from_greenhouse, "jobs"),
+    ("lever", boards.from_lever, "list"),
+    ("ashby", boards.from_ashby, "jobs"),
+    ("porsche", searches.from_porsche, "search result"),
+    ("volkswagen", listings.from_successfactors, None),
+    ("siemens", listings.from_siemens, None),
+    ("sap", listings.from_successfactors, None),
+    ("allianz", searches.from_allianz, None),
+    ("apple", searches.from_apple, None),
+    ("amazon", searches.from_amazon, "jobs or null"),
+):
+    register_source(_kind, _reader, shape=_shape)
+for _kind in listings.RENDERED_SPECS:
+    register_source(_kind, listings.from_rendered_listings, needs_details=True)
 
 
 def config_frame(spark: SparkSession, config: Mapping) -> DataFrame:
