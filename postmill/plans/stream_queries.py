@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from postmill.functions.dates import format_instant, instant
 from postmill.plans import bindings as b
@@ -13,16 +16,25 @@ from postmill.sources.tables import StoredTable, postings_table
 from postmill.streaming import health, ingest
 
 
-
-def _landing(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` as landed files, streamed a few at a time so that several batches run."""
+def _in_slices(spark: SparkSession, rows: DataFrame, piece: Column, pieces: int, name: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Land ``rows`` slice by slice in the order of ``piece``, and run the stream to its end after each, so that there are as many batches."""
     folder = scratch_dir(spark, name)
-    rows.write.parquet(folder)
-    return ingest.read_landing(spark, folder, rows.schema, files_per_batch=4)
+    for k in range(pieces):
+        rows.filter(piece == k).write.mode("append").parquet(folder)
+        start(ingest.read_landing(spark, folder, rows.schema)).awaitTermination()
+
+
+def _by_range(rows: DataFrame, c: str, pieces: int) -> Column:
+    """Equal ranges of a number or instant."""
+    number = F.col(c).cast("double")
+    low, high = rows.agg(F.min(number), F.max(number)).first()
+    width = max((high or 0.0) - (low or 0.0), 1.0) * (1 + 1e-9)
+    return F.floor((number - (low or 0.0)) / width * pieces)
 
 
-def _finish(query) -> None:
-    query.awaitTermination()
+def _with_late(piece: Column, pieces: int) -> Column:
+    """Every tenth row comes in a slice of its own behind the others."""
+    return F.when(F.col("id") % 10 == 0, pieces).otherwise(piece)
 
 
 @query(
@@ -30,31 +42,25 @@ def _finish(query) -> None:
     P + " SELECT dedupe_key, source, date_posted FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY id) AS k FROM p) t WHERE k = 1",
 )
 def stream_ingest(spark, sf):
-    """Postings land in files by id range and arrive file by file: the first of each key stays."""
+    """Postings land by id range in four batches: the first of each key stays."""
     rows = b.postings(spark, sf).withColumns({"rank": F.lit(0), "seq": F.lit(0), "pos": F.col("id")})
-    folder = scratch_dir(spark, "landed")
-    # File order is arrival order here, so ids must rise from file to file.
-    rows.repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(folder)
-    landed = ingest.read_landing(spark, folder, rows.schema, files_per_batch=100)
-    table = postings_table(spark, scratch_dir(spark, "postings"))
-    _finish(ingest.ingest_stream(landed, lambda d: d, table, scratch_dir(spark, "checkpoint"), instant(AS_OF)))
+    table, check = postings_table(spark, scratch_dir(spark, "postings")), scratch_dir(spark, "checkpoint")
+    _in_slices(spark, rows, _by_range(rows, "id", 4), 4, "landed", lambda d: ingest.ingest_stream(d, lambda x: x, table, check, instant(AS_OF)))
     return table.read().select("dedupe_key", "source", "date_posted")
 
 
 @query(
     "stream_dedupe",
-    "SELECT DISTINCT user_id, event_type FROM events",
+    """SELECT user_id, event_type, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 10 = 0, event_id) AS k FROM events) t
+    WHERE k = 1""",
 )
 def stream_dedupe(spark, sf):
-    """Repeats of (user, event type) within a delay longer than the data are dropped."""
-    events = b.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    unique = ingest.dedupe_stream(_landing(spark, events, "events"), "ts", "400 days", ("user_id", "event_type"))
-    out = scratch_dir(spark, "unique")
-    _finish(
-        unique.select("user_id", "event_type").writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start()
-    )
-    return spark.read.schema("user_id long, event_type string").parquet(out)
+    """The first event of each user and type, over four batches; the last has only events that come late, some of them first sightings."""
+    events = b.table(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("id"))
+    out = StoredTable(spark, scratch_dir(spark, "unique"), events.schema)
+    check, piece = scratch_dir(spark, "checkpoint"), _with_late(_by_range(events, "id", 3), 3)
+    _in_slices(spark, events, piece, 4, "events", lambda d: ingest.first_sightings_stream(d, out, check, ("user_id", "event_type"), ("id",)))
+    return out.read()
 
 
 @query(
@@ -63,25 +69,38 @@ def stream_dedupe(spark, sf):
     CAST(sum(jobs_found) AS BIGINT) AS jobs_found FROM r GROUP BY 1, 2""",
 )
 def stream_daily(spark, sf):
-    landed = _landing(spark, b.runs(spark, sf), "runs")
-    table = StoredTable(spark, scratch_dir(spark, "daily"), ingest.DAILY_COUNTS)
-    # The files hold the history in no time order, so no run may count as late.
-    _finish(ingest.daily_counts_stream(landed, table, scratch_dir(spark, "checkpoint"), delay="4000 days"))
-    return ingest.latest_counts(table.read()).withColumn("day", format_instant("day"))
+    """Daily counts over four batches, the last of runs that come late."""
+    rows = b.runs(spark, sf)
+    table, check = StoredTable(spark, scratch_dir(spark, "daily"), ingest.DAILY_COUNTS), scratch_dir(spark, "checkpoint")
+    _in_slices(spark, rows, _with_late(_by_range(rows, "started_at", 3), 3), 4, "runs", lambda d: ingest.daily_counts_stream(d, table, check))
+    return ingest.daily_totals(table.read()).withColumn("day", format_instant("day"))
 
 
-@query(
-    "stream_health",
-    R + f""" SELECT id, source, coalesce({PRIOR} > 0, false) AS had_postings, CASE WHEN status = 'error' THEN 'error'
-    WHEN jobs_found = 0 AND coalesce({PRIOR} > 0, false) THEN 'warning' ELSE 'ok' END AS derived_status FROM r WHERE status <> 'running'""",
+JUDGED_RUNS = (
+    R
+    + f""", done AS (SELECT * FROM r WHERE status <> 'running'),
+  judged AS (SELECT *, {PRIOR} AS prior FROM done WHERE id % 10 <> 0 UNION ALL SELECT * FROM (SELECT *, {PRIOR} AS prior FROM done) t WHERE id % 10 = 0)
+  SELECT id, source, coalesce(prior > 0, false) AS had_postings, CASE WHEN status = 'error' THEN 'error'
+    WHEN jobs_found = 0 AND coalesce(prior > 0, false) THEN 'warning' ELSE 'ok' END AS derived_status FROM judged"""
 )
-def stream_health(spark, sf):
-    """Runs land in time order; every batch is judged with the runs before it."""
-    folder = scratch_dir(spark, "runs")
+
+
+def _judged(spark, sf):
+    """Runs land in time order in three batches, each judged with the runs before it; every tenth comes late, in a fourth."""
     rows = b.runs(spark, sf)
-    rows.repartitionByRange(3, "started_at", "id").sortWithinPartitions("started_at", "id").write.parquet(folder)
-    landed = ingest.read_landing(spark, folder, rows.schema, files_per_batch=100)
-    root = scratch_dir(spark, "health")
+    root, check = scratch_dir(spark, "health"), scratch_dir(spark, "checkpoint")
     judged, tail = StoredTable(spark, f"{root}/judged", health.JUDGED), StoredTable(spark, f"{root}/tail", health.TAIL)
-    _finish(health.run_health_stream(landed, judged, tail, scratch_dir(spark, "checkpoint")))
+    piece = _with_late(_by_range(rows, "started_at", 3), 3)
+    _in_slices(spark, rows, piece, 4, "runs", lambda d: health.run_health_stream(d, judged, tail, check))
     return judged.read().select("id", "source", "had_postings", "derived_status")
+
+
+@query("stream_health", JUDGED_RUNS)
+def stream_health(spark, sf):
+    return _judged(spark, sf)
+
+
+@query("stream_late", JUDGED_RUNS + " WHERE id % 10 = 0")
+def stream_late(spark, sf):
+    """The runs that came late."""
+    return _judged(spark, sf).filter("id % 10 = 0")

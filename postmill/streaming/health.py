@@ -13,7 +13,8 @@ from postmill.schema import RUNS
 from postmill.session import stage
 from postmill.sources.tables import StoredTable
 
-JUDGED = T.StructType([*RUNS.fields, T.StructField("had_postings", T.BooleanType()), T.StructField("derived_status", T.StringType())])
+# A failed run is judged as having found nothing; what it did find, which counts as history, is kept as ``landed_found``.
+JUDGED = T.StructType([*RUNS.fields, T.StructField("landed_found", T.LongType()), T.StructField("had_postings", T.BooleanType()), T.StructField("derived_status", T.StringType())])
 TAIL = T.StructType([f for f in RUNS.fields if f.name in ("id", "source", "started_at", "jobs_found", "status")])
 
 
@@ -24,15 +25,22 @@ def run_health_stream(
 
     The state is that tail, a stored table of at most ``n`` rows per source. A source with very
     many runs in one batch is still split by time there, which a keyed state function could not
-    do: it would get all of a source's rows in one call.
+    do: it would get all of a source's rows in one call. Runs that come late, before runs already
+    judged, are judged with their source's stored history instead of its tail.
     """
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         token = f"health:{batch_id}"
         new = stage(batch, "runs-batch")
         before = tail.read()
-        carried = before.withColumn("_old", F.lit(True))
-        both = new.withColumn("_old", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+        ends = before.groupBy("source").agg(F.max("started_at").alias("_end"), F.count(F.lit(1)).alias("_kept")).filter(F.col("_kept") >= n)
+        late = stage(new.join(ends, "source").filter("started_at <= _end").select("source").distinct(), "late-sources")
+        history = before
+        if not late.isEmpty():
+            stored = judged.read().withColumn("jobs_found", F.col("landed_found")).select(*TAIL.names).join(late, "source", "left_semi")
+            history = before.join(late, "source", "left_anti").unionByName(stored)
+        carried = history.withColumn("_old", F.lit(True))
+        both = new.withColumns({"_old": F.lit(False), "landed_found": F.col("jobs_found")}).unionByName(carried, allowMissingColumns=True)
         verdicts = run_status(both, n, chunk).filter(~F.col("_old")).drop("_old")
         judged.append(verdicts, token)
         rows = settled(new).select(*TAIL.names).unionByName(before)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from postmill.operators.dedupe import first_rows
 from postmill.operators.store import new_postings
 from postmill.session import stage
 from postmill.sources.tables import StoredTable
@@ -20,8 +22,11 @@ def read_landing(spark: SparkSession, folder: str, schema: T.StructType, files_p
 
 
 def dedupe_stream(df: DataFrame, event_time: str, delay: str, keys: tuple[str, ...] = ("dedupe_key",)) -> DataFrame:
-    """Drop repeats of a key within ``delay`` of event time. State is bounded by the delay;
-    repeats further apart are left to the stored-key test of the insert."""
+    """Drop repeats of a key within ``delay`` of event time, with state bounded by the delay.
+
+    Rows that come later than the delay are dropped whether their key was seen or not. Where no first
+    sighting may be lost, use first_sightings_stream.
+    """
     return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -52,11 +57,24 @@ def ingest_stream(
     )
 
 
-def daily_counts(runs: DataFrame, delay: str = "1 day") -> DataFrame:
+def first_sightings_stream(
+    landed: DataFrame, out: StoredTable, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...], name: str = "first"
+) -> StreamingQuery:
+    """Append the first row of every key, in batch order, however late it comes: keys are tested against the stored ones."""
+
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        rows = stage(first_rows(batch, list(keys), list(order)), f"{name}-batch")
+        stored = out.read().select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        out.append(rows.join(stored, same, "left_anti"), token=f"{name}:{batch_id}")
+
+    return landed.writeStream.queryName(name).foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily_counts(runs: DataFrame) -> DataFrame:
     """Runs, errors and postings found per source and UTC day."""
     return (
-        runs.withWatermark("started_at", delay)
-        .groupBy(F.window("started_at", "1 day").alias("day"), "source")
+        runs.groupBy(F.window("started_at", "1 day").alias("day"), "source")
         .agg(
             F.count(F.lit(1)).alias("runs"),
             F.count_if(F.col("status") == "error").alias("errors"),
@@ -78,26 +96,19 @@ DAILY_COUNTS = T.StructType(
 )
 
 
-def daily_counts_stream(runs: DataFrame, out: StoredTable, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Append every update of a day's counts with its batch number; read with latest_counts.
+def daily_counts_stream(runs: DataFrame, out: StoredTable, checkpoint: str) -> StreamingQuery:
+    """Append each batch's counts of the days that it touches; read them with daily_totals.
 
-    Update mode writes only the days a batch touched, however long the history is.
+    Counts add up, so a run counts however late it comes, and the stream holds no state between batches. The batch number is the
+    commit's token, so a replayed batch is not counted twice.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        out.append(batch.withColumn("batch_id", F.lit(batch_id)), token=f"daily:{batch_id}")
+        out.append(daily_counts(batch).withColumn("batch_id", F.lit(batch_id)), token=f"daily:{batch_id}")
 
-    return (
-        daily_counts(runs, delay)
-        .writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return runs.writeStream.queryName("daily").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_counts(updates: DataFrame) -> DataFrame:
-    """The last update of each day and source."""
-    counts = F.struct("runs", "errors", "jobs_found")
-    return updates.groupBy("day", "source").agg(F.max_by(counts, "batch_id").alias("_c")).select("day", "source", "_c.*")
+def daily_totals(parts: DataFrame) -> DataFrame:
+    """The counts of each day and source over all batches."""
+    return parts.groupBy("day", "source").agg(*[F.sum(c).alias(c) for c in ("runs", "errors", "jobs_found")])

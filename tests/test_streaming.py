@@ -52,3 +52,34 @@ def test_health_matches_the_batch_rule_over_batches(spark, tmp_path):
     pick = lambda d: {r.id: (r.had_postings, r.derived_status) for r in d.collect()}
     assert pick(judged.read()) == pick(run_status(frame))
     assert {r["count"] for r in tail.read().groupBy("source").count().collect()} == {7}
+
+
+def test_late_runs_are_judged_with_stored_history(spark, tmp_path):
+    from postmill.operators.runs import run_status
+
+    start = datetime(2026, 1, 1)
+    rows = [(i, "s", start + timedelta(hours=i), None, "ok", 3 if i == 3 else 0, 0, None) for i in range(40)]
+    frame, folder = spark.createDataFrame(rows, RUNS), str(tmp_path / "runs")
+    judged, tail = StoredTable(spark, str(tmp_path / "judged"), health.JUDGED), StoredTable(spark, str(tmp_path / "tail"), health.TAIL)
+    for part in ("id <> 6 and id < 20", "id <> 6 and id >= 20", "id = 6"):
+        frame.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        health.run_health_stream(ingest.read_landing(spark, folder, RUNS), judged, tail, str(tmp_path / "check")).awaitTermination()
+    (late,) = judged.read().filter("id = 6").collect()
+    assert (late.had_postings, late.derived_status) == (True, "warning")
+    assert judged.versions().count() == 3
+    assert [(r.had_postings, r.derived_status) for r in run_status(frame).filter("id = 6").collect()] == [(True, "warning")]
+    assert sorted(r.id for r in tail.read().collect()) == list(range(33, 40))
+
+
+def test_first_sightings_and_daily_counts_lose_no_late_row(spark, tmp_path):
+    start = datetime(2026, 1, 20)
+    frame = spark.createDataFrame([(i, "ab"[i == 5], start - timedelta(days=9 if i == 5 else 0), None, "ok", i, 0, None) for i in range(6)], RUNS)
+    folder = str(tmp_path / "runs")
+    first, daily = StoredTable(spark, str(tmp_path / "first"), RUNS), StoredTable(spark, str(tmp_path / "daily"), ingest.DAILY_COUNTS)
+    for part in ("id < 3", "id in (3, 4)", "id = 5"):
+        frame.filter(part).write.mode("append").parquet(folder)
+        ingest.first_sightings_stream(ingest.read_landing(spark, folder, RUNS), first, str(tmp_path / "c1"), ("source",), ("id",)).awaitTermination()
+        ingest.daily_counts_stream(ingest.read_landing(spark, folder, RUNS), daily, str(tmp_path / "c2")).awaitTermination()
+    assert sorted((r.source, r.id) for r in first.read().collect()) == [("a", 0), ("b", 5)]
+    assert first.versions().count() == daily.versions().count() == 3
+    assert sorted((r.day.day, r.source, r.runs, r.jobs_found) for r in ingest.daily_totals(daily.read()).collect()) == [(11, "b", 1, 5), (20, "a", 5, 10)]
