@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks, and characters of chunks, that are kept; the table is begun anew when either is passed.
-CHUNKS, CHARACTERS = 700_000, 16_000_000
+CHUNKS, CHARACTERS = 300_000, 8_000_000
 #: New chunks are encoded so many at a time.
 TOGETHER = 256
 #: Seconds without use after which a worker gives its encoder's memory back; other stages need it.

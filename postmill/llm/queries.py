@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import chat, crf, kneser_ney, mixing, quality, records, simhash, tiling, token_counts, url_lists
+from postmill.llm.shared import batches_of_texts
 
 QUERIES, ORACLES = {}, {}
 
@@ -16,7 +17,7 @@ def query(function):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return batches_of_texts(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 @query

@@ -23,6 +23,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return scratch_dir(spark, name)
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 is meant for numbers; so many texts fill buffers on both sides of the pipe to Python.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def batches_of_texts(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of BATCH_ROWS rows, if it still has Spark's default."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    return spark
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or of a plain path, and the path in it."""
     if "://" in path or path.startswith("file:"):

@@ -10,8 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: A slice holds texts of about this many bytes, or one longer text. Encoding, whose tables grow slice by slice, takes larger ones.
-SLICE_BYTES, ENCODE_BYTES = 1 << 20, 4 << 20
+#: A slice holds texts of about this many bytes, or one longer text.
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
