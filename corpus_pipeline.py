@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm import mixing, quality, records, simhash, tiling
+from postmill.llm.shared import batches_of_texts
 from postmill.session import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -12,16 +13,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the classifier keep. It is trained on the labelled documents of the input."""
+    batches_of_texts(spark)
     return quality.keep(docs.select(*COLUMNS), quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rows=2_000))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the least doc_id."""
+    batches_of_texts(spark)
     return simhash.one_of_each(docs.select(*COLUMNS), shingle=3, distance=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    batches_of_texts(spark)
     return tiling.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), seed=5, threshold=0.8)
 
 
@@ -32,6 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records of the mix; a row for each record, as read back."""
+    batches_of_texts(spark)
     return records.token_records(docs, vocabulary="byte_bpe_50k.json", end_id=0)
 
 
