@@ -11,7 +11,9 @@ from postmill.functions import text
 from postmill.functions.dates import parse_instant
 from postmill.operators.dedupe import except_stored, first_rows, flag_duplicates
 from postmill.operators.filters import is_stale
+from postmill.operators.ordering import numbered
 from postmill.schema import POSTING_STATUSES, POSTINGS, REQUIRED, RUN_STATUSES, SCORE_SOURCES
+from postmill.session import stage
 
 
 # --- validation ---------------------------------------------------------------------------
@@ -57,14 +59,10 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
 
 
 def with_new_ids(df: DataFrame, stored: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Ids above every stored one, rising in ``order``; gaps are allowed.
-
-    A range partitioning plus a sort in each partition makes partition number and position
-    follow the order, so no task sees all rows. Write the result before using it twice.
-    """
+    """Ids above every stored one, rising in ``order`` without gaps, so they last and stay dense."""
     top = stored.select(F.coalesce(F.max(name), F.lit(0)).alias("top")).scalar()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.withColumn(name, F.monotonically_increasing_id() + F.lit(1) + top)
+    placed = numbered(df.drop(name).orderBy(*order), "_place")
+    return placed.withColumn(name, F.col("_place") + top).drop("_place")
 
 
 def new_postings(
@@ -72,7 +70,8 @@ def new_postings(
 ) -> DataFrame:
     """The rows a batch adds: complete rows, first per key within the batch, key not yet stored."""
     complete = batch.dropna(subset=list(REQUIRED)).withColumn("dedupe_key", text.dedupe_key("company", "title", "location"))
-    fresh = except_stored(first_rows(complete, ["dedupe_key"], order), stored)
+    # Staged, as both joins of the test read it.
+    fresh = except_stored(stage(first_rows(complete, ["dedupe_key"], order), "first"), stored)
     collected = F.col("date_collected")
     if dict(batch.dtypes)["date_collected"] == "string":
         collected = F.coalesce(parse_instant("date_collected"), as_of)
@@ -171,10 +170,12 @@ def cleanup_report(stored: DataFrame, days: int, as_of: Column) -> DataFrame:
 def rekey_legacy(stored: DataFrame) -> DataFrame:
     """Give two-part keys their location. On a collision the already migrated row wins, then the
     lowest id. Only legacy rows are shuffled; without any the table passes through."""
+    # Staged, as it is read as the current rows, as the legacy rows and for the keys of both.
+    stored = stage(stored, "rekey")
     legacy = text.count_substring("dedupe_key", "::") == 1
     current = stored.filter(~legacy)
     rekeyed = stored.filter(legacy).withColumn("dedupe_key", text.dedupe_key("company", "title", "location"))
-    kept = except_stored(first_rows(rekeyed, ["dedupe_key"], ["id"]), current)
+    kept = except_stored(stage(first_rows(rekeyed, ["dedupe_key"], ["id"]), "rekeyed"), current)
     return current.unionByName(kept.select(*stored.columns))
 
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, html, labels, text
 from postmill.functions.dates import format_instant, instant
 from postmill.operators import aggregates, dedupe, filters, joins, reports, scoring, store
 from postmill.operators import runs as run_ops
+from postmill.operators.ordering import numbered
 from postmill.operators.skew import lookup_join
 from postmill.plans import bindings as b
-from postmill.session import scratch_dir, stage
+from postmill.session import scratch_dir
 from postmill.sources.tables import write_cards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,19 +83,6 @@ def iso(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
 
 
-def with_position(ordered: DataFrame) -> DataFrame:
-    """``ordered`` with each row's place in its returned order, from 1.
-
-    The rows are stored with their partition and place in it; rows of earlier partitions are added from one short row a partition.
-    """
-    rows = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("_part", part).join(sizes.select("_part", before.alias("_before")), "_part")
-    return placed.withColumn("position", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
-
-
 # The text SQL reads as a date: ten characters in dashed form.
 POSTED = "CASE WHEN regexp_full_match(left(date_posted, 10), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(left(date_posted, 10) AS DATE) END"
 GROUPS = """d AS (
@@ -192,7 +180,7 @@ def archive_stale(spark, sf):
     P + f" SELECT id, {iso('date_collected')} AS date_collected, row_number() OVER (ORDER BY p.date_collected, id) AS position FROM p WHERE {OLD}",
 )
 def order_stale(spark, sf):
-    rows = with_position(filters.order_stale(filters.stale(b.postings(spark, sf), 30, instant(AS_OF))))
+    rows = numbered(filters.order_stale(filters.stale(b.postings(spark, sf), 30, instant(AS_OF))))
     return rows.select("id", format_instant("date_collected").alias("date_collected"), "position")
 
 
@@ -404,7 +392,7 @@ NEWEST = ", row_number() OVER (ORDER BY date_collected DESC, id DESC) AS positio
 
 @query("list_postings_newest", P + f" SELECT id, title, status, score{NEWEST} FROM p WHERE status = 'new' AND score >= 3")
 def list_postings_newest(spark, sf):
-    return with_position(filters.list_postings(b.postings(spark, sf), status="new", min_score=3)).select("id", "title", "status", "score", "position")
+    return numbered(filters.list_postings(b.postings(spark, sf), status="new", min_score=3)).select("id", "title", "status", "score", "position")
 
 
 @query(
@@ -413,7 +401,7 @@ def list_postings_newest(spark, sf):
 )
 def list_postings_score(spark, sf):
     rows = filters.list_postings(b.postings(spark, sf), source="building", sort_by="score", min_score=1)
-    return with_position(rows).select("id", "source", "score", "position")
+    return numbered(rows).select("id", "source", "score", "position")
 
 
 @query(
@@ -422,7 +410,7 @@ def list_postings_score(spark, sf):
     OR lower(location) LIKE '%medium%b_ild%' OR lower(description) LIKE '%medium%b_ild%'""",
 )
 def list_postings_keyword(spark, sf):
-    return with_position(filters.list_postings(b.postings(spark, sf), keyword="Medium%b_ILD")).select("id", "title", "company", "position")
+    return numbered(filters.list_postings(b.postings(spark, sf), keyword="Medium%b_ILD")).select("id", "title", "company", "position")
 
 
 @query(
@@ -488,7 +476,7 @@ def top_scoring(spark, sf):
 
 @query("unscored", P + f" SELECT id, title{NEWEST} FROM p WHERE score IS NULL")
 def unscored(spark, sf):
-    return with_position(filters.order_newest(filters.unscored(b.postings(spark, sf)))).select("id", "title", "position")
+    return numbered(filters.order_newest(filters.unscored(b.postings(spark, sf)))).select("id", "title", "position")
 
 
 @query(
@@ -496,7 +484,7 @@ def unscored(spark, sf):
     P + " SELECT id, title, score, date_posted, row_number() OVER (ORDER BY score DESC NULLS LAST, coalesce(date_posted, '') DESC, id DESC) AS position FROM p",
 )
 def export_order(spark, sf):
-    return with_position(filters.order_export(b.postings(spark, sf))).select("id", "title", "score", "date_posted", "position")
+    return numbered(filters.order_export(b.postings(spark, sf))).select("id", "title", "score", "date_posted", "position")
 
 
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -644,7 +632,7 @@ def health_banner(spark, sf):
     FROM r WHERE r.started_at >= TIMESTAMP '2024-01-10 12:00:00'""",
 )
 def runs_since(spark, sf):
-    rows = with_position(run_ops.runs_since(b.runs(spark, sf), instant(RUNS_AS_OF)))
+    rows = numbered(run_ops.runs_since(b.runs(spark, sf), instant(RUNS_AS_OF)))
     return rows.select("id", "source", format_instant("started_at").alias("started_at"), "status", "position")
 
 
@@ -656,7 +644,7 @@ TODAY = "started_at >= TIMESTAMP '2024-01-10'"
     R + f" SELECT id, source, status, jobs_found, jobs_inserted, error_message, row_number() OVER (ORDER BY source, started_at, id) AS position FROM r WHERE {TODAY}",
 )
 def todays_runs(spark, sf):
-    rows = with_position(run_ops.todays_runs(b.runs(spark, sf), instant(RUNS_AS_OF)))
+    rows = numbered(run_ops.todays_runs(b.runs(spark, sf), instant(RUNS_AS_OF)))
     return rows.select("id", "source", "status", "jobs_found", "jobs_inserted", "error_message", "position")
 
 
