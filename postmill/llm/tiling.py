@@ -122,31 +122,34 @@ def seed_filter(items: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def matching_parts(docs: DataFrame, items: DataFrame, seed: int) -> DataFrame:
-    """(row, doc_id, words, seeds) of the documents that may share a seed with an item: the words of all their runs of such seeds, one null word
-    between runs, and the seeds. A tile is made of seeds, so it lies within a run."""
-    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(items))
+def matching_parts(rows: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """(row, doc_id, words, seeds) of those of ``rows(row, doc_id, text)`` that may share a seed with an item: the words of all their runs of such seeds,
+    one null word between runs, and the seeds. A tile is made of seeds, so it lies within a run."""
+    bits = rows.sparkSession.sparkContext.broadcast(seed_filter(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                hashes, runs, row, at, words = _runs(part.column(1), seed, bits.value)
+                hashes, runs, row, at, words = _runs(part.column(2), seed, bits.value)
                 if not len(runs):
                     continue
                 ids, all_words, all_seeds = [], [], []
-                rows, first = np.unique(row, return_index=True)
-                for r, a, b in zip(rows.tolist(), first.tolist(), [*first[1:].tolist(), len(row)]):
+                own_rows, first = np.unique(row, return_index=True)
+                for r, a, b in zip(own_rows.tolist(), first.tolist(), [*first[1:].tolist(), len(row)]):
                     places, own = at[a:b], []
                     for stretch in np.split(places, np.flatnonzero(np.diff(places) >= seed) + 1):
                         own += [*hashes[stretch[0] : stretch[-1] + seed].view(np.int64).tolist(), None]
                     ids.append(r)
                     all_words.append(own[:-1])
                     all_seeds.append(np.unique(runs[a:b]).view(np.int64))
-                yield pa.record_batch([part.column(0).take(pa.array(ids)), pa.array(all_words, pa.list_(pa.int64())), pa.array(all_seeds, pa.list_(pa.int64()))], ["doc_id", "words", "seeds"])
+                at_ids = pa.array(ids)
+                yield pa.record_batch(
+                    [part.column(0).take(at_ids), part.column(1).take(at_ids), pa.array(all_words, pa.list_(pa.int64())), pa.array(all_seeds, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "words", "seeds"],
+                )
 
-    rows = columns(docs, "doc_id", "text")
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words array<long>, seeds array<long>")
-    return found.withColumn("row", F.monotonically_increasing_id())
+    rows = columns(rows, "row", "doc_id", "text")
+    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, words array<long>, seeds array<long>")
 
 
 def coverage(pairs: DataFrame, least: int) -> DataFrame:
@@ -181,16 +184,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshol
     The filter that goes to the workers has a fixed size and only spares seeds that no item has; the join on seeds is exact and has the distinct seeds
     of one item on one side, which adaptive execution splits when very many documents share a passage.
     """
+    rows = columns(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return _contaminated(rows, benchmark, seed, threshold).drop("row")
+
+
+def _contaminated(rows: DataFrame, benchmark: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """:func:`contamination` of ``rows(row, doc_id, text)``, with the row; ``row`` tells all rows apart."""
     items = stage(benchmark_items(benchmark, seed).withColumn("item", F.monotonically_increasing_id()), "items")
-    parts = stage(matching_parts(docs, items, seed), "parts")
+    parts = stage(matching_parts(rows, items, seed), "parts")
     wanted = items.select("item", F.explode(F.array_distinct("seeds")).alias("seed"))
     shared = parts.select("row", F.explode("seeds").alias("seed")).join(wanted, "seed").select("row", "item").distinct()
     pairs = shared.join(parts.select("row", "doc_id", "words"), "row").join(items.select("item", "item_id", F.col("words").alias("_item")), "item")
     found = coverage(pairs.select("row", "doc_id", "item_id", "words", F.col("_item").alias("item")), seed)
-    return found.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(F.col("coverage") >= threshold).drop("row")
+    return found.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(F.col("coverage") >= threshold)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that :func:`contamination` doesn't name, with all columns; rows without doc_id are kept only if no such row is named."""
-    named = stage(contamination(docs, benchmark, seed, threshold).select(F.col("doc_id").alias("_named")).distinct(), "named")
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_named"]), "left_anti")
+    """The rows whose own text :func:`contamination` doesn't name, with all columns. Each row is judged alone, whatever rows share its doc_id or have none.
+
+    Rows are numbered once, in a stored copy, so that the numbers are the same when the copy is read for the search and for the join.
+    """
+    names = docs.columns
+    rows = stage(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    asked = rows.select("row", F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
+    named = stage(_contaminated(asked, benchmark, seed, threshold).select("row").distinct(), "named")
+    return rows.join(named, "row", "left_anti").drop("row").toDF(*names)

@@ -91,3 +91,11 @@ def test_empty_tables(spark):
     docs, items = (spark.createDataFrame(rows, f"{name} long, text string") for rows, name in zip(fixture(), ("doc_id", "item_id")))
     assert contamination(docs.limit(0), items).count() == contamination(docs, items.limit(0)).count() == 0
     assert clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_clean_judges_each_row_alone(spark):
+    leak = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, leak), *((None, f"clean text number {i}") for i in range(6)), (7, leak), (7, "another clean text"), (7, "another clean text"), (None, None), (8, leak), (9, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    kept = clean(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == [i for i, (_, text) in enumerate(rows) if text != leak]
