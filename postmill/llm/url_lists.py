@@ -37,10 +37,12 @@ def keys(url: Column) -> Column:
 
 def intervals(log: DataFrame) -> DataFrame:
     """(entry, list, valid_from, valid_to) from ``log(entry, list, at, seq)``: each row holds from ``at`` until the entry's next row; a null list takes
-    the entry off. ``valid_to`` is null for the last. Of rows of one time the last by ``seq`` (then by list) counts. Rows without entry or time are no
-    rows. Repeated rows change nothing. A log row's successor is found within its entry, whose rows are as many as its changes."""
+    the entry off. ``valid_to`` is null for the last. Of rows of one time the last by ``seq`` (then by list) counts. Hosts are alike in
+    any case, paths are not: an entry's host is lower-cased and its path is kept. Rows without entry or time are no rows. Repeated rows change nothing. A log row's successor is found within its entry, whose rows are as many as its changes."""
     rows = columns(log, "entry", "list", "at", "seq").filter("entry is not null and at is not null")
-    rows = rows.groupBy(F.lower("entry").alias("entry"), "at").agg(F.max(F.struct("seq", F.coalesce(F.col("list"), F.lit("")).alias("list"))).alias("last"))
+    name = F.substring_index("entry", "/", 1)
+    rows = rows.withColumn("entry", F.concat(F.lower(name), F.substr("entry", F.length(name) + 1)))
+    rows = rows.groupBy("entry", "at").agg(F.max(F.struct("seq", F.coalesce(F.col("list"), F.lit("")).alias("list"))).alias("last"))
     rows = rows.select("entry", "at", F.nullif(F.col("last.list"), F.lit("")).alias("list"))
     until = F.lead("at").over(Window.partitionBy("entry").orderBy("at"))
     return rows.withColumn("valid_to", until).filter("list is not null").select("entry", "list", F.col("at").alias("valid_from"), "valid_to")

@@ -61,3 +61,14 @@ def test_empty(spark):
     assert judge(c.limit(0), log).count() == 0
     assert [(r.n_active, r.rejected) for r in judge(c, log.limit(0)).collect()] == [(0, False)]
     assert [(r.n_active, r.rejected) for r in judge(c, log).collect()] == [(1, True)]
+
+
+def test_paths_keep_their_case(spark):
+    log = [("Example.COM/Private", "block", DAY, 1), ("example.com/private/Open", "allow", DAY, 2), ("example.com/Private/Open", "allow", DAY, 3), ("EXAMPLE.com/Private/Open", None, DAY + timedelta(5), 4), ("other.org/É/X", "block", DAY, 5)]
+    assert {r.entry for r in intervals(spark.createDataFrame(log, "entry string, list string, at timestamp, seq long")).collect()} == {"example.com/Private", "example.com/private/Open", "example.com/Private/Open", "other.org/É/X"}
+    urls = ["http://example.com/Private/x", "http://EXAMPLE.com/private/x", "http://example.com/Private/Open/y", "http://example.com/private/Open", "http://Example.com/PRIVATE", "http://other.org/É/X/z", "http://other.org/é/x"]
+    captures = [(10 * d + i, url, DAY + timedelta(days=d)) for d in (1, 9) for i, url in enumerate(urls)]
+    rows = judge(spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp"), spark.createDataFrame(log, "entry string, list string, at timestamp, seq long")).collect()
+    found = {r.page_id: (r.n_active, r.entry, r.rejected) for r in rows}
+    assert found[10] == (1, "example.com/Private", True) and found[11] == found[14] == found[16] == (0, None, False) and found[15] == (1, "other.org/É/X", True)
+    assert found[12] == (2, "example.com/Private/Open", False) and found[92] == (1, "example.com/Private", True) and found[13] == (1, "example.com/private/Open", False)
