@@ -36,6 +36,12 @@ ENDED_BY = {
     "p": BLOCK - {"br", "body", "html", "head"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"},
 }
+#: By a new tag, the open ones that it ends.
+ENDS = {tag: [held for held, by in ENDED_BY.items() if tag in by] for tag in frozenset().union(*ENDED_BY.values())}
+#: Open tags over which a new tag ends nothing, but for body.
+WALLS = frozenset("table ul ol dl div section article main aside nav form body".split())
+#: What may stand in a head. Any other tag, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _LANDMARK = frozenset("article main nav aside header footer form".split())
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
@@ -52,6 +58,8 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str]] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements, by tag
+        self.walls: list[int] = []  # places of the open WALLS
         self.silent = self.links = self.linked = 0
         self.parts: list[str] = []
         self.blocks: list[Block] = []
@@ -64,23 +72,36 @@ class _Reader(HTMLParser):
 
     def _pop(self) -> None:
         tag, _ = self.open.pop()
+        self.places[tag].pop()
+        if tag in WALLS:
+            self.walls.pop()
         self.silent -= tag in SILENT
         self.links -= tag == "a"
 
+    def _close(self, place: int) -> None:
+        """End the element of that place and all within it. Every element is ended once, so this costs no more than the tags that opened them."""
+        while len(self.open) > place:
+            self._pop()
+
+    def _end_head(self) -> None:
+        """End a head that has no other open element within it."""
+        if self.open and self.open[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.end_block()
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 12), -1):
-            held = self.open[k][0]
-            if tag in ENDED_BY.get(held, ()):
-                while len(self.open) > k:
-                    self._pop()
-                break
-            if held in ("table", "ul", "ol", "dl", "div", "section", "article", "main", "aside", "nav", "form", "body") and tag != "body":
-                break
+        if tag not in IN_HEAD:
+            self._end_head()
+        ended = max((self.places[held][-1] for held in ENDS.get(tag, ()) if self.places.get(held)), default=-1)
+        if ended >= 0 and (tag == "body" or not self.walls or ended > self.walls[-1]):
+            self._close(ended)
         if tag in VOID:
             return
         found = dict(attrs)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in WALLS:
+            self.walls.append(len(self.open))
         self.open.append((tag, " ".join(str(found[k]) for k in ("class", "id", "role") if found.get(k)).lower()))
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -92,12 +113,12 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.end_block()
-        if any(held == tag for held, _ in self.open[-64:]):
-            while self.open[-1][0] != tag:
-                self._pop()
-            self._pop()
+        if self.places.get(tag):
+            self._close(self.places[tag][-1])
 
     def handle_data(self, data):
+        if self.silent and data.strip(" \t\n\f\r"):
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:

@@ -22,6 +22,24 @@ def test_blocks():
     assert len(blocks("<div>" * 2000 + "deep")) == 1
 
 
+@pytest.mark.parametrize("n", [3, 11, 64, 5000])
+def test_any_open_element_can_be_closed(n):
+    inline = "<i>" * n
+    found = blocks(f"<body><nav>{inline}menu</nav><article><p>{inline}one<p>two<ul><li>{inline}three<li>four</ul></article><footer>five")
+    assert [b.text for b in found] == ["menu", "one", "two", "three", "four", "five"]
+    tags = [[tag for tag, _ in b.ancestors if tag != "i"] for b in found]
+    assert tags == [["nav"], ["article", "p"], ["article", "p"], ["article", "ul", "li"], ["article", "ul", "li"], ["footer"]]
+    assert [b.text for b in blocks(f"<div><button>{inline}no</button>yes</div>")] == ["yes"]
+
+
+def test_head_ends_without_its_end_tag():
+    head = "<html><head><meta charset=utf-8><title>T</title><noscript><img src=x>no</noscript><style>p{}</style><link href=x>"
+    for rest in ("<article>Text</article>", "<p>Text", "\n<b>Text</b>", "Text", "</head>Text", "</head><body>Text", "<body>Text", "<div>Text</div></head>"):
+        assert [b.text for b in blocks(head + rest)] == ["Text"], rest
+    assert [tuple(tag for tag, _ in b.ancestors) for b in blocks(head + "<article><p>Text")] == [("article", "p")]
+    assert blocks(head) == blocks("<head><title>T</title> \n </head>") == []
+
+
 @pytest.fixture(scope="module")
 def pages(request):
     rng = random.Random(6)
