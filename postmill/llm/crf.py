@@ -307,7 +307,8 @@ def labelled_page(texts: list[str], seed: str) -> tuple[list[Block], list[int]]:
 
 def train(pages: DataFrame, rows: int = 300, layouts: int = 6) -> Field:
     """A field fitted on labelled pages: at most ``rows`` of the given pages (those whose ids have the least hashes) as they are, where the elements
-    nav, header, footer, aside, form and article label the blocks, and ``layouts`` made pages from the texts of each. Both bounds are parameters; what the driver receives are
+    nav, header, footer, aside, form and article label the blocks, and ``layouts`` made pages from the texts of each. Of pages of one id that with the least
+    hash of its HTML stands for all; null is an id. Both bounds are parameters; what the driver receives are
     feature bins of at most rows * (1 + layouts) pages of at most 100 blocks of the page. Without any page the field is trained on made pages of fixed text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,10 +321,12 @@ def train(pages: DataFrame, rows: int = 300, layouts: int = 6) -> Field:
     chosen = columns(pages, "page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows).select(F.col("page_id").alias("_chosen"))
     rows_ = columns(pages, "page_id", "html")
     sample = rows_.join(F.broadcast(chosen), rows_["page_id"].eqNullSafe(chosen["_chosen"])).select("page_id", "html")
+    # Tasks keep one page an id before the shuffle.
+    sample = sample.groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
     found = sample.mapInArrow(run, "features array<array<int>>, labels array<int>").collect()
     pages_ = sorted(([list(f) for f in r["features"]], list(r["labels"])) for r in found)
     fixed = [t for k in range(40) for t in _examples([Block(t, ()) for t in ("One line of text.", "Words without an end", "A longer line of text that has some more words in it.")], f"fixed {k}", layouts)]
-    return fit(pages_[: rows * (2 + layouts)] + fixed)
+    return fit(pages_ + fixed)
 
 
 def _examples(found: list[Block], seed: str, layouts: int) -> list[tuple[list[list[int]], list[int]]]:

@@ -106,7 +106,8 @@ def score(column: pa.Array, model: Model, rules: Rules) -> dict[str, np.ndarray]
 
 
 def _examples(docs: DataFrame, labels: DataFrame, rows: int) -> pa.Table:
-    """(label, bins, values) of at most ``rows`` labelled documents: those whose ids have the least hashes."""
+    """(label, bins, values) of at most ``rows`` labelled documents: those whose ids have the least hashes. Repeated labels are one label, and of
+    documents of one id that with the least hash of its text stands for all, so that no more than ``rows`` reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +125,12 @@ def _examples(docs: DataFrame, labels: DataFrame, rows: int) -> pa.Table:
                     ["quality", "bins", "values"],
                 )
 
-    chosen = columns(labels, "doc_id", "quality").filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    chosen = columns(labels, "doc_id", "quality").filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id", "quality"), "doc_id").limit(rows)
     # The limit bounds what is broadcast: ``rows`` pairs of numbers.
-    sample = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text", "doc_id")
+    sample = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Tasks keep one text a label before the shuffle.
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return sample.select("quality", "text").mapInArrow(run, "quality int, bins array<int>, values array<float>").toArrow()
 
 

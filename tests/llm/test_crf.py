@@ -4,6 +4,7 @@ from itertools import product
 import numpy as np
 import pytest
 
+from postmill.llm import crf
 from postmill.llm.crf import Field, block_features, blocks, extract, fit, labelled_page, main_text, train
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href="/">Site</a></header><nav><ul><li>Home<li>About</ul></nav><!-- ad -->
@@ -92,3 +93,14 @@ def test_fit_learns_transitions():
 def test_training_without_pages(spark):
     field = train(spark.createDataFrame([], "page_id long, html string"))
     assert main_text("<body><nav>Menu</nav><article><p>Some text is here.</p></article>", field) == "Some text is here."
+
+
+def test_sample_has_one_page_an_id(spark, pages, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crf, "fit", lambda pages, *_: seen.append(pages))
+    repeated = [(k, None, html) for k in (3, None) for _, _, html in pages] * 5
+    for parts in (2, 7):
+        train(spark.createDataFrame([*pages[:20], *repeated], "page_id long, url string, html string").repartition(parts), rows=12, layouts=2)
+        train(spark.createDataFrame([*pages[:20], *repeated], "page_id long, url string, html string").repartition(parts), rows=100, layouts=2)
+    fixed = 40 * 2
+    assert [len(x) - fixed for x in seen] == [12 * 3, 21 * 3] * 2 and seen[:2] == seen[2:]

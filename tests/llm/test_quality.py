@@ -5,7 +5,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from postmill.llm.quality import Model, Rules, base_counts, keep, quality, train
+from postmill.llm.quality import Model, Rules, _examples, base_counts, keep, quality, train
 
 
 def brute(text):
@@ -79,3 +79,11 @@ def test_without_labels_or_rows(spark):
     assert [r.kept for r in quality(docs, train(docs, labels)).collect()] == [True]
     assert quality(docs.limit(0), train(docs.limit(0), labels)).count() == 0
     assert [r.kept for r in quality(docs, Model(bias=60.0), Rules(min_words=13)).collect()] == [False]
+
+
+def test_sample_has_one_row_a_label(spark):
+    rows = corpus(40, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, f"{t} again {k}") for k in range(30) for _, t, _ in rows[:10]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, rows[7][2])] * 50, "doc_id long, quality int")
+    assert _examples(docs, labels, 40).num_rows == 40 and _examples(docs, labels, 10).num_rows == 10
+    assert sorted(map(str, _examples(docs, labels, 40).to_pylist())) == sorted(map(str, _examples(docs.repartition(7), labels.repartition(3), 40).to_pylist()))
