@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat, crf, kneser_ney, mixing, quality, records, simhash, tiling, token_counts, url_lists
+from postmill.llm import chat, crf, filter_audit, kneser_ney, mixing, packing, quality, records, resampling, simhash, tiling, token_counts, url_lists
 from postmill.llm.shared import batches_of_texts
 
 QUERIES, ORACLES = {}, {}
@@ -71,6 +71,89 @@ def op8_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.conversations(turns.unionAll(planted)).drop("n_tokens")
 
 
+@query
+def op11_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs, target = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return resampling.resample(docs, target, size=1, buckets=10_000, least_words=20, percent=10, seed="2024")
+
+
+ORACLES["op11_target_resampling"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), table_ AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t
+), w AS (
+    SELECT word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::BIGINT, 2))::UBIGINT) AS bytes
+    FROM (SELECT DISTINCT unnest(words) AS word FROM d UNION SELECT word FROM b)
+), f AS (
+    SELECT word, xor(list_reduce(list_concat([4294967295::UBIGINT], bytes), lambda c, x: xor(t[((xor(c, x) & 255) + 1)::BIGINT], c >> 8)), 4294967295::UBIGINT) % 10000 AS bucket FROM w, table_
+), s AS (
+    SELECT bucket, count(*) AS n FROM (SELECT unnest(words) AS word FROM d) JOIN f USING (word) GROUP BY bucket
+), t AS (
+    SELECT bucket, count(*) AS n FROM b JOIN f USING (word) GROUP BY bucket
+), g AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+                                   / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (bucket)
+), k AS (
+    SELECT *, row_number() OVER () AS row FROM d
+), m AS (
+    SELECT row, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM (SELECT row, unnest(words) AS word FROM k) JOIN f USING (word) JOIN g USING (bucket) GROUP BY row
+), c AS (
+    SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+           + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM k LEFT JOIN m USING (row)
+), r AS (
+    SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) END AS place,
+           (count(*) FILTER (n_features >= 20) OVER ()) * 10 // 100 AS drawn
+    FROM c
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM r
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"), min_words=200, min_distinct=50, max_capitals=3).drop("filter")
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, MAP {
+        'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) } AS fails
+    FROM d LEFT JOIN l USING (doc_id)
+), c AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+    WHERE a.f <> b.f AND a.f <> c.f AND a.f <> d.f AND a.f <> e.f AND b.f <> c.f AND b.f <> d.f AND b.f <> e.f AND c.f <> d.f AND c.f <> e.f AND d.f <> e.f
+), s AS (
+    SELECT part, filter_order, step, n, good, toxic, substr(filter_order, step, 1) AS f, fails[substr(filter_order, step, 1)] AS fail,
+           len(list_filter(string_split(substr(filter_order, 1, step - 1), ''), lambda k: k <> '' AND fails[k])) > 0 AS gone,
+           len(list_filter(map_values(fails), lambda v: v)) AS many
+    FROM c, o, (SELECT unnest(range(1, 6))::INT AS step)
+), r AS (
+    SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (gone AND fail), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND many = 1), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (NOT gone AND fail), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fail), 0)::BIGINT AS toxic_lost
+    FROM s GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"), size=2048, vocabulary="byte_bpe_50k.json", end_id=0)
+
+
 def dated_lists(spark: SparkSession, sf: str) -> DataFrame:
     """A dated log of list entries made from the given tables: the event of user u at time t concerns the hosts and domains of pages whose hash is u."""
     events = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import io
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +38,22 @@ def batches_of_texts(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that ends by giving freed memory back. Spark keeps its workers between stages, and their memory counts beside the executor's heap."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or of a plain path, and the path in it."""
     if "://" in path or path.startswith("file:"):
