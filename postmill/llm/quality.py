@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import columns
+from postmill.llm.shared import columns, tidy
 from postmill.llm.textbatch import Words, mix, slices, sums, utf8, windows
 
 #: Feature bins: the first half for words and word pairs, the second for runs of three characters.
@@ -109,6 +109,7 @@ def _examples(docs: DataFrame, labels: DataFrame, rows: int) -> pa.Table:
     """(label, bins, values) of at most ``rows`` labelled documents: those whose ids have the least hashes. Repeated labels are one label, and of
     documents of one id that with the least hash of its text stands for all, so that no more than ``rows`` reach the driver."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -193,6 +194,7 @@ def quality(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
     """
     docs = columns(docs, "doc_id", "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -208,6 +210,7 @@ def keep(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = names.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, f"c{text}"):

@@ -1,6 +1,6 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
-A shard ``<n>.rec`` is a run of frames:
+A shard ``<n>.rec`` is a run of frames, about SHARD_BYTES at most:
 
     length     8 bytes, unsigned
     check      4 bytes, masked CRC-32 of the length's bytes
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.encoder import VOCABULARY, encoder
-from postmill.llm.shared import columns, filesystem, fresh_dir, whole_file
+from postmill.llm.shared import columns, filesystem, fresh_dir, tidy, whole_file
 from postmill.llm.textbatch import slices
 from postmill.session import stage
 
 NO_ID, WIDE = 1, 2
-#: Records that a reading task takes at a time.
-READ = 2_000
+#: Records that a reading task takes at a time, and bytes that it reads at a time (or one longer record).
+READ, READ_BYTES = 2_000, 1 << 21
+#: A shard that has as many bytes is ended.
+SHARD_BYTES = 1 << 28
 
 
 def masked(data: bytes) -> int:
@@ -65,44 +67,49 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if payload[0] & NO_ID else int.from_bytes(payload[1:9], "little", signed=True), ids
 
 
-def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
+def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text of ``docs(doc_id, text)``, end it with ``end_id``, and write shards below ``path`` in ascending order of doc_id.
 
     Returns the manifest (shard, file, records, tokens), one row a shard, which is written as a table beside the shards. Texts are dealt out by
-    ranges of doc_id before they are encoded, so sampling the ranges encodes nothing; a repeated doc_id is ordered by its text, and its rows may
-    fall in several shards. A null doc_id comes first; a null text is empty and has the end id alone; an empty table writes no shard. Whole texts
-    are encoded; a shard is streamed to its file.
+    ranges of doc_id before they are encoded, so sampling the ranges encodes nothing; a range is as many shards as its bytes need. A repeated doc_id is
+    ordered by its text, and its rows may fall in several shards. A null doc_id comes first; a null text is empty and has the end id alone; an empty
+    table writes no shard. Whole texts are encoded; a shard and its index are streamed to their files.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, index, at, tokens = TaskContext.get().partitionId(), [], 0, 0
-        file = f"{path}/{shard:06d}"
-        parts = (s for b in batches for s in slices(b))
-        part = next(parts, None)
-        if part is None:
-            return
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, int]]]:
         codec = encoder(vocabulary)
         wide = max(codec.size, end_id + 1) > 1 << 16
-        with whole_file(file + ".rec") as out:
-            while part is not None:
-                for doc_id, (ids,) in zip(part.column(0).to_pylist(), codec.encode(part.column(1).fill_null("").to_pylist())):
-                    data = frame(pack(doc_id, np.append(ids, end_id), wide))
-                    out.write(data)
-                    index.append((at, tokens))
-                    at, tokens = at + len(data), tokens + len(ids) + 1
-                part = next(parts, None)
-        with whole_file(file + ".idx") as idx:
-            idx.write(np.array([*index, (at, tokens)], "<u8").tobytes())
-        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([file]), pa.array([len(index)], pa.int64()), pa.array([tokens], pa.int64())], ["shard", "file", "records", "tokens"])
+        for batch in batches:
+            for part in slices(batch):
+                texts = codec.encode(part.column(1).fill_null("").to_pylist())
+                yield [
+                    (frame(pack(doc_id, np.append(ids, end_id), wide)), len(ids) + 1) for doc_id, (ids,) in zip(part.column(0).to_pylist(), texts)
+                ]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = encoded(batches)
+        part, shard = next(frames, None), TaskContext.get().partitionId() << 20
+        while part is not None:
+            file, at, tokens, records = f"{path}/{shard:09d}", 0, 0, 0
+            with whole_file(file + ".rec") as out, whole_file(file + ".idx") as idx:
+                while part is not None and at < shard_bytes:
+                    index = []
+                    for data, n in part:
+                        out.write(data)
+                        index.append((at, tokens))
+                        at, tokens = at + len(data), tokens + n
+                    idx.write(np.array(index, "<u8").tobytes())
+                    records += len(index)
+                    part = next(frames, None)
+                idx.write(np.array([(at, tokens)], "<u8").tobytes())
+            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([file]), pa.array([records], pa.int64()), pa.array([tokens], pa.int64())], ["shard", "file", "records", "tokens"])
+            shard += 1
 
     rows = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange("doc_id", "_tie", "_row").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
-    return stage(dealt.mapInArrow(run, "shard int, file string, records long, tokens long"), "manifest")
-
-
-def _batch(docs: list, starts: list, ids: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+    return stage(dealt.mapInArrow(run, "shard long, file string, records long, tokens long"), "manifest")
 
 
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -111,24 +118,22 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     Tasks read blocks of records through the index, so one shard may be read by many tasks, in any order. Every check is verified.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 system, at = filesystem(row["file"])
                 with system.open_input_file(at + ".idx") as idx:
-                    index = np.frombuffer(idx.read_at(16 * (row["n"] + 1), 16 * row["first"]), "<u8").reshape(-1, 2)
+                    index = np.frombuffer(idx.read_at(16 * (row["n"] + 1), 16 * row["first"]), "<u8").reshape(-1, 2).astype(np.int64)
                 with system.open_input_file(at + ".rec") as rec:
-                    docs, starts, ids, held = [], [], [], 0
-                    for (here, tokens), (after, _) in zip(index[:-1].tolist(), index[1:].tolist()):
-                        doc_id, found = unpack(unframe(rec.read_at(after - here, here), 0)[0])
-                        docs.append(doc_id)
-                        starts.append(row["before"] + tokens)
-                        ids.append(found.astype("<u4").tobytes())
-                        held += len(ids[-1])
-                        if held > 1 << 22:
-                            yield _batch(docs, starts, ids)
-                            docs, starts, ids, held = [], [], [], 0
-                yield _batch(docs, starts, ids)
+                    k = 0
+                    while k < row["n"]:
+                        to = max(k + 1, int(np.searchsorted(index[:, 0], index[k, 0] + READ_BYTES, "right")) - 1)
+                        data, here = rec.read_at(int(index[to, 0] - index[k, 0]), int(index[k, 0])), int(index[k, 0])
+                        found = [unpack(unframe(data, place - here)[0]) for place in index[k:to, 0].tolist()]
+                        starts = pa.array(row["before"] + index[k:to, 1], pa.int64())
+                        yield pa.record_batch([pa.array([d for d, _ in found], pa.int64()), starts, pa.array([ids.astype("<u4").tobytes() for _, ids in found], pa.binary())], ["doc_id", "start", "ids"])
+                        k = to
 
     # One short row a shard: their running total is a small window.
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")

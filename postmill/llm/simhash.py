@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.components import components
-from postmill.llm.shared import columns
+from postmill.llm.shared import columns, tidy
 from postmill.llm.textbatch import LOWER_BYTES
 from postmill.session import stage
 
@@ -48,6 +48,7 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long. A null text is an empty one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
@@ -148,6 +149,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     if not 0 <= distance <= 4:
         raise ValueError("distance: 0 to 4 bits")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64))
 

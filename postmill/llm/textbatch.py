@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A slice holds texts of about this many bytes, or one longer text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,6 +72,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    weighted = data.astype(np.uint64)
+    weighted += np.uint64(1)
+    weighted *= _power("inverse", n)
+    np.cumsum(weighted, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power("base", n + 1)[ends])
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of every text of a column: ``starts``, ``ends`` (bytes) and ``text`` (its row) of each."""
 
@@ -99,10 +110,7 @@ class Words:
         return self.span_hashes(self.starts, self.ends)
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power("inverse", n), out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * _power("base", n + 1)[ends])
+        return span_hashes(self.data, starts, ends)
 
 
 def windows(values: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import columns
+from postmill.llm.shared import columns, tidy
 from postmill.llm.textbatch import Words, slices, windows
 from postmill.session import stage
 
@@ -97,6 +97,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def benchmark_items(benchmark: DataFrame, seed: int) -> DataFrame:
     """(item_id, words, seeds) of every item; words and seeds are hashes. An item shorter than a seed has none."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -127,6 +128,7 @@ def matching_parts(rows: DataFrame, items: DataFrame, seed: int) -> DataFrame:
     one null word between runs, and the seeds. A tile is made of seeds, so it lies within a run."""
     bits = rows.sparkSession.sparkContext.broadcast(seed_filter(items))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -155,6 +157,7 @@ def matching_parts(rows: DataFrame, items: DataFrame, seed: int) -> DataFrame:
 def coverage(pairs: DataFrame, least: int) -> DataFrame:
     """(row, doc_id, item_id, n_tiles, covered, item_words) for ``pairs(row, doc_id, item_id, words, item)``, pair by pair."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_tiles, covered, size = [], [], []
