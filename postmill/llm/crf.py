@@ -31,6 +31,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What is inside these is never text of the page.
 SILENT = frozenset("script style noscript template svg math object canvas iframe head title textarea select button datalist".split())
+#: Elements in which a tag with a slash at its end is one without content.
+FOREIGN = ("svg", "math")
 #: An open tag that a new one of the second kind ends.
 ENDED_BY = {
     "p": BLOCK - {"br", "body", "html", "head"},
@@ -107,8 +109,12 @@ class _Reader(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        if tag in BLOCK:
-            self.end_block()
+        if tag in FOREIGN or any(self.places.get(x) for x in FOREIGN):
+            return
+        # In HTML the slash means nothing.
+        self.handle_starttag(tag, attrs)
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
@@ -305,17 +311,18 @@ def labelled_page(texts: list[str], seed: str) -> tuple[list[Block], list[int]]:
     return [b for b, _ in found], [y for _, y in found]
 
 
-def train(pages: DataFrame, rows: int = 300, layouts: int = 6) -> Field:
+def train(pages: DataFrame, rows: int = 300, layouts: int = 6, most_blocks: int = 2_000) -> Field:
     """A field fitted on labelled pages: at most ``rows`` of the given pages (those whose ids have the least hashes) as they are, where the elements
     nav, header, footer, aside, form and article label the blocks, and ``layouts`` made pages from the texts of each. Of pages of one id that with the least
-    hash of its HTML stands for all; null is an id. Both bounds are parameters; what the driver receives are
-    feature bins of at most rows * (1 + layouts) pages of at most 100 blocks of the page. Without any page the field is trained on made pages of fixed text alone."""
+    hash of its HTML stands for all; null is an id. Pages are whole: one of over ``most_blocks`` blocks teaches nothing. The bounds are parameters; the driver
+    receives feature bins of at most rows * (1 + layouts) pages. Without any page the field is trained on made pages of fixed text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += _examples(blocks(html), str(page_id), layouts)
+                found = blocks(html)
+                out += _examples(found, str(page_id), layouts) if len(found) <= most_blocks else []
             yield pa.record_batch([pa.array([f for f, _ in out], pa.list_(pa.list_(pa.int32()))), pa.array([y for _, y in out], pa.list_(pa.int32()))], ["features", "labels"])
 
     chosen = columns(pages, "page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows).select(F.col("page_id").alias("_chosen"))
@@ -330,7 +337,6 @@ def train(pages: DataFrame, rows: int = 300, layouts: int = 6) -> Field:
 
 
 def _examples(found: list[Block], seed: str, layouts: int) -> list[tuple[list[list[int]], list[int]]]:
-    found = found[:100]
     if not found:
         return []
     texts = [b.text for b in found]

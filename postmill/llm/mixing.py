@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.shared import columns
+from postmill.operators.ordering import numbered
 from postmill.session import stage
 
 #: Bins of the ranking for one source. Only the bin in which the target is reached is sorted, so no task sorts a source.
@@ -93,11 +94,11 @@ def _bin() -> Column:
 
 
 def cuts(sized: DataFrame, table: DataFrame) -> DataFrame:
-    """(source, last_bin, stop_rank, stop_draw, stop_part): where each source's ranking stops; no row for a source that draws nothing.
+    """(source, last_bin, stop_rank, stop_draw, stop_rows, stop_taken): where each source's ranking stops; no row for a source that draws nothing.
 
     Bins are summed map-side, and a window adds up at most BINS rows a source. The documents of the one bin in which the target lies are summed by
     rank (copies of one row are one rank) and ordered. A document is taken if its middle lies before the target, so the error is at most half a
-    document; of rows that repeat one document at the very stop, the part ``stop_part`` is taken.
+    document; of the ``stop_rows`` rows that repeat one document at the very stop, ``stop_taken`` are.
     """
     missing = table.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("missing"))
     missing = stage(missing, "missing")
@@ -111,9 +112,9 @@ def cuts(sized: DataFrame, table: DataFrame) -> DataFrame:
     so_far = F.col("before") + F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("rank", "draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = F.least(F.col("rows"), F.greatest(F.lit(0), F.ceil((F.col("missing") - so_far) / (F.col("words") / F.col("rows")) - 0.5)))
     rows = rows.withColumn("taken", taken).filter("taken < rows")
-    stop = F.min(F.struct("rank", "draw", (F.col("taken") / F.col("rows")).alias("part")))
+    stop = F.min(F.struct("rank", "draw", "rows", F.col("taken").cast("long").alias("taken")))
     stops = rows.groupBy("source").agg(stop.alias("stop"))
-    return stage(_with(last.select("source", "last_bin"), stops, "source").select("source", "last_bin", "stop.*").toDF("source", "last_bin", "stop_rank", "stop_draw", "stop_part"), "cuts")
+    return stage(_with(last.select("source", "last_bin"), stops, "source").select("source", "last_bin", "stop.*").toDF("source", "last_bin", "stop_rank", "stop_draw", "stop_rows", "stop_taken"), "cuts")
 
 
 def sized(docs: DataFrame, seed: int, tier: str | None = None) -> DataFrame:
@@ -124,13 +125,24 @@ def sized(docs: DataFrame, seed: int, tier: str | None = None) -> DataFrame:
 
 
 def copies(rows: DataFrame, table: DataFrame, stops: DataFrame) -> DataFrame:
-    """``rows(source, tier, size, draw, ...)`` with source_size, target and ``copies``. Only the two small tables are joined: nothing is shuffled."""
+    """``rows(source, tier, size, draw, ...)`` with source_size, target and ``copies``. Only the two small tables are joined: nothing is shuffled, but for
+    rows that repeat one document at a source's stop, if there are any: they are numbered, so that just as many are taken as the stop says."""
+    names = [*rows.columns, "source_size", "target", "copies"]
     rows = _with(_with(rows, table.drop("words"), "source", "tier"), stops, "source").withColumn("rank", _rank()).withColumn("bin", _bin())
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / F.lit(float(1 << 20))
     earlier = (F.col("rank") < F.col("stop_rank")) | ((F.col("rank") == F.col("stop_rank")) & (F.col("draw") < F.col("stop_draw")))
-    at_stop = (F.col("rank") == F.col("stop_rank")) & (F.col("draw") == F.col("stop_draw")) & (part < F.col("stop_part"))
-    more = (F.col("bin") < F.col("last_bin")) | ((F.col("bin") == F.col("last_bin")) & (F.col("stop_rank").isNull() | earlier | at_stop))
-    return rows.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.when(more, 1).otherwise(0)).drop("whole", "pi", "rank", "bin", "last_bin", "stop_rank", "stop_draw", "stop_part")
+    at_stop = F.coalesce((F.col("bin") == F.col("last_bin")) & (F.col("rank") == F.col("stop_rank")) & (F.col("draw") == F.col("stop_draw")), F.lit(False))
+
+    def counted(taken: Column) -> Column:
+        more = (F.col("bin") < F.col("last_bin")) | ((F.col("bin") == F.col("last_bin")) & (F.col("stop_rank").isNull() | earlier)) | (at_stop & taken)
+        return (F.coalesce(F.col("whole"), F.lit(0)) + F.when(more, 1).otherwise(0)).alias("copies")
+
+    if stops.filter("stop_rows > 1").isEmpty():
+        return rows.withColumn("copies", counted(F.col("stop_taken") > 0)).select(*names)
+    single = rows.filter(~at_stop | (F.col("stop_rows") == 1)).withColumn("copies", counted(F.col("stop_taken") > 0)).select(*names)
+    repeated = numbered(rows.filter(at_stop & (F.col("stop_rows") > 1)).orderBy("source", F.monotonically_increasing_id()), "_place")
+    first = stage(repeated.groupBy("source").agg((F.min("_place") - 1).alias("_first")), "first-places")
+    repeated = _with(repeated, first, "source").withColumn("copies", counted(F.col("_place") - F.col("_first") <= F.col("stop_taken")))
+    return single.unionByName(repeated.select(*names))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, tier: str | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from postmill.llm.components import components
 from postmill.llm.shared import columns, tidy
 from postmill.llm.textbatch import LOWER_BYTES
+from postmill.operators.skew import lookup_join
 from postmill.session import stage
 
 BITS, PARTS, WIDTH = 64, 4, 16
@@ -194,8 +195,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     roots = stage(components(links(nodes.select("fp"), distance)), "roots")
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reached")), "root").select("fp", "reached")
-    owner = nodes.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return prints.join(owner, "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    owner = stage(nodes.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), "owners")
+    # Very many documents may have one fingerprint, such as those without words: a counted small table is broadcast, else hot fingerprints are salted.
+    return lookup_join(prints, owner, ["fp"], "doc_id", "inner").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ again and again as tiles that don't overlap, so passages count in whatever order
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,65 +20,91 @@ from postmill.session import stage
 
 #: Bits of the seed filter that goes to every worker: 16 MB, however large the benchmark is.
 FILTER_BITS = 1 << 27
-#: Running Karp-Rabin begins with runs of this length.
-FIRST_SEARCH = 20
-_BASE, _WRAP = 1_000_003, (1 << 61) - 1
+#: Pairs of equal windows that are looked at together.
+PAIRS = 1 << 19
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MASK = (1 << 64) - 1
 
 
-def _rolling(words: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(place, hash) of every run of ``size`` unmarked words, each hash made from the one before it."""
-    out, top, value, run = [], pow(_BASE, size - 1, _WRAP), 0, 0
-    for i, word in enumerate(words):
-        if not free[i]:
-            value = run = 0
-            continue
-        if run == size:
-            value = (value - words[i - size] * top) % _WRAP
-            run -= 1
-        value = (value * _BASE + word) % _WRAP
-        run += 1
-        if run == size:
-            out.append((i - size + 1, value))
-    return iter(out)
-
-
-def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in text, length) of common runs of at least ``least`` words, longest first, none overlapping another."""
-    item_free, text_free, found = [True] * len(item), [True] * len(text), []
-    size = max(least, min(FIRST_SEARCH, len(item)))
-    while True:
-        there: dict[int, list[int]] = {}
-        for place, value in _rolling(item, item_free, size):
-            there.setdefault(value, []).append(place)
-        matches, longest, wanted = [], 0, {}
-        if there:
-            wanted = [(place, there[value]) for place, value in _rolling(text, text_free, size) if value in there]
-        for at, places in wanted:
-            for place in places:
-                n = 0
-                while place + n < len(item) and at + n < len(text) and item[place + n] == text[at + n] and item_free[place + n] and text_free[at + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((-n, place, at))
-                    longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest
-            continue
-        for n, place, at in sorted(matches):
-            n = -n
-            # What an earlier tile has taken of this match shortens it; the rest counts if it is still long enough for this search.
-            while n >= size and not (item_free[place] and text_free[at]):
-                place, at, n = place + 1, at + 1, n - 1
-            length = 0
-            while length < n and item_free[place + length] and text_free[at + length]:
-                length += 1
-            if length >= size:
-                found.append((place, at, length))
-                item_free[place : place + length] = text_free[at : at + length] = [False] * length
-        if size == least:
-            return found
-        size = max(least, size // 2) if size > 2 * least else least
+def _rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """The Karp-Rabin hash of every run of ``size`` words, rolled along: sums of weighted words, of which each run takes a difference."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    weights = np.full(len(words) + 1, _BASE, np.uint64)
+    weights[0] = 1
+    weights, back = np.multiply.accumulate(weights), np.full(len(words), _INVERSE, np.uint64)
+    back[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * np.multiply.accumulate(back), dtype=np.uint64)))
+    return (sums[size:] - sums[:n]) * weights[size : size + n]
+
+
+def _matches(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(place in item, place in text, length) of all common runs of ``least`` words or more that neither end can be made longer.
+
+    Pairs of equal windows are looked for a block of the text at a time; those that follow each other on a diagonal are one run.
+    """
+    own, other = _rolled(item, least), _rolled(text, least)
+    order = np.argsort(own, kind="stable")
+    ordered = own[order]
+    low, high = np.searchsorted(ordered, other, "left"), np.searchsorted(ordered, other, "right")
+    count = high - low
+    upto, found, at = np.cumsum(count), [], 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        n = count[at:to]
+        place = order[np.repeat(low[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        there = np.repeat(np.arange(at, to), n)
+        key = np.lexsort((there, there - place))
+        diagonal, there = (there - place)[key], there[key]
+        starts = np.flatnonzero(np.concatenate(([True], (diagonal[1:] != diagonal[:-1]) | (there[1:] != there[:-1] + 1)))[: len(there)])
+        ends = np.concatenate((starts[1:], [len(there)]))[: len(starts)] - 1
+        found.append(np.stack((diagonal[starts], there[starts], there[ends]), axis=1))
+        at = to
+    runs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    # A run goes on from block to block.
+    first = np.ones(len(runs), bool)
+    first[1:] = (runs[1:, 0] != runs[:-1, 0]) | (runs[1:, 1] != runs[:-1, 2] + 1)
+    begins = np.flatnonzero(first)
+    ends = np.concatenate((begins[1:], [len(runs)]))[: len(begins)] - 1
+    return [(start - diagonal, start, end - start + least) for diagonal, start, end in zip(runs[begins, 0].tolist(), runs[begins, 1].tolist(), runs[ends, 2].tolist())]
+
+
+def _stretches(free: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The stretches of a mask, as (start, end)."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+    return zip(edges[::2].tolist(), edges[1::2].tolist())
+
+
+def tiles(item: list[int], text: list[int | None], least: int) -> list[tuple[int, int, int]]:
+    """Tiles (place in item, place in text, length) of common runs of at least ``least`` words, the longest unmarked one first, of equals that which
+    stands first in the item, then in the text; none overlaps another. A null word of the text equals nothing.
+
+    Longest runs are kept in a heap. One that tiles have taken a part of goes back with what is left of it, so the work follows the number of diagonals
+    with a match, not that of equal words.
+    """
+    gap = np.fromiter((w is None for w in text), bool, len(text))
+    a, b = np.array(item, np.uint64), np.array([w or 0 for w in text], np.uint64)
+    heap = []
+    for start, end in _stretches(~gap):
+        heap += [(-n, i, j + start) for i, j, n in _matches(a, b[start:end], least)]
+    heapify(heap)
+    a_free, b_free, found = np.ones(len(a), bool), np.ones(len(b), bool), []
+    while heap:
+        n, i, j = heappop(heap)
+        n = -n
+        # Also equal words, as hashes of other words may be the same.
+        free = a_free[i : i + n] & b_free[j : j + n] & (a[i : i + n] == b[j : j + n])
+        if free.all():
+            a_free[i : i + n] = b_free[j : j + n] = False
+            found.append((i, j, n))
+        else:
+            for start, end in _stretches(free):
+                if end - start >= least:
+                    heappush(heap, (start - end, i + start, j + start))
+    return found
 
 
 def _runs(column: pa.Array, seed: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
@@ -162,9 +189,8 @@ def coverage(pairs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             n_tiles, covered, size = [], [], []
             for words, item in zip(batch.column("words").to_pylist(), batch.column("item").to_pylist()):
-                # Hashes without sign; the gap between runs equals nothing.
-                text = [w & _MASK if w is not None else -1 for w in words]
-                found = tiles([w & _MASK for w in item], text, least)
+                # Hashes without sign.
+                found = tiles([w & _MASK for w in item], [None if w is None else w & _MASK for w in words], least)
                 n_tiles.append(len(found))
                 covered.append(sum(n for _, _, n in found))
                 size.append(len(item))
@@ -195,8 +221,12 @@ def _contaminated(rows: DataFrame, benchmark: DataFrame, seed: int, threshold: f
     """:func:`contamination` of ``rows(row, doc_id, text)``, with the row; ``row`` tells all rows apart."""
     items = stage(benchmark_items(benchmark, seed).withColumn("item", F.monotonically_increasing_id()), "items")
     parts = stage(matching_parts(rows, items, seed), "parts")
-    wanted = items.select("item", F.explode(F.array_distinct("seeds")).alias("seed"))
-    shared = parts.select("row", F.explode("seeds").alias("seed")).join(wanted, "seed").select("row", "item").distinct()
+    wanted = items.select("item", F.size("words").alias("_size"), F.posexplode("seeds").alias("_place", "seed"))
+    shared = parts.select("row", F.explode("seeds").alias("seed")).join(wanted, "seed")
+    # Tiles are made of shared seeds, so they cover no more of an item than those seeds do. Only pairs that can reach the threshold are tiled.
+    shared = shared.groupBy("row", "item").agg(F.sort_array(F.collect_set("_place")).alias("_places"), F.first("_size").alias("_size"))
+    reach = F.aggregate(F.transform("_places", lambda p, i: F.least(F.lit(seed), F.coalesce(F.get("_places", i + 1), F.lit(1 << 30)) - p)), F.lit(0), lambda a, n: a + n)
+    shared = shared.filter(reach >= threshold * F.col("_size")).select("row", "item")
     pairs = shared.join(parts.select("row", "doc_id", "words"), "row").join(items.select("item", "item_id", F.col("words").alias("_item")), "item")
     found = coverage(pairs.select("row", "doc_id", "item_id", "words", F.col("_item").alias("item")), seed)
     return found.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(F.col("coverage") >= threshold)

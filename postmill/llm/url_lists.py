@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.shared import columns
+from postmill.operators.skew import is_small
+from postmill.session import stage
 
 #: Intervals and fetch times meet in slices of time of this many seconds.
 SLICE = 7 * 86_400
@@ -55,18 +57,20 @@ def judge(captures: DataFrame, log: DataFrame, allow: str = "allow", slice_secon
     decides: the capture is rejected unless there is none or its list is ``allow``. n_captures counts equal rows. A null or unreadable URL has no host and
     no entries, and so has a null fetch time; extra columns are left out; empty tables give no rows, or captures without entries.
 
-    Every capture's keys meet an entry's intervals by entry and slice of time; an interval is in each slice that it overlaps, within the time of the
-    captures. So a capture meets the few intervals of its slice, however long the log is, and when one host has very many captures, its side can be split
-    by adaptive execution. Captures without entries don't take part in that shuffle's output; one row a capture is kept by a join.
+    Only keys that some list has an entry for are asked: the entries are broadcast if their counted number allows, else met in a semi join. Captures and
+    intervals meet by entry and slice of time; an interval is put into those slices in which its entry has captures, so neither a long log nor a single
+    capture of an odd date makes more rows than there are such slices. When one host has very many captures, its side can be split by adaptive execution.
     """
     rows = columns(captures, "page_id", "url", "fetched_at").groupBy("page_id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("n_captures"))
     piece = lambda at: F.floor(F.unix_micros(at) / F.lit(slice_seconds * 1_000_000))
-    first, last = (F.timestamp_micros(F.lit(t)) for t in rows.agg(F.unix_micros(F.min("fetched_at")), F.unix_micros(F.max("fetched_at"))).first())
-    valid = intervals(log).filter((F.col("valid_from") <= last) & ((F.col("valid_to") > first) | F.col("valid_to").isNull()))
-    covered = F.sequence(piece(F.greatest("valid_from", first)), piece(F.least(F.coalesce("valid_to", last), last)))
-    valid = valid.select("entry", "list", "valid_from", "valid_to", F.explode(covered).alias("piece"))
+    valid = stage(intervals(log), "intervals")
+    listed = valid.select("entry").distinct()
     asked = rows.filter("fetched_at is not null").select("page_id", "url", "fetched_at", F.explode(keys(F.col("url"))).alias("entry")).withColumn("piece", piece(F.col("fetched_at")))
-    active = asked.join(valid, ["entry", "piece"]).filter("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
+    asked = stage(asked.join(F.broadcast(listed) if is_small(listed) else listed, "entry", "left_semi"), "asked")
+    begins, ends = piece(F.col("valid_from")), piece(F.col("valid_to"))
+    # Entries with very many captures are few slices here.
+    met = asked.select("entry", "piece").distinct().join(valid, "entry").filter((F.col("piece") >= begins) & (F.col("valid_to").isNull() | (F.col("piece") <= ends)))
+    active = asked.join(met, ["entry", "piece"]).filter("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     best = F.max_by(F.struct("entry", "list"), F.struct(F.length("entry"), F.col("entry"))).alias("best")
     active = active.groupBy("page_id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("n_active"), best)
     found = active.toDF("_page_id", "_url", "_fetched_at", "n_active", "best")

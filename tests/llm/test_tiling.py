@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import pytest
 
+from postmill.llm import tiling
 from postmill.llm.tiling import clean, contamination, tiles
 
 
@@ -38,7 +40,38 @@ def test_tiles_cover_what_the_definition_covers(seed):
     for k in (0, 1):
         covered = [x for t in found for x in range(t[k], t[k] + t[2])]
         assert len(covered) == len(set(covered))
-    assert sum(n for *_, n in found) == sum(n for *_, n in brute_tiles(item, text, 5))
+    assert found == brute_tiles(item, text, 5)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_of_repetitive_texts_are_those_of_the_definition(seed, monkeypatch):
+    rng = random.Random(seed)
+    letters = rng.randint(1, 3)
+    item, text = ([rng.randrange(letters) if rng.random() < 0.9 else None for _ in range(rng.randint(0, 40))] for _ in range(2))
+    item = [w for w in item if w is not None]
+    monkeypatch.setattr(tiling, "PAIRS", rng.choice([1, 7, 1 << 19]))
+    assert tiles(item, text, 3) == brute_tiles(item, [object() if w is None else w for w in text], 3)
+
+
+@pytest.mark.parametrize("cycle", [1, 6])
+def test_long_repetitive_texts_take_no_time(cycle):
+    item, text = [k % cycle for k in range(1000)], [k % cycle for k in range(2000)]
+    begun = time.process_time()
+    found = tiles(item, text, 5)
+    assert found == [(0, 0, 1000)] and time.process_time() - begun < 3
+    assert sum(n for *_, n in tiles([7] * 200, ([7] * 30 + [8]) * 100, 5)) == 200
+
+
+def test_pairs_that_cannot_reach_the_threshold_are_not_tiled(spark, monkeypatch):
+    """A passage that all items begin with is shared by all; only pairs with enough else in common are tiled."""
+    head = " ".join(f"h{i}" for i in range(8))
+    items = [(i, head + " " + " ".join(f"i{i}x{k}" for k in range(30))) for i in range(20)]
+    docs = [(i, items[i][1] if i < 5 else head + f" text {i}") for i in range(40)]
+    tiled = []
+    real = tiling.coverage
+    monkeypatch.setattr(tiling, "coverage", lambda pairs, least: tiled.append(pairs.count()) or real(pairs, least))
+    rows = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(i, i) for i in range(5)] and tiled == [5]
 
 
 def words(text):

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+from postmill.llm import url_lists
 from postmill.llm.url_lists import intervals, judge
 
 DAY = datetime(2024, 3, 1)
@@ -49,6 +50,17 @@ def test_query_equals_brute_force(spark):
         assert {tuple(r) for r in judge(c, lists, slice_seconds=slice_seconds).collect()} == brute(captures, log)
 
 
+def test_odd_dates_and_unlisted_hosts_make_no_rows(spark, monkeypatch):
+    log = [(f"h{i}.com", "block", DAY + timedelta(days=i), 1) for i in range(30)] + [("x.org", "allow", datetime(1970, 1, 2), 1)]
+    captures = [(i, f"http://a.h{i % 40}.com/p", DAY + timedelta(days=9)) for i in range(80)] + [(900, "http://h3.com/", datetime(9990, 1, 1)), (901, "http://h3.com/", datetime(1903, 1, 1)), (902, "http://x.org/", datetime(1971, 1, 1))]
+    staged = {}
+    monkeypatch.setattr(url_lists, "stage", lambda df, name: staged.setdefault(name, df))
+    rows = judge(spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp"), spark.createDataFrame(log, "entry string, list string, at timestamp, seq long")).collect()
+    assert {tuple(r) for r in rows} == brute(captures, log)
+    # Of each capture's two domains and path only listed entries are asked.
+    assert staged["asked"].count() == sum(i % 40 < 30 for i in range(80)) + 3
+
+
 def test_intervals_follow_each_other(spark):
     log = [("a", "block", DAY, 1), ("a", "block", DAY, 1), ("a", None, DAY + timedelta(1), 2), ("A", "allow", DAY + timedelta(2), 3)]
     rows = intervals(spark.createDataFrame(log, "entry string, list string, at timestamp, seq long")).orderBy("valid_from").collect()
