@@ -33,13 +33,17 @@ def parse_date_any(c: Column | str, formats: tuple[str, ...]) -> Column:
     The text's shape chooses the parse, since a failed parse raises and catches inside the JVM,
     which costs far more than a test. Formats of one shape are tried in turn.
     """
-    text, shapes = F.regexp_replace(as_col(c), UNCLEAN, " "), {}
+    shapes: dict[str, list[str]] = {}
     for f in formats:
-        shapes.setdefault(_shape(f), []).append(F.try_to_date(text, f))
-    found = F.lit(None).cast("date")
-    for shape, parses in reversed(shapes.items()):
-        found = F.when(text.rlike(shape), F.coalesce(*parses)).otherwise(found)
-    return found
+        shapes.setdefault(_shape(f), []).append(f)
+
+    def parsed(text: Column) -> Column:
+        found = F.lit(None).cast("date")
+        for shape, fitting in reversed(shapes.items()):
+            found = F.when(text.rlike(shape), F.coalesce(*[F.try_to_date(text, f) for f in fitting])).otherwise(found)
+        return found
+
+    return let(F.regexp_replace(as_col(c), UNCLEAN, " "), parsed)
 
 
 def iso_date(d: Column) -> Column:

@@ -141,9 +141,57 @@ def element_inner(html: Column | str, open_tag: str) -> Column:
     return apply_sql(F.regexp_extract(as_col(html), f"(?is){open_tag}.*", 0), _INNER)
 
 
-def leading_element(html: Column | str) -> Column:
-    """Inner HTML of the element that the text begins with, up to its own end tag."""
-    return F.coalesce(apply_sql(as_col(html), _INNER), F.lit(""))
+# Where a page is cut: before each tag. Piece 0 is what stands before the first one.
+_PIECES = r"(?i)(?=<(?:/?[a-z]|!))"
+_NAME = "^<(/?[a-zA-Z][a-zA-Z0-9]*)"
+
+# x.events are the places at which elements of one name open (1) and close (2), and their containers (3, 4), x.n the number of pieces. The stack holds the
+# places of open elements, and -1 for an open container. An element in a container is ended by the next one of its name there, and with the container.
+_SPANS = """x -> aggregate(x.events, struct(CAST(array() AS array<int>) AS open, CAST(array() AS array<struct<s: int, e: int>>) AS spans),
+    (a, v) -> transform(array(coalesce(try_element_at(a.open, -1), -1)), top -> transform(array(struct(
+        IF(top >= 0 AND (v.k IN (2, 4) OR v.k = 1 AND x.listed), slice(a.open, 1, size(a.open) - 1), a.open) AS open,
+        IF(top >= 0 AND (v.k IN (2, 4) OR v.k = 1 AND x.listed), array_append(a.spans, struct(top AS s, v.i AS e)), a.spans) AS spans)),
+      b -> struct(CASE WHEN v.k = 1 THEN array_append(b.open, v.i) WHEN v.k = 3 THEN array_append(b.open, -1)
+          WHEN v.k = 4 AND size(b.open) > 0 THEN slice(b.open, 1, size(b.open) - 1) ELSE b.open END AS open, b.spans AS spans))[0])[0],
+    a -> concat(a.spans, transform(filter(a.open, o -> o >= 0), o -> struct(o AS s, x.n AS e))))"""
+
+# Elements whose end tag may be left out, and what contains them.
+_LISTS = {"li": ("ul", "ol", "menu"), "tr": ("table",)}
+
+
+def pieces(html: Column | str) -> Column:
+    """The page, cut before each of its tags."""
+    return F.split(as_col(html), _PIECES)
+
+
+def tag_names(parts: Column) -> Column:
+    """The lower-cased name of the tag that each piece begins with, with a slash for an end tag; '' for none."""
+    return F.transform(parts, lambda p: F.lower(F.regexp_extract(p, _NAME, 1)))
+
+
+def element_spans(names: Column, name: Column) -> Column:
+    """(s, e) of every element called ``name``, from :func:`tag_names`: it begins with piece s and ends before piece e.
+
+    End tags are matched to the last open element of the name. One that is never closed runs to the end of the page, or of its list or table.
+    """
+    owners = F.create_map(*[F.lit(x) for k, v in _LISTS.items() for x in (k, list(v))])
+
+    def spans(x: Column) -> Column:
+        own, inside = x["name"], x["owners"]
+        kind = lambda n: (
+            F.when(n == own, 1).when(n == F.concat(F.lit("/"), own), 2).when(F.array_contains(inside, n), 3)
+            .when(n.startswith("/") & F.array_contains(inside, F.substring(n, F.lit(2), F.length(n))), 4)
+        )
+        events = F.filter(F.transform(x["names"], lambda n, i: F.struct(i.alias("i"), kind(n).alias("k"))), lambda v: v["k"].isNotNull())
+        return apply_sql(F.struct(events.alias("events"), F.size(x["names"]).alias("n"), (F.size(inside) > 0).alias("listed")), _SPANS)
+
+    inside = F.coalesce(F.try_element_at(owners, name), F.array().cast("array<string>"))
+    return let(F.struct(names.alias("names"), name.alias("name"), inside.alias("owners")), spans)
+
+
+def joined(parts: Column, start: Column, end: Column) -> Column:
+    """The source of the pieces from ``start`` up to ``end``."""
+    return F.array_join(F.slice(parts, start + 1, end - start), "")
 
 
 def first_element(html: Column, open_tags: Sequence[str]) -> Column:

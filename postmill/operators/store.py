@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import text
@@ -14,6 +14,7 @@ from postmill.operators.filters import is_stale
 from postmill.operators.ordering import numbered
 from postmill.schema import POSTING_STATUSES, POSTINGS, REQUIRED, RUN_STATUSES, SCORE_SOURCES
 from postmill.session import stage
+from postmill.sources.tables import StoredTable
 
 
 # --- validation ---------------------------------------------------------------------------
@@ -55,6 +56,29 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
+def append_valid(
+    table: StoredTable, df: DataFrame, rules: dict[str, Column], rejected: StoredTable, key: str = "dedupe_key", order: Sequence[str] = ("id",),
+    near: Callable[[DataFrame], DataFrame] | None = None, token: str | None = None,
+) -> DataFrame:
+    """Append the rows that break no rule and bring a new key, and keep the others, with what they break, in ``rejected``.
+
+    Of rows that share a key the first in ``order`` that breaks no rule counts; the others repeat it. ``near`` gives the stored keys that the batch may
+    meet. Both commits carry ``token``, so a batch that is written again adds nothing. Returns (error, rows), '' for the accepted ones.
+    """
+    marked = with_errors(df, rules)
+    first = F.row_number().over(Window.partitionBy(key, F.size("errors") == 0).orderBy(*order)) == 1
+    marked = stage(marked.withColumn("_first", first), "marked")
+    sound = marked.filter("size(errors) = 0 and _first")
+    stored = (table.read() if near is None else near(sound)).select(F.col(key).alias("_stored")).join(sound.select(F.col(key).alias("_stored")), "_stored", "left_semi").distinct()
+    marked = marked.join(stored, marked[key] == stored["_stored"], "left")
+    sound = F.size("errors") == 0
+    more = F.when(sound & F.col("_stored").isNotNull(), F.array(F.lit(f"{key} is stored"))).when(sound & ~F.col("_first"), F.array(F.lit(f"{key} repeats")))
+    marked = stage(marked.withColumn("errors", F.concat("errors", F.coalesce(more, F.array().cast("array<string>")))).select(*df.columns, "errors"), "checked")
+    table.append(marked.filter("size(errors) = 0").drop("errors"), token)
+    rejected.append(marked.filter("size(errors) > 0"), token)
+    return marked.select(F.explode(F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.array(F.lit("")))).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- postings -----------------------------------------------------------------------------
 
 
@@ -66,12 +90,16 @@ def with_new_ids(df: DataFrame, stored: DataFrame, order: Sequence[str], name: s
 
 
 def new_postings(
-    stored: DataFrame, batch: DataFrame, as_of: Column, order: Sequence[str] = ("rank", "seq", "pos")
+    stored: DataFrame, batch: DataFrame, as_of: Column, order: Sequence[str] = ("rank", "seq", "pos"), near: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """The rows a batch adds: complete rows, first per key within the batch, key not yet stored."""
+    """The rows a batch adds: complete rows, first per key within the batch, key not yet stored.
+
+    ``near`` gives the stored keys that a batch may meet (see sources.keys); without it all keys of ``stored`` are read.
+    """
     complete = batch.dropna(subset=list(REQUIRED)).withColumn("dedupe_key", text.dedupe_key("company", "title", "location"))
     # Staged, as both joins of the test read it.
-    fresh = except_stored(stage(first_rows(complete, ["dedupe_key"], order), "first"), stored)
+    first = stage(first_rows(complete, ["dedupe_key"], order), "first")
+    fresh = except_stored(first, stored if near is None else near(first))
     collected = F.col("date_collected")
     if dict(batch.dtypes)["date_collected"] == "string":
         collected = F.coalesce(parse_instant("date_collected"), as_of)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,11 +13,12 @@ from postmill.operators.aggregates import collection_summary
 from postmill.operators.dedupe import dedupe_by_url
 from postmill.operators.filters import is_recent
 from postmill.operators.joins import attach_source_dim
-from postmill.operators.runs import had_postings_recently, status_of
+from postmill.operators.runs import fold_run_events, had_postings_recently, start_events, status_of
 from postmill.operators.store import new_postings, with_new_ids
 from postmill.schema import RUNS
 from postmill.session import stage
 from postmill.sources.common import ARRIVAL, COLUMNS
+from postmill.sources.keys import key_index
 from postmill.sources.registry import BOARD_PLATFORMS, JSON_KINDS, JSON_SHAPES, READERS, RENDERED_KINDS
 from postmill.sources.tables import StoredTable
 
@@ -104,18 +105,21 @@ def collect_all(
     details: DataFrame | None = None,
     kinds: Iterable[str] | None = None,
     filter_keywords: bool = True,
+    started: DataFrame | None = None,
+    near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Collected:
     """Read every source, keep recent postings, pick the new ones and record one run per source.
 
     A failing source yields an error run and no postings; the others go on. The source list, the
-    parsed batch and the new rows are each written once, because several results use them.
+    parsed batch and the new rows are each written once, because several results use them. Runs
+    have the ids of ``started(id, source)`` if that is given, else new ones.
     """
     cutoff = F.date_sub(F.to_date(as_of), lookback_days)
     # Staged as well: finding failures reads every response, and the source list is used often.
     state = stage(sources.join(source_failures(raw, details is not None), "source", "left"), "sources")
     healthy = state.filter(F.col("failure").isNull()).drop("failure")
     batch = stage(parse_sources(raw, healthy, details, kinds, filter_keywords), "batch")
-    added = stage(new_postings(stored, batch.filter(is_recent(cutoff)), as_of, ARRIVAL), "added")
+    added = stage(new_postings(stored, batch.filter(is_recent(cutoff)), as_of, ARRIVAL, near), "added")
 
     found = batch.groupBy("source").agg(F.count(F.lit(1)).alias("jobs_found"))
     inserted = added.groupBy("source").agg(F.count(F.lit(1)).alias("jobs_inserted"))
@@ -137,7 +141,8 @@ def collect_all(
             "error_message": F.col("failure"),
         }
     )
-    new_runs = with_new_ids(finished, runs, ["rank"]).select(*RUNS.names)
+    numbered = with_new_ids(finished, runs, ["rank"]) if started is None else finished.join(started.select("id", "source"), "source")
+    new_runs = numbered.select(*RUNS.names)
     return Collected(added, new_runs, summary_of(state, batch, added, cutoff))
 
 
@@ -152,10 +157,25 @@ def summary_of(sources: DataFrame, batch: DataFrame, added: DataFrame, cutoff: C
     return each.unionByName(total.select(F.lit(None).cast("string").alias("source"), F.lit(1).alias("is_total"), *counts))
 
 
-def run_collection(raw: DataFrame, sources: DataFrame, postings: StoredTable, runs: StoredTable, as_of: Column, **options) -> Collected:
-    """Collect and commit: new postings are appended, then the run records."""
-    result = collect_all(raw, sources, postings.read(), runs.read(), as_of, **options)
-    recorded = stage(result.runs, "runs")
+def start_runs(sources: DataFrame, events: StoredTable, as_of: Column) -> DataFrame:
+    """Commit a start event for every source, and return them."""
+    known = events.read().select("id")
+    starts = with_new_ids(sources.select("source", "rank", as_of.alias("started_at")), known, ["rank"])
+    starts = stage(start_events(starts), "starts")
+    events.append(starts)
+    return starts
+
+
+def run_collection(raw: DataFrame, sources: DataFrame, postings: StoredTable, events: StoredTable, as_of: Column, **options) -> Collected:
+    """Collect and commit in two phases: every source's start before anything is read, then new postings, then the ends.
+
+    A job that dies in between leaves its runs as ``running``, and so they read until somebody looks; the next job's runs are its own. Postings are tested
+    against the table's key index.
+    """
+    past = stage(fold_run_events(events.read()), "past-runs")
+    starts = start_runs(sources, events, as_of)
+    result = collect_all(raw, sources, postings.read(), past, as_of, started=starts, near=key_index(postings).near, **options)
+    ends = stage(result.runs.withColumn("event_seq", F.lit(1).cast("long")), "ends")
     postings.append(result.postings)
-    runs.append(recorded)
-    return Collected(result.postings, recorded, result.summary)
+    events.append(ends)
+    return Collected(result.postings, ends.drop("event_seq"), result.summary)

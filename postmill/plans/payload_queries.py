@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postmill.functions.dates import instant
 from postmill.functions import text
 from postmill.functions.labels import LinkRules
+from postmill.operators import filters
 from postmill.plans import bindings as b
 from postmill.plans.catalog import AS_OF, P, R, query
 from postmill.plans.collection import collect_all
@@ -137,6 +138,11 @@ def _porsche_body(entries):
     + SELECT,
 )
 def porsche(spark, sf):
+    return searches.from_porsche(*_porsche(spark, sf)).select(*OUT)
+
+
+def _porsche(spark, sf):
+    """Responses, and detail pages."""
     rows = _dated(spark, sf)
     url = F.concat(F.lit("https://o.example/"), _id())
     entry = F.struct(
@@ -151,7 +157,34 @@ def porsche(spark, sf):
     )
     page = F.concat(F.lit("<body><noscript>no</noscript><style>p{}</style><p>About <i>"), "description", F.lit("</i></p></body>"))
     details = b.detail_pages(rows, url, F.when(F.col("id") % 4 != 0, page))
-    return searches.from_porsche(b.landed(rows, entry, _porsche_body), details).select(*OUT)
+    return b.landed(rows, entry, _porsche_body), details
+
+
+@query(
+    "porsche_precise_terms",
+    P
+    + f""", t AS (SELECT source, id // 50 AS response, bool_or(contains(CAST(id // 2 AS VARCHAR), '00')) AS noisy FROM p GROUP BY 1, 2),
+  q AS (SELECT p.*, row_number() OVER (PARTITION BY p.source, id // 2 ORDER BY id) AS k FROM p JOIN t ON t.source = p.source AND response = id // 50
+    WHERE id % 9 <> 0 AND NOT noisy),
+  x AS (SELECT title, 'Acme' AS company, location || CASE WHEN id % 2 = 0 THEN ', Germany' ELSE '' END AS location, source,
+    'https://o.example/' || id AS url, CASE WHEN id % 4 = 0 THEN '' ELSE 'About ' || description END AS description, {ISO_DAY} AS date_posted FROM q WHERE k = 1)"""
+    + SELECT,
+)
+def porsche_precise_terms(spark, sf):
+    """As json_payload_porsche, without the terms that matched over 200 postings."""
+    return searches.from_porsche(*_porsche(spark, sf), max_results=200).select(*OUT)
+
+
+@query(
+    "porsche_noisy_terms",
+    P
+    + """, t AS (SELECT source, id // 50 AS response FROM p GROUP BY 1, 2 HAVING bool_or(contains(CAST(id // 2 AS VARCHAR), '00')))
+  SELECT source, count(*) AS responses, CAST(201 * count(*) AS BIGINT) AS rows FROM t GROUP BY 1""",
+)
+def porsche_noisy_terms(spark, sf):
+    """What that leaves out of each source."""
+    result = _porsche(spark, sf)[0].select("source", F.from_json("body", searches.PORSCHE)["SearchResult"]["SearchResultCountAll"].cast("long").alias("total"))
+    return filters.noisy_terms(result, 200)
 
 
 def _apple_body(entries):
@@ -281,15 +314,18 @@ def siemens(spark, sf):
   SELECT * FROM x""",
 )
 def rendered(spark, sf):
-    """Cards with a linked title, location and date; some links are not postings, some details
+    """Cards with a linked title, location and date, some of which hold other cards before or behind the link; some links are not postings, some details
     are missing, some details state no title, location or date."""
     rows = _dated(spark, sf)
     path = F.when(F.col("id") % 10 == 9, "/login/jobs/").otherwise("/jobs/")
     # Every third card is a list item, the others are divisions that foreign text follows.
     item = F.col("id") % 3 == 0
+    note = F.lit('<ul class="notes"><li>note<li class="result">a note that no end tag closes</ul>')
     entry = F.concat(
         F.when(item, '<li class="card">').otherwise('<div class="job-card"><div>'),
-        F.lit('<a href="'), path, _id(), F.lit('"><h3>'), "title", F.lit(" card</h3><p>second line</p></a><p>Standort: "),
+        F.when(F.col("id") % 5 == 0, F.concat(F.lit('<article class="x">inner <div class="result">card</div></article>'), note)).otherwise(""),
+        F.lit('<a href="'), path, _id(), F.lit('"><h3>'), "title", F.lit(" card</h3><p>second line</p></a>"),
+        F.when(F.col("id") % 5 == 1, note).otherwise(""), F.lit("<p>Standort: "),
         "location", F.lit(" | Posted: "), F.date_format("day", "dd.MM.yyyy"), F.lit(" by us</p>"),
         F.when(item, "</li>").otherwise("</div></div><footer>Location: Oslo | Posted: 01.02.1990</footer>"),
     )

@@ -104,3 +104,71 @@ def stream_health(spark, sf):
 def stream_late(spark, sf):
     """The runs that came late."""
     return _judged(spark, sf).filter("id % 10 = 0")
+
+
+@query(
+    "stream_dedupe_watermark",
+    """WITH e AS (SELECT user_id, event_type, event_id, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // 5 AS piece FROM events),
+    k AS (SELECT DISTINCT user_id, event_type, piece FROM e WHERE NOT (event_id % 10 = 0 AND piece < 3)),
+    f AS (SELECT user_id, event_type, min(piece) AS piece FROM k GROUP BY user_id, event_type)
+    SELECT * FROM f UNION ALL SELECT k.user_id, k.event_type, min(k.piece) FROM k JOIN f USING (user_id, event_type) WHERE k.piece >= f.piece + 4 GROUP BY k.user_id, k.event_type""",
+)
+def stream_dedupe_watermark(spark, sf):
+    """Events land in six batches of five days, the time of an event being its day. A key stays in the state for seven days and a quarter behind the latest
+    event: it is dropped in the next three batches and comes again from the fourth on. Every tenth event of the first fifteen days lands three batches
+    late and is dropped, whether its key is known or not."""
+    events = b.table(spark, sf, "events").select("user_id", "event_type", "event_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at"))
+    first = events.agg(F.min("at")).first()[0]
+    events = events.withColumn("piece", F.floor(F.datediff("at", F.lit(first)) / 5))
+    lands = F.when((F.col("event_id") % 10 == 0) & (F.col("piece") < 3), F.col("piece") + 3).otherwise(F.col("piece"))
+    out = StoredTable(spark, scratch_dir(spark, "recent"), events.schema)
+    check = scratch_dir(spark, "checkpoint")
+    _in_slices(spark, events, lands, 6, "events", lambda d: ingest.recent_sightings_stream(d, out, check, ("user_id", "event_type"), "at", "174 hours"))
+    return out.read().select("user_id", "event_type", "piece")
+
+
+@query(
+    "stream_window_daily",
+    R + f""", w AS (SELECT max(started_at) FILTER (WHERE id % 10 <> 0) - INTERVAL 2 DAY AS closed FROM r)
+    SELECT {iso("date_trunc('day', started_at)")} AS day, source, id % 10 = 0 AS late, count(*) AS runs, count(*) FILTER (WHERE status = 'error') AS errors,
+    CAST(sum(jobs_found) AS BIGINT) AS jobs_found FROM r, w WHERE date_trunc('day', started_at) + INTERVAL 1 DAY <= closed GROUP BY 1, 2, 3""",
+)
+def stream_window_daily(spark, sf):
+    """Counts of closed days, each written once, and apart from them counts of the runs that came after their day was closed, over four batches."""
+    rows, root = b.runs(spark, sf), scratch_dir(spark, "days")
+    closed, late = StoredTable(spark, f"{root}/closed", ingest.CLOSED_DAYS), StoredTable(spark, f"{root}/late", ingest.DAILY_COUNTS)
+    marks = StoredTable(spark, f"{root}/marks", ingest.MARKS)
+
+    def start(landed):
+        ingest.closed_days_stream(landed, closed, f"{root}/check-closed", "2 days").awaitTermination()
+        return ingest.late_counts_stream(landed, late, marks, f"{root}/check-late", "2 days")
+
+    _in_slices(spark, rows, _with_late(_by_range(rows, "started_at", 3), 3), 4, "runs", start)
+    found = closed.read().withColumn("late", F.lit(False)).unionByName(ingest.daily_totals(late.read()).withColumn("late", F.lit(True)))
+    return found.withColumn("day", format_instant("day"))
+
+
+@query(
+    "stream_health_state",
+    R
+    + f""", done AS (SELECT *, id % 10 = 0 AS last_slice FROM r WHERE status <> 'running'),
+  w AS (SELECT max(started_at) - INTERVAL 1 DAY AS mark FROM done WHERE NOT last_slice),
+  judged AS (SELECT *, {PRIOR} AS prior FROM done WHERE NOT last_slice
+    UNION ALL SELECT * FROM (SELECT done.*, {PRIOR} AS prior FROM done, w WHERE NOT last_slice OR started_at > mark) t WHERE last_slice
+    UNION ALL SELECT t.* FROM (SELECT *, {PRIOR} AS prior FROM done) t, w WHERE last_slice AND started_at <= mark)
+  SELECT id, source, coalesce(prior > 0, false) AS had_postings, CASE WHEN status = 'error' THEN 'error'
+    WHEN jobs_found = 0 AND coalesce(prior > 0, false) THEN 'warning' ELSE 'ok' END AS derived_status FROM judged""",
+)
+def stream_health_state(spark, sf):
+    """Runs land as in stream_health and are judged with keyed state, each source and day being a key. Of those that land last, the ones behind the
+    watermark are older than the state, and are judged behind the others."""
+    rows, root = b.runs(spark, sf), scratch_dir(spark, "health-states")
+    judged, edges = StoredTable(spark, f"{root}/judged", health.VERDICTS), StoredTable(spark, f"{root}/edges", health.EDGES)
+    piece = _with_late(_by_range(rows, "started_at", 3), 3)
+
+    def start(landed):
+        health.run_health_states(landed, judged, edges, f"{root}/check", chunk="1 day", delay="1 day").awaitTermination()
+        return health.late_runs_stream(landed, judged, edges, f"{root}/check-late", chunk="1 day")
+
+    _in_slices(spark, rows, piece, 4, "runs", start)
+    return judged.read().select("id", "source", "had_postings", "derived_status")

@@ -62,6 +62,9 @@ RUNS = _struct(
     ("error_message", T.StringType(), True),
 )
 
+# A run's start (event_seq 0) and end (1); fold_run_events makes one row of them.
+RUN_EVENTS = T.StructType([*RUNS.fields, T.StructField("event_seq", T.LongType(), False)])
+
 WATCHLIST = _struct(
     ("id", T.LongType(), False),
     ("name", T.StringType(), False),

@@ -172,37 +172,60 @@ _CARD = (
 )
 
 
+_OPENS_CARD = rf"(?i)^(?:{_CARD})"
+_OPENS_LINK = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>"""
+
+
 def rendered_links(pages: DataFrame) -> DataFrame:
-    """Links of captured pages with the first line of their text and the text of their card."""
+    """Links of captured pages with the first line of their text and the text of their card.
+
+    A link's card is the smallest one that holds it, which may hold other cards before or behind the link; a link that is a card itself, or that has none,
+    has its own text.
+    """
     raw = pages.withColumnRenamed("url", "page_url")
-    chunks = F.split(html.without_scripts("body", ("noscript",)), rf"(?i)(?={_CARD})")
-    cards = raw.select("*", F.posexplode(chunks).alias("_card_no", "_chunk")).drop("body")
-    tag = F.lower(F.regexp_extract("_chunk", "^<([a-zA-Z0-9]+)", 1))
-    # Text after the card's own end belongs to no card. List items, rows and articles are cards
-    # themselves where they nest, so their first end tag is theirs; other elements are counted.
-    closed = F.regexp_extract("_chunk", r"(?is)^(.*?</(?:article|li|tr)\s*>)", 1)
-    card = F.when(tag.isin("article", "li", "tr") & (closed != ""), closed).otherwise(html.leading_element("_chunk"))
-    is_card = F.col("_chunk").rlike(rf"(?i)^(?:{_CARD})") & (tag != "a")
+
+    def text_of(x: Column) -> Column:
+        return text.clean_text(html.rendered_text(x))
+
+    def tagged(parts: Column) -> Column:
+        return F.struct(parts.alias("parts"), html.tag_names(parts).alias("names"), F.transform(parts, lambda p: p.rlike(_OPENS_CARD)).alias("opens"))
+
+    def with_cards(x: Column) -> Column:
+        of_cards = F.filter(x["names"], lambda n, i: F.get(x["opens"], i) & (n != "a"))
+        spans = F.flatten(F.transform(F.array_distinct(of_cards), lambda n: html.element_spans(x["names"], n)))
+        places = F.filter(F.transform(x["names"], lambda n, i: F.when(n.isin("a", "/a"), i)), lambda i: i.isNotNull())
+        ends = F.transform(places, lambda p, k: F.struct(p.alias("s"), F.coalesce(F.get(places, k + 1), F.size(x["parts"])).alias("e")))
+        anchors = F.filter(ends, lambda a: F.get(x["parts"], a["s"]).rlike(_OPENS_LINK))
+        return F.struct(x["parts"].alias("parts"), x["opens"].alias("opens"), F.filter(spans, lambda c: F.get(x["opens"], c["s"])).alias("cards"), anchors.alias("anchors"))
+
+    def with_links(x: Column) -> Column:
+        def card(a: Column) -> Column:  # the one that opens last before the link and ends behind it
+            inside = F.filter(x["cards"], lambda c: (c["s"] < a["s"]) & (a["s"] < c["e"]))
+            return F.when(F.get(x["opens"], a["s"]), None).otherwise(F.array_max(inside))
+
+        links = F.transform(x["anchors"], lambda a: F.struct(html.joined(x["parts"], a["s"], a["e"]).alias("source"), card(a).alias("card")))
+        return F.struct(x["parts"].alias("parts"), links.alias("links"))
+
+    def with_text(x: Column) -> Column:
+        # A card's text is made once, however many links it has.
+        used = F.array_distinct(F.filter(F.transform(x["links"], lambda a: a["card"]), lambda c: c.isNotNull()))
+        texts = F.map_from_entries(F.transform(used, lambda c: F.struct(c["s"], text_of(html.joined(x["parts"], c["s"], c["e"])))))
+        return F.struct(x["links"].alias("links"), texts.alias("texts"))
 
     def links(x: Column) -> Column:
         return F.transform(
-            html.anchors("_chunk"),
+            x["links"],
             lambda a: F.struct(
-                html.absolutize_url("page_url", html.attribute(a, "href")).alias("url"),
-                text.clean_text(F.substring_index(html.rendered_text(a), "\n", 1)).alias("title"),
-                F.when(F.contains(x["card"], a), x["text"]).otherwise(text.clean_text(html.rendered_text(a))).alias("card_text"),
+                html.absolutize_url("page_url", html.attribute(a["source"], "href")).alias("url"),
+                text.clean_text(F.substring_index(html.rendered_text(a["source"]), "\n", 1)).alias("title"),
+                F.coalesce(F.try_element_at(x["texts"], a["card"]["s"]), text_of(a["source"])).alias("card_text"),
             ),
         )
 
-    def with_text(c: Column) -> Column:
-        return F.struct(c.alias("card"), text.clean_text(html.rendered_text(c)).alias("text"))
-
-    in_card = text.let(F.when(is_card, card).otherwise(F.lit("")), with_text)
-    return (
-        cards.select("*", F.posexplode(text.let(in_card, links)).alias("_n", "_link"))
-        .select("*", _position("_card_no", "_n").alias("pos"), "_link.*")
-        .drop("_chunk", "_link")
-    )
+    found = html.pieces(html.without_scripts("body", ("noscript",)))
+    for step in (tagged, with_cards, with_links, with_text, links):
+        found = text.let(found, step)
+    return raw.select("*", F.posexplode(found).alias("pos", "_link")).drop("body").select("*", "_link.*").withColumn("pos", F.col("pos").cast("long")).drop("_link")
 
 
 def detail_fields(page: Column) -> Column:

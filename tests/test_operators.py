@@ -233,6 +233,30 @@ def test_failed_scorer_leaves_rows_unscored(spark):
     assert (summary.scored, summary.failed) == (1, 1)
 
 
+def test_equal_prompts_are_asked_once_and_failures_again(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def scorer(prompts):
+        import time
+        import uuid
+
+        with open(f"{log}-{uuid.uuid4().hex}", "w") as out:
+            out.write("\x1e".join(prompts))
+        time.sleep(0.01)
+        if len(prompts) > 3:
+            raise RuntimeError("too many")
+        return ['{"score": 5, "reason": "ok"}' if "Good" in p else "no JSON" if "Odd" in p else None for p in prompts]
+
+    table = stored(spark, [{"title": t} for t in ["Good"] * 40 + ["Odd"] * 2 + ["Never", "Good 2"]] + [{"score": 4}])
+    got = [(r.id, r.score, r.source) for r in scoring.score_prompts(table.coalesce(1), scorer, group=3, concurrency=2, tries=3).orderBy("id").collect()]
+    assert got == [(i, 5 if i <= 40 or i == 44 else None, "ai") for i in range(1, 45)]
+    asked = [p for f in tmp_path.iterdir() for p in f.read_text().split("\x1e")]
+    counts = {name: sum(f"Title: {name}\n" in p for p in asked) for name in ("Good", "Odd", "Never", "Good 2")}
+    assert counts == {"Good": 1, "Odd": 3, "Never": 3, "Good 2": 1}
+    # A call that raises is as if nothing had been answered.
+    assert {r.score for r in scoring.score_prompts(table.filter("id in (1, 42, 43, 44)").coalesce(1), scorer, group=9, tries=2).collect()} == {None}
+
+
 def test_tables_version_and_jobs(spark, tmp_path):
     table = postings_table(spark, str(tmp_path))
     assert table.read().count() == 0

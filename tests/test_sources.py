@@ -89,6 +89,26 @@ def test_text_behind_a_card_is_not_its_text(spark):
     assert [r.card_text for r in found] == ["LLM Engineer", "RAG Engineer Location: Bonn | Posted: 03.04.2021"]
 
 
+def test_a_link_has_the_smallest_card_around_it(spark):
+    page = (
+        '<div class="job-results">All<ul><li>One <ul class="x"><li class="card">inner <a href="/jobs/view/1">A</a></li></ul> after <a href="/jobs/view/2">B</a> end</li>'
+        '<li>Two <a href="/jobs/view/3">C</a> open<li>Three <a href="/jobs/view/4">D</a> list ends</ul> tail <a href="/jobs/view/5">E</a>'
+        '<a class="job-card" href="/jobs/view/6"><b>F</b> own</a><div>plain <div class="result"><div>deep</div> <a href="/jobs/view/7">G</a></div> rest</div></div>'
+        '<p>outside <a href="/jobs/view/8">H</a></p><TABLE><TR><td><a href="/jobs/view/9">I</a><td>cell<tr><td>next <a href="/jobs/view/10">J</a></table> behind'
+    )
+    found = {r.title: r.card_text for r in listings.rendered_links(landed(spark, "meta", page)).collect()}
+    every = "All One inner A after B end Two C open Three D list ends tail E F own plain deep G rest"
+    assert {k: " ".join(v.split()) for k, v in found.items()} == {
+        "A": "inner A", "B": "One inner A after B end", "C": "Two C open", "D": "Three D list ends", "E": every.replace("E F", "EF"), "F own": "F own", "G": "deep G", "H": "H", "I": "I cell", "J": "next J",
+    }
+
+
+def test_cards_on_a_page_of_many_tags(spark):
+    page = "<div class='result'>" * 30 + "".join(f"<li>n{i} <a href='/jobs/view/{i}'>T{i}</a></li>" for i in range(1500)) + "</div>" * 30
+    rows = listings.rendered_links(landed(spark, "meta", page)).collect()
+    assert len(rows) == 1500 and all(r.card_text == f"n{r.title[1:]} {r.title}" for r in rows)
+
+
 def test_siemens_longest_text_and_cap(spark):
     page = "".join(f'<a href="/JobDetail/{i}">LLM Engineer {i}</a><a href="/JobDetail/{i}">Learn more</a>' for i in range(3)) + '<a href="/JobDetail/x">Learn more</a>'
     url = "https://jobs.siemens.com/JobDetail/0"
