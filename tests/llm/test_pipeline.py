@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_simhash import brute_fingerprint, brute_roots
 from test_tiling import brute_tiles, words
 
@@ -58,3 +59,35 @@ def test_pipeline(spark, tmp_path):
 
 def test_run_is_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100 and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def staged(spark, docs, folder):
+    """The rows of every stage's result."""
+    out = []
+    for k, (_, function) in enumerate(corpus_pipeline.STAGES):
+        function(spark, docs, SF).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        out.append(docs.collect())
+    return out
+
+
+def test_nulls_repeats_and_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = corpus_pipeline.COLUMNS
+    good = " ".join(f"clear{i} words{i % 7} of an{i % 11} honest text{i % 13}." for i in range(60))
+    odd = [(None, good + " first", "en", "odd", 1), (None, good + " and another one at the end of it", None, None, None), (900_000, None, "en", "odd", 0), (900_001, "", "en", "odd", 0), (900_002, " \n", None, "odd", 0),
+           (900_003, "repeated " + good, "en", "odd", 1), (900_003, "repeated " + good, "en", "odd", 1), (900_004, "long " * 50_000, "en", "odd", 1)]
+    rows = docs.select(*names).unionAll(spark.createDataFrame(odd, docs.select(*names).schema))
+    clashing = rows.select("*", F.lit("x").alias("TEXT"), F.lit(7).alias("Doc_Id"), F.lit(1).alias("row"), F.lit(2).alias("copies"))
+    plain, clash = staged(spark, rows, tmp_path / "plain"), staged(spark, clashing, tmp_path / "clash")
+    assert [sorted(map(str, r)) for r in plain] == [sorted(map(str, r)) for r in clash]
+    ids = [{r.doc_id for r in stage} for stage in plain]
+    # Texts without words, and one word again and again, fail the quality rules.
+    assert not ids[0] & {900_000, 900_001, 900_002, 900_004} and all(after <= before for before, after in zip(ids, ids[1:]))
+    assert sum(r.doc_id == 900_003 for r in plain[0]) in (0, 2) and sum(r.doc_id == 900_003 for r in plain[1]) <= 1
+    assert len(plain[4]) == len(plain[3])
+
+
+def test_empty_table(spark, tmp_path):
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert [len(rows) for rows in staged(spark, none, tmp_path)] == [0] * 5
