@@ -11,7 +11,7 @@ from postmill.operators.skew import lookup_join
 
 # Letters that the case-blind patterns of functions.text take for ASCII ones, and two that have another small form.
 _ODD, _PLAIN = "İıſKςµ", "iiskσμ"
-_WORD = "[a-z0-9]+"
+_WORD, _BETWEEN = "[a-z0-9]+", "X"
 
 
 def folded(c: Column | str) -> Column:
@@ -35,7 +35,8 @@ def keyword_parts(keywords: DataFrame) -> DataFrame:
 
 
 def word_runs(c: Column | str, sizes: list[int]) -> Column:
-    """Every run of as many words as ``sizes`` say, once each, as (gram, before, after, first, last).
+    """Every run of as many words as ``sizes`` say, once each, as text: gram, before, after, first and last with a capital between them, which folded text
+    doesn't hold. Texts are told apart by hash, where structs would be compared each with each.
 
     ``before`` and ``after`` are what stands between the run and its neighbours; ``first`` and ``last`` say that the text begins and ends there.
     """
@@ -50,12 +51,13 @@ def word_runs(c: Column | str, sizes: list[int]) -> Column:
             places = F.when(F.size(p) - width >= start, F.sequence(start, F.size(p) - width, F.lit(2))).otherwise(F.array().cast("array<int>"))
             return F.transform(
                 places,
-                lambda i: F.struct(
-                    F.array_join(F.slice(p, i + 1, F.lit(width)), "").alias("gram"),
-                    F.when(i > 0, F.get(p, i - 1)).otherwise("").alias("before"),
-                    F.coalesce(F.get(p, i + width), F.lit("")).alias("after"),
-                    (i <= 1).alias("first"),
-                    (i + width >= F.size(p) - 1).alias("last"),
+                lambda i: F.concat_ws(
+                    _BETWEEN,
+                    F.array_join(F.slice(p, i + 1, F.lit(width)), ""),
+                    F.when(i > 0, F.get(p, i - 1)).otherwise(""),
+                    F.coalesce(F.get(p, i + width), F.lit("")),
+                    F.when(i <= 1, "1").otherwise("0"),
+                    F.when(i + width >= F.size(p) - 1, "1").otherwise("0"),
                 ),
             )
 
@@ -66,8 +68,8 @@ def word_runs(c: Column | str, sizes: list[int]) -> Column:
 
 def _stands(ends: Column) -> Column:
     """Whether what a keyword has before and behind its gram stands there too, with no letter or digit next to it."""
-    before = (ends["lead"] == "") | (F.col("before").endswith(ends["lead"]) & (F.col("first") | (F.col("before") != ends["lead"])))
-    after = (ends["trail"] == "") | (F.col("after").startswith(ends["trail"]) & (F.col("last") | (F.col("after") != ends["trail"])))
+    before = (ends["lead"] == "") | (F.col("before").endswith(ends["lead"]) & ((F.col("first") == "1") | (F.col("before") != ends["lead"])))
+    after = (ends["trail"] == "") | (F.col("after").startswith(ends["trail"]) & ((F.col("last") == "1") | (F.col("after") != ends["trail"])))
     return before & after
 
 
@@ -83,7 +85,8 @@ def keyword_hits(df: DataFrame, keywords: DataFrame, over: Column | None = None,
     text = posting_text() if over is None else over
     hits = []
     if any(sizes):
-        runs = df.select(key, "source", F.explode(word_runs(text, [n for n in sizes if n])).alias("_run")).select(key, "source", "_run.*")
+        runs = df.select(key, "source", F.explode(word_runs(text, [n for n in sizes if n])).alias("_run")).withColumn("_run", F.split("_run", _BETWEEN, -1))
+        runs = runs.select(key, "source", *[F.get("_run", F.lit(i)).alias(c) for i, c in enumerate(("gram", "before", "after", "first", "last"))])
         joined = lookup_join(runs, parts.filter("n > 0").drop("n"), ["source", "gram"], key, "inner")
         hits.append(joined.filter(F.exists("ends", _stands)).select(key))
     if 0 in sizes:  # signs alone, which are no words: one pattern a source

@@ -166,8 +166,10 @@ def two_phase_runs(spark, sf):
 
 
 def _many_scorer() -> Callable[[list[str]], list[str | None]]:
-    """A stand-in for a model that takes many prompts: by title and location length. The first call for a prompt may fail; some never get a reply."""
+    """A stand-in for a model that takes many prompts: by title and location length. The first reply to a prompt may be none, the first call with some
+    prompts fails, and some prompts never get a reply."""
     seen: set[str] = set()
+    failed: set[tuple[str, ...]] = set()
 
     def score(prompts: list[str]) -> list[str | None]:
         import json
@@ -183,7 +185,8 @@ def _many_scorer() -> Callable[[list[str]], list[str | None]]:
                 replies.append("not yet")
             else:
                 replies.append(json.dumps({"score": len(fields["Location"]) % 10 + 1, "reason": f" {fields['Title']} in {fields['Location']} "}))
-        if any(len(p) % 97 == 0 for p in prompts) and len(seen) % 2:
+        if any(len(p) % 7 == 0 for p in prompts) and tuple(prompts) not in failed:
+            failed.add(tuple(prompts))
             raise RuntimeError("no connection")
         return replies
 
