@@ -55,3 +55,25 @@ def test_lists_too_large_to_broadcast_and_rows_kept(spark, monkeypatch):
 def test_no_keywords(spark):
     none = spark.createDataFrame([], "source string, keyword string")
     assert keyword_hits(frame(spark, FIXED, ["s"]), none, F.col("text")).count() == 0
+
+
+def test_rows_named_by_short_keywords_and_rows_left_for_the_join(spark, monkeypatch):
+    from postmill.operators import keywords, skew
+
+    docs = frame(spark, ["rag and more", "a machine learning job", "nothing", None, "use c++ or data-lake tools", "data lake", "DATA-LAKE rag"], ["s"])
+    words = spark.createDataFrame([("s", k) for k in ("rag", "machine learning", "data-lake", "c++")] + [("t", "nothing")], "source string, keyword string")
+    monkeypatch.setattr(skew, "is_small", lambda dim, rows: False)
+    monkeypatch.setattr(keywords, "SHORT_LIST", 1)
+    joined = []
+    monkeypatch.setattr(skew, "salted_join", lambda big, *rest, real=skew.salted_join: joined.append({r[0] for r in big.select("id").collect()}) or real(big, *rest))
+    got, want = both(spark, docs, words)
+    assert got == want == {0, 1, 4, 6}
+    # Rows that a short keyword names send no run into the shuffle.
+    assert 0 not in joined[0] and {1, 2, 4, 5} <= joined[0]
+
+
+def test_runs_are_whole_words_once_each(spark):
+    from postmill.operators.keywords import word_runs
+
+    rows = spark.createDataFrame([("a b, a b c1",), ("",), ("+",), ("x",)], "t string").select(word_runs("t", [1, 2, 4]).alias("r")).collect()
+    assert [sorted(r.r) for r in rows] == [sorted(["a", "b", "c1", "a b", "b, a", "b c1", "a b, a b", "b, a b c1"]), [], [], ["x"]]
