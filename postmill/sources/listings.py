@@ -60,24 +60,25 @@ def successfactors_rows(raw: DataFrame, markers: tuple[str, ...] = GERMANY_MARKE
     rows = pages.select("*", F.posexplode(chunks).alias("_row", "_html")).drop("body")
 
     def cell(row: Column, name: str) -> Column:
-        return html.strip_html(html.element_inner(row, html.opening("span", html.class_token(name))))
+        return html.element_inner(row, html.opening("span", html.class_token(name)))
 
     def links(x: Column) -> Column:
-        return F.transform(
-            html.anchors("_html", link),
-            lambda a: F.struct(
+        def link_of(a: Column) -> Column:
+            inside = F.contains(x["row"], a)
+            return F.struct(
                 html.absolutize_url(x["base"], html.attribute(a, "href")).alias("url"),
-                html.strip_html(a).alias("title"),
-                F.when(F.contains(x["row"], a), x["location"]).otherwise(F.lit("")).alias("location"),
-                F.when(F.contains(x["row"], a), x["date"]).otherwise(F.lit("")).alias("date"),
-            ),
-        )
+                a.alias("_anchor"),
+                F.when(inside, x["location"]).otherwise(F.lit("")).alias("location"),
+                F.when(inside, x["date"]).alias("_date"),
+            )
+
+        return F.transform(html.anchors("_html", link), link_of)
 
     link = rf"""(?is)<a\b[^>]*?{html.class_token("jobTitle-link")}[^>]*>.*?(?=</a\s*>|\z)"""
     # Links outside a table row have neither location nor date.
     row = F.regexp_extract("_html", r"(?is)^(<tr\b.*?)(?:</tr\s*>|\z)", 1)
     in_row = F.struct(
-        row.alias("row"), cell(row, "jobLocation").alias("location"), cell(row, "jobDate").alias("date"), _base_url(SUCCESSFACTORS_BASES).alias("base")
+        row.alias("row"), html.strip_html(cell(row, "jobLocation")).alias("location"), cell(row, "jobDate").alias("date"), _base_url(SUCCESSFACTORS_BASES).alias("base")
     )
     # Position in the page: row first, then link in the row.
     listed = (
@@ -86,7 +87,9 @@ def successfactors_rows(raw: DataFrame, markers: tuple[str, ...] = GERMANY_MARKE
         .drop("_html", "_link")
         .filter((F.col("url") != "") & text.matches_location("location", markers))
     )
-    return dedupe_by_url(listed)
+    # Many pages link a posting twice; titles and dates are read from the links that stay.
+    kept = dedupe_by_url(listed)
+    return kept.withColumns({"title": html.strip_html("_anchor"), "date": html.strip_html("_date")}).drop("_anchor", "_date")
 
 
 def _position(piece: str, n: str) -> Column:
