@@ -126,14 +126,14 @@ def opening(tag: str = "[a-zA-Z][a-zA-Z0-9]*", attribute: str = "") -> str:
 
 # s is the page from the element's opening tag on. It is split before every opening or closing
 # tag of the same name; pieces are kept until the nesting depth is back at zero. An element that
-# is never closed runs to the end of the page.
+# is never closed runs to the end of the page. One that holds none of its name is its first piece.
 _INNER = r"""s -> CASE WHEN s <> '' THEN transform(
     array(split(s, concat('(?i)(?=</?', regexp_extract(s, '^<([a-zA-Z][a-zA-Z0-9]*)', 1), r'\b)'))),
-    pieces -> regexp_replace(array_join(slice(pieces, 1, aggregate(pieces,
+    pieces -> CASE WHEN startswith(get(pieces, 1), '</') THEN regexp_replace(pieces[0], '^<[^>]*>', '') ELSE regexp_replace(array_join(slice(pieces, 1, aggregate(pieces,
         struct(0 AS depth, 0 AS kept, false AS closed),
         (a, p) -> CASE WHEN a.closed THEN a ELSE transform(array(a.depth + IF(startswith(p, '</'), -1, 1)),
           d -> struct(d AS depth, a.kept + 1 AS kept, d <= 0 AS closed))[0] END,
-        a -> IF(a.closed, a.kept - 1, size(pieces)))), ''), '^<[^>]*>', ''))[0] END"""
+        a -> IF(a.closed, a.kept - 1, size(pieces)))), ''), '^<[^>]*>', '') END)[0] END"""
 
 
 def element_inner(html: Column | str, open_tag: str) -> Column:
@@ -147,13 +147,16 @@ _NAME = "^<(/?[a-zA-Z][a-zA-Z0-9]*)"
 
 # x.events are the places at which elements of one name open (1) and close (2), and their containers (3, 4), x.n the number of pieces. The stack holds the
 # places of open elements, and -1 for an open container. An element in a container is ended by the next one of its name there, and with the container.
-_SPANS = """x -> aggregate(x.events, struct(CAST(array() AS array<int>) AS open, CAST(array() AS array<struct<s: int, e: int>>) AS spans),
-    (a, v) -> transform(array(coalesce(try_element_at(a.open, -1), -1)), top -> transform(array(struct(
-        IF(top >= 0 AND (v.k IN (2, 4) OR v.k = 1 AND x.listed), slice(a.open, 1, size(a.open) - 1), a.open) AS open,
-        IF(top >= 0 AND (v.k IN (2, 4) OR v.k = 1 AND x.listed), array_append(a.spans, struct(top AS s, v.i AS e)), a.spans) AS spans)),
-      b -> struct(CASE WHEN v.k = 1 THEN array_append(b.open, v.i) WHEN v.k = 3 THEN array_append(b.open, -1)
-          WHEN v.k = 4 AND size(b.open) > 0 THEN slice(b.open, 1, size(b.open) - 1) ELSE b.open END AS open, b.spans AS spans))[0])[0],
-    a -> concat(a.spans, transform(filter(a.open, o -> o >= 0), o -> struct(o AS s, x.n AS e))))"""
+# Spans are gathered as text, "s,e;" each: a fold copies what it has gathered with every event, and text is copied whole.
+_SPANS = """x -> aggregate(x.events, struct(CAST(array() AS array<int>) AS open, '' AS spans),
+    (a, v) -> transform(array(coalesce(try_element_at(a.open, -1), -1)), top -> transform(array(top >= 0 AND (v.k IN (2, 4) OR v.k = 1 AND x.listed)),
+      ends -> transform(array(IF(ends, slice(a.open, 1, size(a.open) - 1), a.open)),
+        open -> struct(CASE WHEN v.k = 1 THEN array_append(open, v.i) WHEN v.k = 3 THEN array_append(open, -1)
+          WHEN v.k = 4 AND size(open) > 0 THEN slice(open, 1, size(open) - 1) ELSE open END AS open,
+          IF(ends, concat(a.spans, top, ',', v.i, ';'), a.spans) AS spans))[0])[0])[0],
+    a -> concat(transform(slice(split(a.spans, ';'), 1, length(a.spans) - length(replace(a.spans, ';', ''))),
+        p -> struct(CAST(substring_index(p, ',', 1) AS int) AS s, CAST(substring_index(p, ',', -1) AS int) AS e)),
+      transform(filter(a.open, o -> o >= 0), o -> struct(o AS s, x.n AS e))))"""
 
 # Elements whose end tag may be left out, and what contains them.
 _LISTS = {"li": ("ul", "ol", "menu"), "tr": ("table",)}
@@ -177,16 +180,19 @@ def element_spans(names: Column, name: Column) -> Column:
     owners = F.create_map(*[F.lit(x) for k, v in _LISTS.items() for x in (k, list(v))])
 
     def spans(x: Column) -> Column:
-        own, inside = x["name"], x["owners"]
-        kind = lambda n: (
-            F.when(n == own, 1).when(n == F.concat(F.lit("/"), own), 2).when(F.array_contains(inside, n), 3)
-            .when(n.startswith("/") & F.array_contains(inside, F.substring(n, F.lit(2), F.length(n))), 4)
-        )
-        events = F.filter(F.transform(x["names"], lambda n, i: F.struct(i.alias("i"), kind(n).alias("k"))), lambda v: v["k"].isNotNull())
-        return apply_sql(F.struct(events.alias("events"), F.size(x["names"]).alias("n"), (F.size(inside) > 0).alias("listed")), _SPANS)
+        # Most tags are none of these; one search for a name's place in the list turns them away.
+        at = F.filter(F.transform(x["names"], lambda n, i: F.struct(i.alias("i"), F.array_position(x["wanted"], n).alias("p"))), lambda v: v["p"] > 0)
+        kind = lambda p: F.when(p <= 2, p.cast("int")).when(p <= 2 + x["owners"], 3).otherwise(4)
+        events = F.transform(at, lambda v: F.struct(v["i"].alias("i"), kind(v["p"]).alias("k")))
+        return apply_sql(F.struct(events.alias("events"), F.size(x["names"]).alias("n"), (x["owners"] > 0).alias("listed")), _SPANS)
+
+    def listed(x: Column) -> Column:
+        end = lambda n: F.concat(F.lit("/"), n)
+        wanted = F.concat(F.array(x["name"], end(x["name"])), x["inside"], F.transform(x["inside"], end))
+        return F.struct(x["names"].alias("names"), wanted.alias("wanted"), F.size(x["inside"]).alias("owners"))
 
     inside = F.coalesce(F.try_element_at(owners, name), F.array().cast("array<string>"))
-    return let(F.struct(names.alias("names"), name.alias("name"), inside.alias("owners")), spans)
+    return let(let(F.struct(names.alias("names"), name.alias("name"), inside.alias("inside")), listed), spans)
 
 
 def joined(parts: Column, start: Column, end: Column) -> Column:

@@ -196,8 +196,10 @@ def rendered_links(pages: DataFrame) -> DataFrame:
     def with_cards(x: Column) -> Column:
         of_cards = F.filter(x["names"], lambda n, i: F.get(x["opens"], i) & (n != "a"))
         spans = F.flatten(F.transform(F.array_distinct(of_cards), lambda n: html.element_spans(x["names"], n)))
-        places = F.filter(F.transform(x["names"], lambda n, i: F.when(n.isin("a", "/a"), i)), lambda i: i.isNotNull())
-        ends = F.transform(places, lambda p, k: F.struct(p.alias("s"), F.coalesce(F.get(places, k + 1), F.size(x["parts"])).alias("e")))
+        places = F.filter(F.transform(x["names"], lambda n, i: F.when(F.array_contains(F.array(F.lit("a"), F.lit("/a")), n), i)), lambda i: i.isNotNull())
+        # Bound, since the step from one place to the next would seek them all again.
+        upto = lambda at: F.transform(at, lambda p, k: F.struct(p.alias("s"), F.coalesce(F.get(at, k + 1), F.size(x["parts"])).alias("e")))
+        ends = text.let(places, upto)
         anchors = F.filter(ends, lambda a: F.get(x["parts"], a["s"]).rlike(_OPENS_LINK))
         return F.struct(x["parts"].alias("parts"), x["opens"].alias("opens"), F.filter(spans, lambda c: F.get(x["opens"], c["s"])).alias("cards"), anchors.alias("anchors"))
 

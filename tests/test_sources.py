@@ -156,3 +156,17 @@ def test_all_kinds_read_together(spark):
     pages = spark.createDataFrame([], RAW)
     found = parse_sources(raw, sources, pages).groupBy("source").count().collect()
     assert {r.source: r["count"] for r in found} == {"amazon": 1}
+
+
+def test_places_of_links_are_sought_once_a_page(spark):
+    plan = listings.rendered_links(landed(spark, "bmw", "<p>x</p>"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("/a)") == 1
+
+
+def test_titles_and_dates_of_table_rows_are_read_behind_the_dedupe(spark):
+    cell = '<span class="jobLocation">Bonn, DE</span><span class="jobDate"><span>1.2.2001</span> at <span>noon</span></span>'
+    page = f'<table><tr><a class="jobTitle-link" href="/j/1"><b>One</b></a><a class="jobTitle-link" href="/j/1">again</a>{cell}</table>'
+    rows = listings.successfactors_rows(landed(spark, "sap", page))
+    assert [(r.title, r.date, r.location) for r in rows.collect()] == [("One", "1.2.2001 at noon", "Bonn, DE")]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "_anchor" in plan[: plan.index("Window")]
